@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-shared-"))
         path = spark.sparkContext.getCheckpointDir()
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
     return path.rstrip("/")
 
 
