@@ -57,3 +57,10 @@ def word_array(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumn`` for costly expressions that are used often: the optimizer cannot copy them into their uses."""
+    for name, expression in columns.items():
+        df = df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(expression)).alias(name))
+    return df
