@@ -68,7 +68,11 @@ def _orders(bands: int = BANDS) -> list[int]:
 
 def minima(hashes: Column) -> Column:
     """The smallest value under each order, null for no hashes."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, c=c: h.bitwiseXOR(F.lit(c)))) for c in _orders()])
+
+    def ordered(constant: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(constant))))
+
+    return F.array(*[ordered(c) for c in _orders()])
 
 
 def template_keys(docs: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, list[int]]:
