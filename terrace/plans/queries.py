@@ -124,10 +124,10 @@ def zone_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 # Sizing and ranking.
 
 
-@query(f"WITH {_SIZED} SELECT candidate_id, round(storage_volume_m3, 4) AS storage_volume_m3, round(capacity_m3, 4) AS capacity_m3, round(runoff_m3, 4) AS runoff_m3, round(fill_ratio, 4) AS fill_ratio, round(capture_fraction, 4) AS capture_fraction, round(expected_volume_m3, 4) AS expected_volume_m3 FROM scored")
+@query(f"WITH {_SIZED} SELECT candidate_id, round(storage_volume_m3, 6) AS storage_volume_m3, round(capacity_m3, 6) AS capacity_m3, round(runoff_m3, 6) AS runoff_m3, round(fill_ratio, 6) AS fill_ratio, round(capture_fraction, 6) AS capture_fraction, round(expected_volume_m3, 6) AS expected_volume_m3 FROM scored")
 def pond_sizing(spark, d):
     sized = relational.size_zones(zones(spark, d), RAIN_MM)
-    return rounded(sized.select("candidate_id", "storage_volume_m3", "capacity_m3", "runoff_m3", "fill_ratio", "capture_fraction", "expected_volume_m3"))
+    return rounded(sized.select("candidate_id", "storage_volume_m3", "capacity_m3", "runoff_m3", "fill_ratio", "capture_fraction", "expected_volume_m3"), 6)
 
 
 def _ranked_sql(score: str, then: str) -> str:
@@ -180,7 +180,7 @@ def pond_plan_warnings(spark, d):
     return rounded(sized.select("candidate_id", ratio.alias("ratio"), F.size(sizing.plan_warnings(ratio, F.col("fill_ratio"))).alias("n_warnings")))
 
 
-@query("""SELECT p_partkey, coefficient FROM part JOIN (VALUES ('A','I',0.07),('A','II',0.10),('A','III',0.15),('B','I',0.12),('B','II',0.15),('B','III',0.18),('C','I',0.16),('C','II',0.20),('C','III',0.32),('D','I',0.28),('D','II',0.35),('D','III',0.60),('E','I',0.36),('E','II',0.45),('E','III',0.81)) v(k, s, coefficient)
+@query("""SELECT p_partkey, CAST(coefficient AS DOUBLE) AS coefficient FROM part JOIN (VALUES ('A','I',0.07),('A','II',0.10),('A','III',0.15),('B','I',0.12),('B','II',0.15),('B','III',0.18),('C','I',0.16),('C','II',0.20),('C','III',0.32),('D','I',0.28),('D','II',0.35),('D','III',0.60),('E','I',0.36),('E','II',0.45),('E','III',0.81)) v(k, s, coefficient)
   ON k = substr('ABCDE', CAST(p_partkey % 5 AS INT) + 1, 1) AND s = ['I','II','III'][CAST(p_partkey % 3 AS INT) + 1]""")
 def runoff_lookup(spark, d):
     keyed = t(spark, d, "part").select("p_partkey", F.substring(F.lit("ABCDE"), (F.col("p_partkey") % 5 + 1).cast("int"), F.lit(1)).alias("class"), F.element_at(F.array(*map(F.lit, ("I", "II", "III"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("season"))
@@ -334,7 +334,7 @@ def depression_zones(spark, d):
     return zone_cells(spark, d)[0].select("r", "c", "label")
 
 
-@query(f"WITH RECURSIVE {_PLAIN}, {_ZONE_CELLS} SELECT label, count(*) AS cells, round(max(depth), 6) AS max_depth_m, round(avg(depth), 6) AS mean_depth_m, round(avg(r), 6) AS centre_r, round(avg(c), 6) AS centre_c, count(*) * 100.0 AS area_m2 FROM labels JOIN deep USING (r, c) GROUP BY label HAVING count(*) * 100.0 >= 200")
+@query(f"WITH RECURSIVE {_PLAIN}, {_ZONE_CELLS} SELECT label, count(*) AS cells, round(max(depth), 6) AS max_depth_m, round(avg(depth), 6) AS mean_depth_m, round(avg(r), 6) AS centre_r, round(avg(c), 6) AS centre_c, CAST(count(*) * 100.0 AS DOUBLE) AS area_m2 FROM labels JOIN deep USING (r, c) GROUP BY label HAVING count(*) * 100.0 >= 200")
 def zone_properties(spark, d):
     return rounded(raster.zone_statistics(*zone_cells(spark, d), resolution_m=10.0).drop("grid_id"), 6)
 
@@ -384,7 +384,7 @@ def band_histogram(spark, d):
 
 @query(f"""WITH {_RASTER}, n AS (SELECT z, lead(z) OVER (PARTITION BY r ORDER BY c) AS o FROM cells UNION ALL SELECT z, lead(z) OVER (PARTITION BY c ORDER BY r) FROM cells),
   s AS (SELECT CAST(floor(least(z, o) / 2.0) AS BIGINT) + 1 AS f, CAST(floor(greatest(z, o) / 2.0) AS BIGINT) AS l FROM n WHERE o IS NOT NULL),
-  e AS (SELECT unnest(range(f, l + 1)) AS step FROM s WHERE l >= f) SELECT step * 2.0 AS level, count(*) AS crossings, step % 5 = 0 AS major FROM e GROUP BY step""")
+  e AS (SELECT unnest(range(f, l + 1)) AS step FROM s WHERE l >= f) SELECT CAST(step * 2.0 AS DOUBLE) AS level, count(*) AS crossings, step % 5 = 0 AS major FROM e GROUP BY step""")
 def contour_crossings(spark, d):
     return raster.contour_crossings(cells(spark, d), 2.0).drop("grid_id")
 
@@ -502,7 +502,7 @@ _KML = b"<kml xmlns='http://www.opengis.net/kml/2.2'><Document>%s</Document></km
 _MARK = b"<Placemark><name>%d</name><LineString><coordinates>69.0,-24.0,0 69.0%d,-24.0 bad</coordinates></LineString></Placemark>"
 
 
-@query("SELECT s_suppkey, level AS n, 200.0 + level * 2 AS elevation, 'name' AS source, 2 AS points FROM supplier, range(0, 3) t(level)")
+@query("SELECT s_suppkey, level AS n, CAST(200.0 + level * 2 AS DOUBLE) AS elevation, 'name' AS source, 2 AS points FROM supplier, range(0, 3) t(level)")
 def kml_placemarks(spark, d):
     body = [F.concat(*[F.lit((_MARK % (200 + 2 * k, k)).decode()) for k in range(3)])]
     text = F.concat(F.lit(_KML.split(b"%s")[0].decode()), *body, F.lit(_KML.split(b"%s")[1].decode()))
