@@ -7,7 +7,8 @@ model cannot.  Words are runs of letters and digits, A-Z lower-cased.
 
 Fitting uses a bounded sample: at most ``FIT_ROWS`` labelled rows outside the
 held-out fold, those whose hashed doc_id comes first, and at most ``FIT_TERMS``
-buckets, those with the largest log-likelihood ratio over that sample.  Scoring
+buckets, those with the largest log-likelihood ratio over that sample, of at least
+``LEAST_G2``.  Scoring
 reads every whole text.
 
 Defined cases: a null text counts as empty and scores sigmoid(w0); labels that
@@ -18,6 +19,7 @@ repeated rows score alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ from .common import materialize
 BUCKETS = 1 << 18
 FIT_ROWS = 20_000
 FIT_TERMS = 1_024
+#: Least log-likelihood ratio statistic of a term: rarer evidence is left out, as chance.
+LEAST_G2 = 15.0
 FACTORS = 8
 THRESHOLD = 0.3
 
@@ -144,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_term
     n1, n0 = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
     m1, m0 = F.lit(float(t)) - n1, F.lit(float(n - t)) - n0
     gain = entropy(n1, n0) + entropy(m1, m0)
-    top = seen.where("n > 1").withColumn("gain", gain).orderBy(F.desc("gain"), "bucket").limit(fit_terms).select("bucket").collect()
+    base = sum(x * math.log(x / n) for x in (t, n - t) if x)
+    top = seen.withColumn("gain", gain).where(2 * (F.col("gain") - base) >= LEAST_G2).orderBy(F.desc("gain"), "bucket").limit(fit_terms).select("bucket").collect()
     buckets = np.array(sorted(r["bucket"] for r in top), dtype=np.int64)
 
     def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
             words[rng.randrange(90)] = "worthless"
         rows.append((i, " ".join(words), "en", "s", 0))
         labels.append((i, 1, int(i % 5 == 0)))
-    rows += [(200, rows[1][1].upper(), "en", "s", 0), (201, rows[2][1] + " ok", "en", "s", 0), (202, passage(5, 50) + " " + shared, "en", "s", 0), (203, shared + " " + passage(6, 50), "en", "s", 0)]
+    rows += [(500, rows[1][1].upper(), "en", "s", 0), (501, rows[2][1].replace(" ", "  "), "en", "s", 0), (502, passage(5, 50) + " " + shared, "en", "s", 0), (503, shared + " " + passage(6, 50), "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
@@ -38,10 +38,10 @@ def test_stages(spark, tables):
     ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in seen]
     toxic = {i for i in range(400) if i % 5 == 0}
     assert len(toxic - ids[1]) >= 0.9 * len(toxic) and not ({i for i in range(400)} - toxic) - ids[1]
-    assert 1 not in ids[2] and 200 in ids[2]
-    assert 201 not in ids[3] and 2 in ids[3]
-    left = {r["doc_id"]: r["text"] for r in seen[4].where("doc_id in (202, 203)").collect()}
-    assert left == {202: passage(5, 50), 203: passage(6, 50)}
+    assert 1 not in ids[2] and 500 in ids[2]
+    assert 501 not in ids[3] and 2 in ids[3]
+    left = {r["doc_id"]: r["text"] for r in seen[4].where("doc_id in (502, 503)").collect()}
+    assert left == {502: passage(5, 50), 503: passage(6, 50)}
     assert ids[5] == ids[4] == ids[3]
 
 
