@@ -3,7 +3,8 @@
 1. One pass digests the payloads (SHA-1, base32) and counts their bytes by range
    of page_id.  Of records with equal payloads the one with the largest page_id is
    the response and the others revisit it; the groups are aggregated partially
-   before they are shuffled.
+   before they are shuffled, and which page revisits which goes to the shards as
+   narrow rows of their own, so that payloads are shuffled once.
 2. Shards are stretches of the page_id order.  Their bounds follow from the counted
    bytes of at most ``RANGES`` ranges, so they depend on the records alone, not on
    sampling or on the number of executors.  A range that holds far more than a shard
@@ -118,36 +119,40 @@ def write_archive(pages: DataFrame, path: str, shard: int = SHARD, roll: int = R
     digests = materialize(rows.select("page_id", "html").mapInArrow(_digested, "page_id long, digest binary, size long"), "payload-digests")
     groups = digests.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
     shared = groups.where("n > 1").select("digest", "response")
+    # Whose payload is shared is noted in narrow rows that travel to the page's shard and sort before it, so payloads are shuffled once.
+    notes = digests.join(shared, "digest").select("page_id", "digest", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "response")
     payload = F.coalesce(F.col("html"), F.lit(""))
-    keyed = rows.withColumn("digest", F.unhex(F.sha1(payload.cast("binary"))))
-    keyed = keyed.join(shared, "digest", "left")
-    placed = _sharded(keyed, digests, shard)
+    keyed = rows.select("page_id", F.unhex(F.sha1(payload.cast("binary"))).alias("digest"), F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("long").alias("response"))
+    placed = _sharded(keyed.unionByName(notes), digests, shard)
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(path)
         files.create_dir(base, recursive=True)
-        out, state, answered = [], None, set()
+        out, state, answered, noted = [], None, set(), (None, None, None)
 
         def close() -> None:
             if state is not None:
                 state["stream"].close()
                 out.append((state["shard"], state["sequence"], f"{state['shard']:016x}-{state['sequence']:05d}.warc.gz", state["name"], state["bytes"], state["records"], state["sha"].hexdigest()))
 
-        for frame in frames:
-            for shard_no, page_id, url, html, digest, response in zip(*(frame[c] for c in ("shard", "page_id", "url", "html", "digest", "response")), strict=True):
-                shard_no = int(shard_no)
+        for batch in batches:
+            columns = [batch.column(n) for n in ("shard", "page_id", "digest", "is_page", "url", "html", "response")]
+            columns[5] = columns[5].cast(pa.binary())
+            for shard_no, page, digest, is_page, url, html, response in zip(*(c.to_pylist() for c in columns), strict=True):
+                if not is_page:
+                    noted = (page, digest, response)
+                    continue
                 if state is None or state["shard"] != shard_no or state["bytes"] >= roll:
                     sequence = state["sequence"] + 1 if state is not None and state["shard"] == shard_no else 0
                     close()
                     name = f"_temporary-{uuid.uuid4().hex}"
                     state = {"shard": shard_no, "sequence": sequence, "name": name, "stream": files.open_output_stream(f"{base}/{name}"), "bytes": 0, "records": 0, "sha": hashlib.sha256()}
-                page = None if pd.isna(page_id) else int(page_id)
-                refers = None if pd.isna(response) else int(response)
+                refers = noted[2] if noted[:2] == (page, digest) else None
                 encoded = base64.b32encode(digest).decode()
                 if refers == page and (page, digest) not in answered:
                     answered.add((page, digest))  # one entry for each response that is shared: they lie next to each other
                     refers = None
-                data = record(page, url, (html or "").encode(), encoded, refers)
+                data = record(page, url, html or b"", encoded, refers)
                 state["stream"].write(data)
                 state["sha"].update(data)
                 state["bytes"] += len(data)
@@ -155,10 +160,12 @@ def write_archive(pages: DataFrame, path: str, shard: int = SHARD, roll: int = R
                 if len(answered) > 10_000:
                     answered = {(page, digest)}
         close()
-        yield pd.DataFrame(out, columns=["shard", "sequence", "path", "temporary", "bytes", "records", "sha256"])
+        names = ["shard", "sequence", "path", "temporary", "bytes", "records", "sha256"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
 
-    ordered = placed.select("shard", "page_id", "url", "html", "digest", "response").repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    manifest = materialize(ordered.mapInPandas(write, MANIFEST), "warc-manifest")
+    ordered = placed.select("shard", "page_id", "url", "html", "digest", "is_page", "response").repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
+    manifest = materialize(ordered.mapInArrow(write, MANIFEST), "warc-manifest")
     commit(manifest, path)
     return manifest
 
@@ -205,10 +212,12 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archive(manifest: DataFrame, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; digests of responses are computed anew and compared."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(path)
-        for frame in frames:
-            for name in frame["path"]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
                 rows = []
                 with files.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for fields, block in parse(stream):
@@ -219,10 +228,9 @@ def read_archive(manifest: DataFrame, path: str) -> DataFrame:
                                 raise ValueError(f"{name}: digest of {fields['WARC-Record-ID']} differs")
                         page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page")
                         rows.append((int(page) if page else None, size, digest, fields["WARC-Type"], int(refers) if refers else None))
-                found = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return manifest.select("path").repartition("path").mapInPandas(read, RECORDS)
+    return manifest.select("path").repartition("path").mapInArrow(read, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
