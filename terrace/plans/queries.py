@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import raster, relational
+from terrace.operators import geometry, raster, relational
 from terrace.sources import feeds
 
 RAIN_MM = 150.0
@@ -404,6 +404,34 @@ def mask_polygons(spark, d):
     return rounded(raster.outlines(zone_cells(spark, d)[0]).select("label", "perimeter", "area"), 6)
 
 
+@query(f"""WITH {_RASTER}, q AS (SELECT r, c, z, lead(z) OVER (PARTITION BY r ORDER BY c) AS zr FROM cells),
+  s AS (SELECT r, c, z, zr, lead(z) OVER w AS zd, lead(zr) OVER w AS zx FROM q WINDOW w AS (PARTITION BY c ORDER BY r)),
+  e AS (SELECT z AS p, zr AS q, r, c, 0 AS dr, 1 AS dc FROM s WHERE zx IS NOT NULL UNION ALL SELECT zr, zx, r, c + 1, 1, 0 FROM s WHERE zx IS NOT NULL
+    UNION ALL SELECT zd, zx, r + 1, c, 0, 1 FROM s WHERE zx IS NOT NULL UNION ALL SELECT z, zd, r, c, 1, 0 FROM s WHERE zx IS NOT NULL),
+  x AS (SELECT *, unnest(range(CAST(floor(least(p, q) / 2.0) AS BIGINT) + 1, CAST(floor(greatest(p, q) / 2.0) AS BIGINT) + 1)) AS step FROM e)
+  SELECT CAST(step * 2.0 AS DOUBLE) AS level, CAST(count(*) // 2 AS BIGINT) AS segments, round(sum(r + dr * (step * 2.0 - p) / (q - p)), 3) AS rows, round(sum(c + dc * (step * 2.0 - p) / (q - p)), 3) AS cols FROM x GROUP BY step""")
+def contour_segments(spark, d):
+    lines = geometry.contour_segments(cells(spark, d), 2.0).groupBy("level")
+    return rounded(lines.agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("r1") + F.col("r2")).alias("rows"), F.sum(F.col("c1") + F.col("c2")).alias("cols")), 3)
+
+
+@query(f"WITH {_POINTS} SELECT k, round(0.006 * (h + (0.02 - h) * 0.005 / w - 0.003), 8) AS area FROM (SELECT k, 0.01 * (1 + k % 3) AS h, 0.01 * (1 + k % 7) AS w FROM p)")
+def clip_to_box(spark, d):
+    lon, lat = F.col("lon"), F.col("lat")
+    cut = geometry.clip_ring(F.col("ring"), lon + 0.002, lat + 0.003, lon + 0.008, lat + 1.0)
+    return rounded(rings(spark, d).select("k", georef.ring_area(cut).alias("area")), 8)
+
+
+@query(None)
+def zone_polygons(spark, d):
+    return geometry.polygons(zone_cells(spark, d)[0]).select("label", F.size("ring").alias("points"))
+
+
+@query(None)
+def contour_bands(spark, d):
+    return geometry.band_polygons(cells(spark, d), 5.0).select("band", "label", F.size("ring").alias("points"))
+
+
 # Water and features.
 
 _MASK = "mask AS (SELECT CAST(p_partkey // 50 AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c FROM part WHERE p_size < 5 OR p_retailprice < 950)"

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import raster, relational
+from terrace.operators import geometry, raster, relational
 from terrace.plans.queries import QUERIES, SQL
 from terrace.sources import feeds
 
@@ -80,6 +80,37 @@ def test_outline_of_a_rectangle(spark):
     assert (row["perimeter"], row["area"], len(row["ring"])) == (12.0, 8.0, 12)
 
 
+def test_polygons_are_thinned_and_closed(spark):
+    block = [(0, r, c, 1) for r in range(3) for c in range(5)] + [(0, 9, 9, 2), (0, 9, 10, 2)]
+    got = geometry.polygons(spark.createDataFrame(block, "grid_id long, r int, c int, label int")).collect()
+    assert [r["label"] for r in got] == [1] and [tuple(p) for p in got[0]["ring"]] == [(0, 0), (0, 4), (2, 4), (2, 0), (0, 0)]
+
+
+def test_clip_of_rings(spark):
+    ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in p])
+    box = [F.lit(v) for v in (0.0, 0.0, 2.0, 2.0)]
+    shapes = {"inside": ring((0.5, 0.5), (1, 0.5), (1, 1)), "around": ring((-1, -1), (5, -1), (5, 5), (-1, 5)), "away": ring((7, 7), (8, 7), (8, 8)), "corner": ring((1, 1), (3, 1), (3, 3), (1, 3)), "diamond": ring((1, -1), (3, 1), (1, 3), (-1, 1))}
+    row = spark.range(1).select(*[georef.ring_area(geometry.clip_ring(r, *box)).alias(n) for n, r in shapes.items()], geometry.clip_ring(F.lit(None).cast("array<struct<lon:double,lat:double>>"), *box).alias("none")).first()
+    assert {n: row[n] for n in shapes} == {"inside": 0.125, "around": 4.0, "away": 0.0, "corner": 1.0, "diamond": 4.0} and row["none"] is None
+
+
+def test_contour_lines_of_a_cone_are_closed_and_flat_ground_has_none(spark):
+    z = np.hypot(*np.mgrid[-8:9, -8:9]) + 0.01
+    lines = geometry.contour_segments(frame_of(spark, z), 2.0).collect()
+    assert {(r["level"], r["major"]) for r in lines} == {(float(v), v == 10) for v in (2, 4, 6, 8, 10)}
+    for level in (2.0, 4.0, 6.0):
+        ends = [tuple(round(v, 9) for v in p) for r in lines if r["level"] == level for p in ((r["r1"], r["c1"]), (r["r2"], r["c2"]))]
+        assert all(ends.count(p) == 2 for p in ends)
+        assert all(abs(np.hypot(a - 8, b - 8) - level) < 0.15 for a, b in ends)
+    assert geometry.contour_segments(frame_of(spark, np.full((4, 4), 3.0)), 2.0).count() == 0
+
+
+def test_band_regions_cover_every_cell_once(spark):
+    z = np.array([[0.0, 0.5, 4.9], [-0.1, 5.0, 5.1], [0.2, 9.9, 0.3]])
+    got = {(r["r"], r["c"]): (r["band"], r["label"]) for r in geometry.band_regions(frame_of(spark, z), 5.0).collect()}
+    assert got == {(0, 0): (0.0, 1), (0, 1): (0.0, 1), (0, 2): (0.0, 1), (1, 0): (-5.0, 1), (1, 1): (5.0, 1), (1, 2): (5.0, 1), (2, 0): (0.0, 2), (2, 1): (5.0, 1), (2, 2): (0.0, 3)}
+
+
 def test_ranking_of_the_known_zones(spark):
     zones = spark.createDataFrame(
         [(1, 0.1, 2.0, 0.8, 10_000.0, False, None), (2, 0.1, 2.0, 0.8, 5_000_000.0, False, None), (3, 0.5, 2.0, 0.8, 200_000.0, False, None), (4, 0.3, 2.0, 0.2, 900_000.0, False, None), (5, 0.9, 2.0, 0.1, 1.0, True, "water")],
