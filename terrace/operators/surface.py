@@ -254,10 +254,13 @@ def _scanned(faces: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.groupBy("grid_id", "r", "c").agg(F.min("z").alias("z"))  # a cell on a shared edge has one value up to rounding
 
 
-def build_surface(points: DataFrame, requested_m: float | None = None) -> DataFrame:
-    """grid_id, r, c, z, inside_hull: linear inside the vertices' hull, the nearest vertex's elevation outside; row 0 is north."""
+def build_surface(points: DataFrame, requested_m: float | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """grid_id, r, c, z, inside_hull: linear inside the vertices' hull, the nearest vertex's elevation outside; row 0 is north.
+
+    ``frames`` are the documents' rasters from :func:`grids`, where they are known already.
+    """
     points = cut_lineage(_known(points))
-    frames = cut_lineage(grids(points, requested_m))
+    frames = cut_lineage(grids(points, requested_m)) if frames is None else frames
     inside = cut_lineage(_scanned(triangles(points), frames))
     cells = frames.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
     lon = F.col("min_lon") + F.col("c") * (F.col("max_lon") - F.col("min_lon")) / (F.col("n_cols") - 1)

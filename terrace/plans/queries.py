@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, raster, relational
+from terrace.operators import geometry, raster, relational, surface
+from terrace.plans import sites
 from terrace.sources import feeds
 
 RAIN_MM = 150.0
@@ -499,6 +500,54 @@ def contour_levels(spark, d):
     return t(spark, d, "part").select(F.col("p_size").alias("level")).distinct().orderBy("level")
 
 
+# Surfaces.
+
+_VERTICES = """v AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 101) * 1e-4 + 69.0 AS lon, (s_suppkey * 53 % 89) * 1e-4 - 24.0 AS lat, (s_suppkey % 5) * 2.0 AS z FROM supplier)"""
+_SPACING = f"""{_VERTICES}, n AS (SELECT a.k, min(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat))) AS d FROM v a JOIN v b ON a.z <> b.z GROUP BY a.k), s AS (SELECT quantile_cont(d, 0.25) AS spacing_deg FROM n)"""
+
+
+def vertices(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return t(spark, d, "supplier").select(F.lit(1).cast("long").alias("grid_id"), ((k * 37 % 101) * 1e-4 + 69.0).alias("lon"), ((k * 53 % 89) * 1e-4 - 24.0).alias("lat"), ((k % 5) * 2.0).alias("z"))
+
+
+@query(f"WITH {_SPACING} SELECT CAST(1 AS BIGINT) AS grid_id, round(spacing_deg, 8) AS spacing_deg FROM s")
+def contour_spacing(spark, d):
+    return rounded(surface.contour_spacing(vertices(spark, d)), 8)
+
+
+@query(f"WITH {_SPACING}, b AS (SELECT min(lat) AS y0, max(lat) AS y1 FROM v) SELECT round(greatest(spacing_deg * 111320.0 * (cos(radians((y0 + y1) / 2)) + 1) / 2 / 4.0, 1e-6), 6) AS resolution_m FROM s, b")
+def surface_resolution(spark, d):
+    return rounded(surface.grids(vertices(spark, d)).select(F.col("asked_m").alias("resolution_m")), 6)
+
+
+@query("SELECT r, c, round(200.0 + 1000.0 * (c * 0.01 / 67.0) + 500.0 * (0.0088 - r * 0.0088 / 64.0), 4) AS z, true AS inside_hull FROM (SELECT CAST(unnest(range(65)) AS INT) AS r), (SELECT CAST(unnest(range(68)) AS INT) AS c)")
+def tin_surface(spark, d):
+    """A plane over scattered vertices and the box's corners."""
+    corner = spark.createDataFrame([(1, x, y) for x in (69.0, 69.01) for y in (-24.0, -23.9912)], "grid_id long, lon double, lat double")
+    known = vertices(spark, d).select("grid_id", "lon", "lat").unionByName(corner)
+    plane = known.withColumn("z", 200.0 + 1000.0 * (F.col("lon") - 69.0) + 500.0 * (F.col("lat") + 24.0))
+    return rounded(surface.build_surface(plane, 15.0).select("r", "c", "z", "inside_hull"), 4)
+
+
+@query(f"WITH {_SIZED}, x AS (SELECT *, CASE WHEN candidate_id % 3 = 0 THEN area_ha * 7.0 ELSE catchment_area_m2 / 10000.0 END AS land FROM scored) SELECT candidate_id, round(expected_volume_m3, 4) AS volume_m3, CASE WHEN expected_volume_m3 >= 100000 THEN round(expected_volume_m3 / 100000.0, 4) END AS volume_lakh, CAST(round(capture_fraction * 100) AS BIGINT) AS kept_pct, round(land, 4) AS catchment_ha, CASE WHEN area_ha > 0 THEN CAST(round(land / area_ha) AS BIGINT) END AS ratio, CASE WHEN fill_ratio >= 1 THEN 'good' WHEN fill_ratio >= 0.5 THEN 'warn' ELSE 'bad' END AS status, CASE WHEN fill_ratio < 1 THEN 'One design storm fills only ' || CAST(CAST(round(fill_ratio * 100) AS BIGINT) AS VARCHAR) || '%: it may never fill' END AS note FROM x")
+def site_card(spark, d):
+    sized = relational.size_zones(zones(spark, d), RAIN_MM)
+    traced = F.when(F.col("candidate_id") % 3 == 0, F.col("area_ha") * 7.0)
+    return rounded(sites.site_card(sized.select("*", traced.alias("traced_ha"), F.lit(None).cast("double").alias("traced_ratio"))), 4)
+
+
+@query(None)
+def analyze_contour(spark, d):
+    """Sites of a bowl, from rounded elevations on a lattice."""
+    k = F.col("p_partkey")
+    at = t(spark, d, "part").select(((k % 45) / 2250.0 + 69.0).alias("lon"), (F.expr("p_partkey div 45 % 45") / 2250.0 - 24.0).alias("lat")).distinct()
+    off = F.pow(F.col("lon") - 69.01, 2) + F.pow(F.col("lat") + 23.99, 2)
+    z = 40.0 + 400.0 * (F.col("lat") + 24.0) - 14.0 * F.exp(-off / 0.000025)
+    found = sites.analyze_map(at.select(F.lit(1).cast("long").alias("grid_id"), "lon", "lat", (F.round(z / 2.0) * 2.0).alias("z")), RAIN_MM)
+    return rounded(found.select("candidate_id", "rank", "lon", "lat", "area_ha", "max_depth_m", "compactness", "catchment_area_m2", "expected_volume_m3", "excluded", "self_overlap_pct", F.array_join("warnings", " | ").alias("warnings")))
+
+
 # Caches and exports.
 
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import surface
+from terrace.operators import raster, surface
+from terrace.plans import sites
 
 
 def points_of(spark, rows):
@@ -86,3 +87,32 @@ def test_resolution_must_be_positive(spark):
     with pytest.raises(Exception, match="positive"):
         spark.range(1).select(surface.resolution(F.col("id").cast("double"), F.lit(8.0))).collect()
     assert spark.range(1).select(surface.resolution(None, F.lit(8.0)).alias("m")).first()["m"] == 2.0
+
+
+def test_a_bowl_is_found_with_its_catchment(spark):
+    side = np.linspace(0, 0.01, 24)
+    rows = [(3, x, y, float(2 * round((60 - 14 * np.exp(-((x - 0.006) ** 2 + (y - 0.004) ** 2) / 4e-6)) / 2))) for x in side.tolist() for y in side.tolist()]
+    found = sites.analyze_map(points_of(spark, rows), 100.0, 20.0, boundary=F.array(*[F.struct(F.lit(a).alias("lon"), F.lit(b).alias("lat")) for a, b in ((9.0, 9.0), (9.1, 9.0), (9.1, 9.1), (9.0, 9.0))])).collect()
+    best = next(r for r in found if r["rank"] == 1)
+    assert abs(best["lon"] - 0.006) < 5e-4 and abs(best["lat"] - 0.004) < 5e-4 and 0 < best["self_overlap_pct"] <= 100
+    assert best["traced_m2"] <= best["catchment_area_m2"] + 1e-6 and "not been checked" in best["warnings"][-1]
+    with pytest.raises(ValueError):
+        sites.analyze_map(points_of(spark, []), 100.0, 20.0)
+
+
+def test_ponds_off_the_raster_have_an_error(spark):
+    cells = spark.range(25).select(F.lit(1).cast("long").alias("grid_id"), F.expr("cast(id div 5 as int)").alias("r"), (F.col("id") % 5).cast("int").alias("c"), F.col("id").cast("double").alias("filled"))
+    flow = raster.cut_lineage(raster.flow_direction(cells))
+    ponds = spark.createDataFrame([(1, 1, 2, 2), (1, 1, 2, 3), (2, 1, 40, 40)], "id int, grid_id long, r int, c int")
+    got = {r["id"]: r for r in sites.trace_ponds(flow, raster.flow_accumulation(flow), ponds, 4.0).collect()}
+    assert got[2]["error"] and got[2]["pour_r"] is None and got[2]["catchment_area_m2"] is None and got[2]["warnings"] == []
+    assert got[1]["error"] is None and got[1]["self_overlap_pct"] > 0
+
+
+def test_cards_of_sites_without_figures_stay_null(spark):
+    kind = "candidate_id int, expected_volume_m3 double, capacity_m3 double, runoff_m3 double, traced_ha double, traced_ratio double, catchment_area_m2 double, area_ha double, fill_ratio double, capture_fraction double"
+    rows = [(1, *[None] * 9), (2, None, 5.0, 9.0, None, None, 20_000.0, 0.5, 0.4, 0.25), (3, 250_000.0, 1.0, 1.0, 7.0, 61.0, 20_000.0, 0.5, 2.0, 1.0)]
+    got = {r["candidate_id"]: r for r in sites.site_card(spark.createDataFrame(rows, kind)).collect()}
+    assert all(v is None for k, v in got[1].asDict().items() if k != "candidate_id")
+    assert (got[2]["volume_m3"], got[2]["volume_lakh"], got[2]["kept_pct"], got[2]["catchment_ha"], got[2]["ratio"], got[2]["status"]) == (5.0, None, 25, 2.0, 4, "bad")
+    assert (got[3]["volume_lakh"], got[3]["catchment_ha"], got[3]["ratio"], got[3]["note"]) == (2.5, 7.0, 61, None)
