@@ -266,6 +266,20 @@ def dilate(mask: DataFrame, radius: int) -> DataFrame:
     return wide.select("grid_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
 
 
+def resize(mask: DataFrame, rows: int, cols: int, to_rows: int, to_cols: int) -> DataFrame:
+    """grid_id, r, c of the mask's cells on a raster of another size: a cell takes the source cell that its scaled index, rounded down, names.
+
+    Each source cell yields its targets by whole-number arithmetic, so nothing is joined or shuffled.
+    """
+
+    def targets(name: str, n: int, to: int):
+        first, end = F.expr(f"cast((cast({name} as bigint) * {to} + {n - 1}) div {n} as int)"), F.expr(f"cast(((cast({name} as bigint) + 1) * {to} + {n - 1}) div {n} as int)")
+        return F.explode(F.when(end > first, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>")))
+
+    inside = mask.where(F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1))
+    return inside.select("grid_id", targets("r", rows, to_rows).alias("r"), "c").select("grid_id", "r", targets("c", cols, to_cols).alias("c"))
+
+
 def rasterize_boxes(boxes: DataFrame) -> DataFrame:
     """(id, grid_id, r, c) of every cell in the truncated pixel box of each row (id, grid_id, r0, c0, r1, c1: double), edges included."""
     cut = boxes.select("id", "grid_id", *[F.col(n).cast("int").alias(n) for n in ("r0", "c0", "r1", "c1")])

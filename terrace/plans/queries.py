@@ -454,6 +454,11 @@ def water_dilate(spark, d):
     return raster.dilate(mask(spark, d), 2).select("r", "c")
 
 
+@query(f"WITH {_MASK}, a AS (SELECT CAST(unnest(range(130)) AS INT) AS r), b AS (SELECT CAST(unnest(range(75)) AS INT) AS c) SELECT DISTINCT a.r, b.c FROM a, b, mask m WHERE m.r = a.r * 401 // 130 AND m.c = b.c * 50 // 75")
+def mask_resize(spark, d):
+    return raster.resize(mask(spark, d), 401, 50, 130, 75).select("r", "c")
+
+
 @query(f"WITH {_MASK}, s AS (SELECT s_suppkey AS id, unnest(range(CAST(s_suppkey % 30 AS INT), CAST(s_suppkey % 30 AS INT) + 4)) AS r, s_suppkey FROM supplier), x AS (SELECT id, r, unnest(range(CAST(s_suppkey % 40 AS INT), CAST(s_suppkey % 40 AS INT) + 6)) AS c FROM s) SELECT id, round(avg(CASE WHEN m.r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS fraction FROM x LEFT JOIN mask m ON m.r = x.r AND m.c = x.c GROUP BY id")
 def water_overlap(spark, d):
     k = F.col("s_suppkey")

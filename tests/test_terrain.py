@@ -178,3 +178,11 @@ def test_sql_twin(spark, name):
     theirs = sorted((tuple(map(tidy, r)) for r in want.fetchall()), key=repr)
     mine = sorted((tuple(map(tidy, r)) for r in QUERIES[name](spark, SMALL).select(*names).collect()), key=repr)
     assert mine == theirs
+
+
+@pytest.mark.parametrize("shape", [(4, 9), (13, 5), (7, 6), (1, 1)])
+def test_resized_masks_take_the_scaled_index(spark, shape):
+    m = np.random.default_rng(2).random((7, 6)) < 0.5
+    cells = spark.createDataFrame([(0, int(r), int(c)) for r, c in zip(*np.nonzero(m), strict=True)], "grid_id long, r int, c int")
+    got = sorted((x["r"], x["c"]) for x in raster.resize(cells, *m.shape, *shape).collect())
+    assert got == [(r, c) for r in range(shape[0]) for c in range(shape[1]) if m[r * 7 // shape[0], c * 6 // shape[1]]]
