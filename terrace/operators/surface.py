@@ -27,8 +27,8 @@ LEAST_SIDE, MOST_SIDE = 64, 2048
 SAMPLES_PER_SPACING = 4.0
 SPACING_SHARE = 0.25
 
-#: The first buckets are this share of a document's longer side; each round takes buckets four times as wide.
-_FIRST_BUCKET = 1 / 1024
+#: The first buckets split a document's longer side into the root of its number of vertices, at most this many; each round takes buckets four times as wide.
+_MOST_BUCKETS = 1024
 #: Coordinates are triangulated on a lattice with this many steps a side, where whole numbers decide every test exactly.
 _LATTICE = 1 << 30
 _EDGE = 1e-9
@@ -54,17 +54,19 @@ def nearest(asked: DataFrame, points: DataFrame, other_level: bool = False) -> D
 
     With ``other_level`` only vertices whose z differs from the asked row's count.  Rows
     for which there is no vertex are left out.  A round settles what has a vertex within
-    one bucket's width; the last round's buckets are as wide as the document.
+    one bucket's width; a document's last buckets are as wide as itself.
     """
     names = asked.columns
     box = extents(points.unionByName(asked.select("grid_id", "lon", "lat", F.lit(0.0).alias("z"))))
     side = box.select("grid_id", F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"), F.lit(1e-12)).alias("side"))
+    buckets = F.greatest(F.lit(1.0), F.least(F.lit(float(_MOST_BUCKETS)), F.sqrt(F.count(F.lit(1)))))
+    side = cut_lineage(side.join(_known(points).groupBy("grid_id").agg(buckets.alias("buckets")), "grid_id"))
     known = cut_lineage(_known(points).distinct().join(side, "grid_id"))
     left = cut_lineage(asked.dropna(subset=["grid_id", "lon", "lat"]).join(side, "grid_id").withColumn("asked_id", F.monotonically_increasing_id()))
-    done, share = [], _FIRST_BUCKET
+    done, times = [], 1
     while not left.isEmpty():
-        last = share >= 1
-        at = lambda v: F.floor(F.col(v) / (F.col("side") * share))  # noqa: E731, B023
+        width = F.col("side") * F.least(F.lit(1.0), times / F.col("buckets"))
+        at = lambda v: F.floor(F.col(v) / width)  # noqa: E731, B023
         near = known.select("grid_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.col("z").alias("pz"), at("lon").alias("bx"), at("lat").alias("by"))
         around = lambda v: F.explode(F.sequence(at(v) - 1, at(v) + 1))  # noqa: E731, B023
         pairs = left.withColumn("bx", around("lon")).withColumn("by", around("lat")).join(near, ["grid_id", "bx", "by"])
@@ -72,11 +74,9 @@ def nearest(asked: DataFrame, points: DataFrame, other_level: bool = False) -> D
             pairs = pairs.where("pz <> z")
         best = pairs.groupBy("asked_id").agg(F.min(F.struct(F.hypot(F.col("plon") - F.col("lon"), F.col("plat") - F.col("lat")).alias("distance"), F.col("pz").alias("z"))).alias("best"))
         found = cut_lineage(left.join(best, "asked_id", "left"))
-        settled = F.col("best").isNotNull() if last else F.coalesce(F.col("best.distance") <= F.col("side") * share, F.lit(False))
-        done.append(found.where(settled).select(*names, F.col("best.distance").alias("distance"), F.col("best.z").alias("nearest_z")))
-        if last:
-            break
-        left, share = found.where(~settled).drop("best"), share * 4
+        whole = F.col("buckets") <= times
+        done.append(found.where(F.col("best").isNotNull() & (whole | (F.col("best.distance") <= width))).select(*names, F.col("best.distance").alias("distance"), F.col("best.z").alias("nearest_z")))
+        left, times = found.where(~whole & (F.col("best").isNull() | (F.col("best.distance") > width))).drop("best"), times * 4
     if not done:
         return left.select(*names, F.lit(0.0).alias("distance"), F.lit(0.0).alias("nearest_z"))
     out = done[0]
