@@ -1,8 +1,9 @@
 """URL filter: host/path rules first, then pattern rules indexed by their rarest literal token.
 
 Everything is DataFrame functions.  A pattern rule lists the literal tokens that
-every URL it matches must contain; over all URLs the rarest of them is found and
-the rule is indexed under that one token only.  The tokens of a URL then fetch
+every URL it matches must contain as whole tokens, so its expression bounds them on
+both sides by other characters than letters and digits (:func:`bounded`); over all
+URLs the rarest of them is found and the rule is indexed under that one token only.  The tokens of a URL then fetch
 candidate rules by an equi-join and only those candidates run their regular
 expression.  Rule tables are small and of a checked size, so they are broadcast.
 
@@ -14,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +28,14 @@ HOST_RULES = (
     ("allow", "org", "/fr/"),
 )
 
-#: Pattern rules: (verdict, literal tokens that a matching URL must contain, regular expression on the lower-cased URL).
+#: Pattern rules: (verdict, whole tokens that a matching URL must contain, regular expression on the lower-cased URL).
 PATTERN_RULES = (
     ("block", ("spam", "farm"), r"://([^/?#]*\.)?spam-farm\."),
     ("block", ("casino",), r"[/.\-]casino[/.\-]"),
     ("block", ("adserver",), r"://([^/?#]*\.)?adserver\."),
     ("block", ("doubleclick",), r"://([^/?#]*\.)?doubleclick\."),
-    ("block", ("ads", "banner"), r"/ads/.*banner"),
-    ("block", ("wp", "login", "php"), r"/wp-login\.php"),
+    ("block", ("ads",), r"/ads/.*banner"),
+    ("block", ("wp", "login"), r"/wp-login\.php"),
     ("block", ("phpmyadmin",), r"/phpmyadmin(/|$)"),
     ("block", ("porn",), r"[/.\-]porn[/.\-]"),
 )
@@ -42,6 +45,15 @@ BROADCAST_RULES = 100_000
 
 TOKEN_BREAK = "[^a-z0-9]+"
 
+#: What bounds a token in an expression: / or - or an escaped point or their class; on the left also :// with any host labels, on the right also (/|$).
+_EDGE = r"[/\-]|\\\.|\[/\.\\-\]"
+_BEFORE, _AFTER = rf"(?:{_EDGE}|://\(\[\^/\?#\]\*\\\.\)\?)", rf"(?:{_EDGE}|\(/\|\$\))"
+
+
+def bounded(token: str, pattern: str) -> bool:
+    """Whether the expression has the literal with a bound on both sides, so that every URL it matches has it as a whole token."""
+    return re.search(f"{_BEFORE}{re.escape(token)}{_AFTER}", pattern) is not None
+
 
 def lower_ascii(column: Column) -> Column:
     """Lower-case A-Z only."""
@@ -67,11 +79,15 @@ def host_rule(host: Column, path: Column, rules=HOST_RULES) -> tuple[Column, Col
 
 
 def url_tokens(url: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(lower_ascii(F.coalesce(url, F.lit(""))), TOKEN_BREAK), lambda t: t != ""))
+    """Tokens of the URL, lower-cased as for the expressions."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), TOKEN_BREAK), lambda t: t != ""))
 
 
 def indexed_rules(tokens: DataFrame, rules=PATTERN_RULES) -> DataFrame:
     """Rule table with each rule under its rarest literal: token, rule_no, verdict, pattern.  ``tokens`` has one row per URL and token."""
+    loose = [(token, pattern) for _, needs, pattern in rules for token in needs if not bounded(token, pattern)]
+    if loose:
+        raise ValueError(f"literals that their expressions do not bound: {loose}")
     spark = tokens.sparkSession
     literals = spark.createDataFrame(
         [(n, verdict, token, pattern) for n, (verdict, needs, pattern) in enumerate(rules) for token in needs],

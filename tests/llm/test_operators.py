@@ -262,6 +262,17 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", ["ads", "banner", "wp", "login", "php"])
+def test_url_filter_fetches_rules_by_whole_tokens(spark, common):
+    blocked = ["http://h/ads/banners/1.gif", "http://h/ads/topbanner.gif", "http://h/ADS/x_banner2", "http://h/wp-login.php5", "http://h/a/wp-login.phpx?y", "http://h/doubleclick", "http://doubleclic\u212a.h/"]
+    urls = blocked + [f"http://h/{n}/{common}.txt" for n in range(20)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(frame).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block"] * 5 + ["allow", "block"] + ["allow"] * 20
+    assert all(url_filter.bounded(token, pattern) for _, needs, pattern in url_filter.PATTERN_RULES for token in needs)
+    assert not url_filter.bounded("banner", r"/ads/.*banner") and not url_filter.bounded("php", r"/wp-login\.php")
+
+
 def simhash_of(text):
     words = (text or "").encode().lower().split()
     if not words:
