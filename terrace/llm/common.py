@@ -55,6 +55,29 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
+def text_digest(docs: DataFrame) -> Column:
+    """SHA-256 of a row's text as it is; null and the empty text differ."""
+    return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), docs["text"].cast("string")), F.lit("")), 256))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the documents of each component one row, with all its columns.
+
+    ``rows`` has doc_id, digest (:func:`text_digest`) and component of every document;
+    equal texts share a component.  The row with the smallest doc_id stays, null loses;
+    of rows that share it the smallest digest; of repeated rows one.  A row is found
+    again by its text and doc_id together, so a null or shared doc_id costs no other row.
+    """
+    mark, digest, winner = fresh(docs, "mark"), fresh(docs, "digest"), fresh(docs, "winner")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("w"))
+    stay = best.select(F.col("w.digest").alias(digest), F.col("w.doc_id").alias(winner))
+    marked = docs.withColumn(mark, text_digest(docs))
+    kept = marked.join(stay, (F.col(mark) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(winner)))
+    # Only where a row is repeated does a second pass take one of its repeats.
+    repeats = rows.groupBy("digest", "doc_id").count().where("count > 1")
+    return (kept if repeats.isEmpty() else kept.dropDuplicates([mark])).select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

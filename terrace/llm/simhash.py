@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import keep_one, materialize, text_digest
 from .graph import components
 
 SHINGLE = 3
@@ -73,16 +73,17 @@ def _take(parts: Iterator[bytes], n: int) -> Iterator[bytes]:
         yield part
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed 64-bit) of every document, written once."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """doc_id, fp (signed 64-bit) and, if asked for, the digest of the text of every document, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(b, shingle) for b in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+    more = [text_digest(docs).alias("digest")] if digests else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return materialize(rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digests), "fingerprints")
 
 
 def _signed(mask: int) -> int:
@@ -273,14 +274,14 @@ def link_classes(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUN
     return ready.mapInPandas(_link(distance), "a long, b long")
 
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every document, and (fp, component_id) of every fingerprint."""
-    rows = fingerprints(docs, shingle)
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint rows of all documents, and (fp, root, component_id) of every fingerprint."""
+    rows = fingerprints(docs, shingle, digests)
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(link_classes(classes, distance)).withColumnRenamed("node", "fp")
     named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, named.join(least, "root").select("fp", "component_id")
+    return rows, named.join(least, "root").select("fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -291,9 +292,5 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component: the row whose doc_id is the smallest, with all its columns."""
-    _, classes = near_classes(docs)
-    winner = fresh(docs, "winner")
-    stay = classes.groupBy(F.col("component_id").alias(winner)).agg(F.lit(1).alias("one")).select(winner)
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(winner)), "left_semi")
-    ids = kept.groupBy("doc_id").count().where("count > 1")
-    return kept if ids.isEmpty() else kept.dropDuplicates(["doc_id"])
+    rows, classes = near_classes(docs, digests=True)
+    return keep_one(docs, rows.join(classes, "fp").select("doc_id", "digest", F.col("root").alias("component")))

@@ -309,6 +309,23 @@ def test_simhash_components(docs, empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def identity_rows():
+    """Rows whose ids say little: nulls with different texts, one id for two texts, a null-id copy of a row that has an id, repeated rows."""
+    a, b, c, d, e = (passage(s, 80) for s in range(40, 45))
+    return [(None, a, 1), (None, b, 2), (None, b, 2), (7, c, 3), (7, d, 4), (3, e, 5), (None, e.upper(), 6), (9, "  " + e, 7), (None, None, 8), (8, "", 9)]
+
+
+def assert_identity(spark, drop):
+    rows = identity_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(3)
+    out = drop(frame)
+    assert out.columns == frame.columns and Counter(map(tuple, out.collect())) == Counter([rows[0], rows[1], *rows[3:6], rows[9]])
+
+
+def test_simhash_drop_keeps_rows_of_null_and_shared_ids(spark):
+    assert_identity(spark, simhash.drop_near_duplicates)
+
+
 @pytest.mark.parametrize("chunk", [16, 4096])
 def test_simhash_links_lose_nothing(spark, chunk):
     rng = random.Random(8)
