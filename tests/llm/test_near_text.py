@@ -1,0 +1,90 @@
+"""The near-dedup stage against brute force on word-edited copies, with ids that say little."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from terrace.llm import graph, near_text
+from tests.llm.test_operators import assert_identity, passage
+
+
+def edited(text: str, edits: int, rng: random.Random) -> str:
+    words = text.split()
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = "edited" + str(rng.randrange(1000))
+    return " ".join(words)
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(texts):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng, out = random.Random(3), [None, "", " \t", "one", "ONE", "two words", "one two three four five", "one two three four six"]
+    for k in range(60):
+        base = passage(500 + k, 200)
+        out += [base, *(edited(base, n, rng) for n in (1, 2, 3, 4, 5, 6))]
+    return out
+
+
+def test_stage_drops_word_edited_copies(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near(spark, frame, "").collect()}
+    assert got == set(brute(texts))
+
+
+@pytest.mark.parametrize("chunk", [4, 2048])
+def test_links_in_chunks(spark, texts, chunk):
+    rng, base = random.Random(9), passage(7, 300)
+    many = texts[:40] + [edited(base, rng.randrange(0, 3), rng) for _ in range(40)]
+    rows = near_text.sketches(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"))
+    names = {r["rid"]: r["doc_id"] for r in rows.collect()}
+    roots = {names[r["node"]]: r["root"] for r in graph.components(near_text.link_rows(rows, chunk)).collect()}
+    groups = {}
+    for i, root in enumerate(brute(many)):
+        groups.setdefault(root, set()).add(i)
+    found = {}
+    for i in range(len(many)):
+        found.setdefault(roots.get(i, -1 - i), set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_spanning_joins_what_all_links_join():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.choice(60, size=n).astype(np.uint64)) for n in rng.integers(20, 200, 120)] + [np.array([], dtype=np.uint64)]
+    near = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+
+    def parts(links):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    links = near_text._spanning(sets)
+    assert {tuple(sorted(x)) for x in links} <= near and parts(links) == parts(near)
+
+
+def test_rows_of_null_and_shared_ids(spark):
+    assert_identity(spark, near_text.drop_near_duplicates)
+    assert near_text.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
