@@ -15,7 +15,9 @@ the corpus itself, so the graph is first thinned out:
    place, and a join brings those back.
 3. Compaction.  What is left of each document are paths of consecutive repeated
    edges; each path is compacted to one span of words (path of n edges: n + WINDOW - 1
-   words), verified place by place against the document's own edges, and removed.
+   words) and removed.  Spans are compacted within each document, not by joins on
+   nodes, and no words are compared at another source: edges are equal if their
+   hashes are.
 
 Both aggregations return the lone keys, not the repeated ones: a lone key has exactly
 one source, so no join ever meets a hot key, however many copies a passage has.  All
