@@ -298,13 +298,14 @@ def place(rows: DataFrame, limit: int = LENGTH) -> DataFrame:
         shortest = 0 if longest <= max(1, limit // LEAST_CLASS) else longest // 2
         left = sum(n for size, n in lengths.items() if shortest < size <= longest)
         todo = rows.where((F.col("length") > shortest) & (F.col("length") <= longest)).select("rank", "length")
-        number = left
+        number, begun, total = left, left, sum(size * n for size, n in lengths.items() if shortest < size <= longest)
         while left:
             slotted = left > CROWD * free
             if slotted:
                 gaps = _slots(gaps, longest)
             if number < FEW * left or not free:
-                more = -(-left // (limit // longest))
+                # As many pieces as surely fit, or, where lengths differ by more than twice, as much as the rest takes on average.
+                more = -(-left // (limit // longest)) if shortest else -(-left * total // (begun * limit))
                 new = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(limit).cast("long").alias("size"))
                 gaps, slotted = gaps.unionByName(_slots(new, longest)), True
                 opened, free = opened + more, free + more

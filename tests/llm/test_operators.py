@@ -135,6 +135,42 @@ def test_substring_dedup(docs, unique, empty, window, anchor):
     assert substring_dedup.kept_digests(empty).count() == 0
 
 
+def family():
+    """Texts whose repeated spans branch: edited copies of one text, a passage in many contexts, a text that repeats itself."""
+    base, common = passage(50, 300).split(), passage(51, 70)
+    texts = [" ".join(base), " ".join(base)]
+    for k in range(6):
+        words = list(base)
+        words[40 * k + 30] = f"edit{k}"
+        texts.append(" ".join(words))
+    context = [passage(60 + k, 90) for k in range(3)]
+    texts += [f"{c} {common} {passage(70 + k, 50)}" for k, c in enumerate(context)] + [f"{c} {common}" for c in context]
+    return texts + [" ".join([passage(80, 40)] * 5), common, passage(90, 400), None]
+
+
+@pytest.mark.parametrize("bits", [64, 14])
+def test_substring_paths_are_verified_word_by_word(spark, bits):
+    texts = family() + [passage(1000 + k, 150) for k in range(60 if bits < 64 else 0)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = Counter((k, len(w), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(w, g, strict=True) if not y)).hexdigest()) for k, (w, g) in enumerate(cover(texts, 12)))
+    assert Counter(map(tuple, substring_dedup.kept_digests(frame, 12, 4, bits).collect())) == want
+
+
+def test_substring_paths(spark):
+    texts = family()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = [(t or "").encode().split() for t in texts]
+    grams = Counter(b" ".join(w[i : i + 12]) for w in words for i in range(len(w) - 11))
+    seen = Counter()
+    for r in substring_dedup.repeated_paths(frame, 12, 4).collect():
+        path = words[r["did"]][r["place"] : r["place"] + r["n_words"]]
+        assert len(path) == r["n_words"] >= 12 and r["sources"] > 1
+        inside = [b" ".join(path[i : i + 12]) for i in range(len(path) - 11)]
+        assert {grams[g] for g in inside} == {r["sources"]}
+        seen.update(inside)
+    assert seen == Counter({g: 1 for g, n in grams.items() if n > 1})
+
+
 def test_substring_stage_keeps_rows_and_columns(unique):
     out = substring_dedup.remove_repeats(unique)
     assert out.columns == unique.columns
@@ -199,22 +235,81 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
-def test_best_fit_places_every_piece_once():
-    rng = np.random.default_rng(2)
-    for limit, n in ((10, 57), (64, 900), (2048, 5000)):
-        lengths = rng.integers(1, limit + 1, n)
-        counts = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)), strict=True))
-        plan, opened = packing.best_fit(counts, limit)
-        fill = defaultdict(list)
-        for length, runs in plan.items():
-            assert sum(r[1] for r in runs) == counts[length] and [r[0] for r in runs] == np.cumsum([0, *[r[1] for r in runs]])[:-1].tolist()
-            for _, number, first, at in runs:
-                for k in range(number):
-                    fill[first + k].append((at, length))
-        assert sorted(fill) == list(range(opened))
-        for parts in map(sorted, fill.values()):
-            assert parts[0][0] == 0 and all(a + m == b for (a, m), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= limit
-        assert opened <= 1.25 * -(-int(lengths.sum()) // limit) + 1
+def best_fit_in_supersteps(lengths, limit):
+    """The same supersteps on one list: (sequence fills, how many)."""
+    fills, few, crowd = [], packing.FEW, packing.CROWD
+    todo = sorted(lengths, reverse=True)
+    while todo and todo[0] > limit // 2:
+        fills.append([todo.pop(0)])
+    longest = limit // 2
+    while longest:
+        shortest = 0 if longest <= max(1, limit // packing.LEAST_CLASS) else longest // 2
+        mine = [n for n in todo if shortest < n <= longest]
+        todo = [n for n in todo if n <= shortest]
+        placed = len(mine)
+        while mine:
+            if placed < few * len(mine) or not fills:
+                fills += [[] for _ in range(-(-len(mine) // (limit // longest)) if shortest else -(-sum(mine) // limit))]
+            free = sorted((limit - sum(f), k) for k, f in enumerate(fills))
+            placed, left = 0, []
+            for n in mine:
+                at = next((i for i, (g, _) in enumerate(free) if g >= n), None)
+                if at is None:
+                    left.append(n)
+                else:
+                    fills[free.pop(at)[1]].append(n)
+                    placed += 1
+            mine = left
+        longest = shortest
+    assert crowd > 1 and all(sum(f) <= limit for f in fills)
+    return len([f for f in fills if f])
+
+
+@pytest.mark.parametrize(("limit", "n"), [(64, 500), (2048, 1500), (10, 57), (1, 5), (2048, 3)])
+def test_packing_is_as_good_as_best_fit_on_one_list(spark, limit, n):
+    rng = np.random.default_rng(n)
+    lengths = np.minimum(np.ceil(rng.gamma(1.2, limit / 4, n)), limit).astype(int).tolist()
+    frame = spark.createDataFrame([(k, length) for k, length in enumerate(lengths)], "pid long, length long").repartition(3)
+    rows = packing.place(packing.ranked(frame), limit).collect()
+    assert sorted((r["pid"], r["length"]) for r in rows) == list(enumerate(lengths))
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in map(sorted, bins.values()):
+        assert parts[0][0] == 0 and all(a + m == b for (a, m), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= limit
+    assert len(bins) <= best_fit_in_supersteps(lengths, limit) * 1.02 + 1 and len(bins) <= -(-sum(lengths) // limit) * 1.15 + 1
+
+
+def test_packing_a_crowd_of_short_pieces(spark):
+    lengths = [2000] * 3 + [k % 9 + 1 for k in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    rows = packing.place(packing.ranked(frame)).collect()
+    assert len(rows) == len(lengths) and len({r["sequence_id"] for r in rows}) <= -(-sum(lengths) // 2048) + 1
+
+
+def test_pieces_between_ranges_take_the_last_gap():
+    rng = random.Random(6)
+    for _ in range(200):
+        left = {s: (rng.randint(0, 5), rng.randint(0, 5)) for s in range(rng.randint(1, 6))}
+        of_pieces, of_gaps, pairs = packing.between_ranges(left)
+        free, want = [], []
+        for s in sorted(left):
+            for k in range(left[s][0]):
+                if free:
+                    want.append(((s, k), free.pop()))
+            free += [(s, k) for k in range(left[s][1])]
+
+        def number(steps, s, k, way):
+            found = [(first, p) for first, p in steps.get(s, []) if first <= k]
+            if not found or max(found)[1] < 0:
+                return None
+            return max(found)[1] + way * (k - max(found)[0])
+
+        assert pairs == len(want)
+        for (ps, pk), (gs, gk) in want:
+            assert number(of_pieces, ps, pk, 1) == number(of_gaps, gs, gk, -1) is not None
+        taken = {g for _, g in want}
+        assert all((number(of_gaps, s, k, -1) is None) == ((s, k) not in taken) for s in left for k in range(left[s][1]))
 
 
 def test_license_scan(spark, docs, empty):
