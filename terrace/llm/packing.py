@@ -44,7 +44,7 @@ LENGTH = 2048
 END = 0
 #: Shortest class of lengths, as a part of a sequence: all pieces up to it are one class.
 LEAST_CLASS = 64
-#: Share of the pieces left that a superstep has to place before new sequences are opened.
+#: Share of the pieces left that a superstep has to place, or else new sequences are opened (in the last class only when it places none).
 FEW = 0.2
 #: So many times more pieces than gaps make a superstep cut gaps into slots.
 CROWD = 4
@@ -298,17 +298,19 @@ def place(rows: DataFrame, limit: int = LENGTH) -> DataFrame:
         shortest = 0 if longest <= max(1, limit // LEAST_CLASS) else longest // 2
         left = sum(n for size, n in lengths.items() if shortest < size <= longest)
         todo = rows.where((F.col("length") > shortest) & (F.col("length") <= longest)).select("rank", "length")
-        number, begun, total = left, left, sum(size * n for size, n in lengths.items() if shortest < size <= longest)
+        number, more = left, 0
+        if not shortest:  # lengths differ by more than twice here: room is counted in tokens first
+            more = max(0, -(-(sum(size * n for size, n in lengths.items()) - opened * limit) // limit)) if left else 0
         while left:
             slotted = left > CROWD * free
             if slotted:
                 gaps = _slots(gaps, longest)
-            if number < FEW * left or not free:
-                # As many pieces as surely fit, or, where lengths differ by more than twice, as much as the rest takes on average.
-                more = -(-left // (limit // longest)) if shortest else -(-left * total // (begun * limit))
+            if not more and (not free or not number or number < FEW * left and shortest):
+                more = -(-left // (limit // longest))  # so many surely hold the rest
+            if more:
                 new = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(limit).cast("long").alias("size"))
                 gaps, slotted = gaps.unionByName(_slots(new, longest)), True
-                opened, free = opened + more, free + more
+                opened, free, more = opened + more, free + more, 0
             done, todo, gaps, number = _superstep(todo, gaps, slotted, max(LEAST_RANGES, -(-(left + free) // RANGE_ROWS)))
             placed.append(done)
             left -= number

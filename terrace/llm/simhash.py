@@ -13,6 +13,12 @@
    candidate is verified on all 64 bits.
 5. Links become components by star contraction.
 
+:func:`drop_near_duplicates` links texts of a similarity of about 0.8 or more: over
+five-word shingles, fingerprints of 256 bits.  A similarity (Jaccard) of s means that
+each bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8.  The first 64
+bits are probed within ``NEAR_DISTANCE`` and candidates verified on all 256 within
+``NEAR_BITS``.
+
 Within a signature bucket only a spanning set of links is emitted, never all
 pairs, unless the bucket is small.  Buckets over ``CHUNK`` fingerprints are cut
 into chunks and every pair of chunks is verified by itself, so no bucket is
@@ -42,30 +48,57 @@ from .graph import components
 
 SHINGLE = 3
 DISTANCE = 3
-#: Largest bucket that one task verifies; larger ones are cut into chunks of about this size.
-CHUNK = 4096
+#: For near-duplicate texts: words of a shingle, differing bits of the first 64 and of all bits.
+NEAR_SHINGLE, NEAR_DISTANCE, NEAR_BITS = 5, 12, 46
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+LAYOUTS = 8
+#: Cost of a probe (a row that is shuffled and sorted) in candidates (two machine words compared).
+PROBE_COST = 500.0
+#: Largest bucket that one task verifies; larger ones are cut into chunks of about half this size.
+CHUNK = 16_384
+#: Largest table of bucket names that is broadcast.
+BROADCAST_BUCKETS = 500_000
 #: Buckets up to this size are verified pair by pair.
 SMALL = 48
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+_SALTS = [np.uint64(k * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) for k in range(WIDE)]
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64 bits that stand for each shingle: its hash, then hashes of that."""
+    if not k:
+        return hashes
+    h = hashes + _SALTS[k]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, width: int = 1) -> list[int]:
+    """SimHash of one text in ``width`` unsigned 64-bit words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * width
     if len(words) < shingle:
         parts = iter((b" ".join(words),))
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    total, counts = 0, np.zeros(64, dtype=np.int64)
+    total, counts = 0, np.zeros((width, 64), dtype=np.int64)
     while True:  # a bounded piece of a long text at a time
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, _take(parts, 65_536), repeat(42)), dtype=np.uint64)
         if not len(hashes):
             break
         total += len(hashes)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > total, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        for k in range(width):
+            counts[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    return wide_fingerprint(text, shingle)[0]
 
 
 def _take(parts: Iterator[bytes], n: int) -> Iterator[bytes]:
@@ -73,17 +106,23 @@ def _take(parts: Iterator[bytes], n: int) -> Iterator[bytes]:
         yield part
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
-    """doc_id, fp (signed 64-bit) and, if asked for, the digest of the text of every document, written once."""
+def _columns(width: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(1, width)]]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1, digests: bool = False) -> DataFrame:
+    """doc_id, fp (signed 64-bit; and fp1, ... of wide ones) and, if asked for, the digest of the text of every document, written once."""
+    names = _columns(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(b, shingle) for b in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
+            found = [wide_fingerprint(b, shingle, width) for b in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = np.array(found, dtype=np.uint64).reshape(-1, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k].copy()) for k in range(width)], *batch.columns[2:]], ["doc_id", *names, *batch.schema.names[2:]])
 
     more = [text_digest(docs).alias("digest")] if digests else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return materialize(rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digests), "fingerprints")
+    return materialize(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", digest binary" * digests), "fingerprints")
 
 
 def _signed(mask: int) -> int:
@@ -157,7 +196,7 @@ def signatures(classes: DataFrame, distance: int = DISTANCE) -> list[int]:
     n, both = co_occurrence(classes)
     if n < 2:
         return [(1 << 64) - 1]
-    layouts = {m: bit_groups(n, both, m) for m in (2, 3, 4)}
+    layouts = {m: bit_groups(n, both, m) for m in range(2, min(LAYOUTS, distance + 1) + 1)}
     blocks = [(m, i, sum(1 << b for b in g)) for m, groups in layouts.items() for i, g in enumerate(groups)]
     # Pairs that agree in a whole block, counted over all fingerprints.
     keyed = classes.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("k")) for m, i, mask in blocks])).alias("b"))
@@ -173,10 +212,10 @@ def signatures(classes: DataFrame, distance: int = DISTANCE) -> list[int]:
             e, row = [1.0], [0.0]
             for b in group:  # elementary symmetric sums: pairs that differ in exactly t bits, relative to none
                 e = [1.0, *[(e[t] if t < len(e) else 0.0) + e[t - 1] * odds[b] for t in range(1, min(len(e), distance) + 1)]]
-            for t in range(distance + 1):
+            for t in range(min(distance + 1, len(group))):
                 probes = float(np.prod([(len(group) - j) / (j + 1) for j in range(t)])) if t else 1.0
                 candidates = equal.get((m, i), 0.0) * sum(e[: t + 1])
-                row.append(candidates + 40.0 * n * probes)  # a probe is a shuffled row, a candidate two machine words
+                row.append(candidates + PROBE_COST * n * probes)
             costs.append(row)
         found = allot(costs, distance)
         if best is None or found[0] < best[0]:
@@ -189,54 +228,61 @@ def signatures(classes: DataFrame, distance: int = DISTANCE) -> list[int]:
     return masks
 
 
-def _spanning(values: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Links that join exactly what all links within the distance join, found without emitting all pairs."""
+def _near(prints: np.ndarray, others: np.ndarray, distance: int, bits: int) -> np.ndarray:
+    """Which fingerprints (rows of words) are within the distance on the first word and, if wide, within ``bits`` on all."""
+    near = np.bitwise_count(prints[:, 0] ^ others[..., 0]) <= distance
+    if prints.shape[1] > 1:
+        at = np.flatnonzero(near)
+        far = np.bitwise_count(prints[at] ^ (others[at] if others.ndim > 1 else others)).sum(axis=1, dtype=np.int64) > bits
+        near[at[far]] = False
+    return near
+
+
+def _spanning(prints: np.ndarray, distance: int, bits: int) -> tuple[list[int], list[int]]:
+    """Links between positions that join exactly what all links join, found without emitting all pairs."""
     a, b = [], []
-    rest = values
+    rest = np.arange(len(prints))
     while len(rest) > 1:
-        stack, rest = [rest[0]], rest[1:]
+        stack, rest = [int(rest[0])], rest[1:]
         while stack and len(rest):
             x = stack.pop()
-            near = np.bitwise_count(rest ^ x) <= distance
+            near = _near(prints[rest], prints[x], distance, bits)
             if near.any():
-                found = rest[near]
-                a += [int(x)] * len(found)
-                b += found.tolist()
+                found = rest[near].tolist()
+                a += [x] * len(found)
+                b += found
                 stack.extend(found)
                 rest = rest[~near]
     return a, b
 
 
-def _link(distance: int):
+def _link(distance: int, bits: int, names: list[str]):
     """From rows sorted by (sig, key, part) to links within each bucket; buckets may cross batches."""
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
-        sig, key, part = (frame[c].to_numpy() for c in ("sig", "key", "part"))
-        fp = frame["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-        new = np.ones(len(fp), dtype=bool)
+        sig, key, part, node = (frame[c].to_numpy() for c in ("sig", "key", "part", "node"))
+        prints = np.ascontiguousarray(frame[names].to_numpy(dtype=np.int64)).view(np.uint64)
+        new = np.ones(len(node), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(fp)))
+        sizes = np.diff(np.append(starts, len(node)))
         a, b = [], []
         run = np.repeat(np.arange(len(starts)), sizes)
-        small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-        if small.any():
-            f, r = fp[small], run[small]
-            for s in range(1, SMALL):
-                if s >= len(f):
+        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        if len(small):
+            f, r = prints[small], run[small]
+            for s in range(1, min(SMALL, len(f))):
+                same = np.flatnonzero(r[s:] == r[:-s])
+                if not len(same):
                     break
-                same = r[s:] == r[:-s]
-                if not same.any():
-                    break
-                near = same & (np.bitwise_count(f[s:] ^ f[:-s]) <= distance)
-                a += f[:-s][near].tolist()
-                b += f[s:][near].tolist()
+                near = same[_near(f[same], f[same + s], distance, bits)]
+                a += node[small[near]].tolist()
+                b += node[small[near + s]].tolist()
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            x, y = _spanning(fp[start : start + size], distance)
-            a += x
-            b += y
-        pairs = np.array([a, b], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
+            x, y = _spanning(prints[start : start + size], distance, bits)
+            a += node[start + np.array(x, dtype=np.int64)].tolist()
+            b += node[start + np.array(y, dtype=np.int64)].tolist()
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -256,32 +302,33 @@ def _link(distance: int):
     return run
 
 
-def link_classes(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints connected by all links within the distance."""
+def link_classes(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, width: int = 1, bits: int = NEAR_BITS) -> DataFrame:
+    """Links (a, b) between nodes that connect exactly what all links within the distance connect; ``classes`` has node and the words of its fingerprint."""
+    names = _columns(width)
     masks = signatures(classes, distance)
     parts = F.array(*[F.struct(F.lit(s).alias("sig"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for s, mask in enumerate(masks)])
-    rows = classes.select("fp", F.explode(parts).alias("s")).select("fp", "s.sig", "s.key")
-    sizes = rows.groupBy("sig", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = materialize(sizes, "bucket-sizes")
-    hot = sizes.where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / (chunk / 2)).cast("int"))
-    normal = rows.join(sizes.where(F.col("n") <= chunk).select("sig", "key"), ["sig", "key"]).withColumn("part", F.lit(0).cast("long"))
-    split = rows.join(hot.select("sig", "key", "chunks"), ["sig", "key"]).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    with_all = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    split = split.select("sig", "key", "fp", "c", with_all.alias("o"))
-    split = split.select("sig", "key", "fp", (F.least("c", "o").cast("long") * (1 << 31) + F.greatest("c", "o") + 1).alias("part"))
-    ready = normal.select("sig", "key", "part", "fp").unionByName(split.select("sig", "key", "part", "fp"))
-    ready = ready.repartition("sig", "key", "part").sortWithinPartitions("sig", "key", "part", "fp")
-    return ready.mapInPandas(_link(distance), "a long, b long")
-
-
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, digests: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The fingerprint rows of all documents, and (fp, root, component_id) of every fingerprint."""
-    rows = fingerprints(docs, shingle, digests)
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(link_classes(classes, distance)).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = classes.select("node", *names, F.explode(parts).alias("s")).select("s.sig", "s.key", "node", *names)
+    sizes = classes.select(F.explode(parts).alias("s")).select("s.sig", "s.key").groupBy("sig", "key").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(sizes.where(F.col("n") > chunk).select("sig", "key", F.ceil(F.col("n") / (chunk / 2)).cast("int").alias("chunks")), "hot-buckets")
+    ready, n_hot = rows.withColumn("part", F.lit(0).cast("long")), hot.count()
+    if n_hot:
+        # A hot bucket is cut into chunks, and every pair of chunks is a part of its own.
+        split = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot, ["sig", "key"], "left")
+        split = split.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        ready = split.withColumn("part", F.least("c", "o").cast("long") * (1 << 31) + F.greatest("c", "o"))
+    ready = ready.select("sig", "key", "part", "node", *names).repartition("sig", "key", "part").sortWithinPartitions("sig", "key", "part", "node")
+    return ready.mapInPandas(_link(distance, bits, names), "a long, b long")
+
+
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint rows of all documents, and (fp, component_id) of every fingerprint."""
+    rows = fingerprints(docs)
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("node"), "fp", "least"), "classes")
+    roots = components(link_classes(classes))
+    named = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, named.join(least, "root").select("fp", "root", "component_id")
+    return rows, named.join(least, "root").select("fp", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -290,7 +337,14 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row whose doc_id is the smallest, with all its columns."""
-    rows, classes = near_classes(docs, digests=True)
-    return keep_one(docs, rows.join(classes, "fp").select("doc_id", "digest", F.col("root").alias("component")))
+def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, distance: int = NEAR_DISTANCE, bits: int = NEAR_BITS) -> DataFrame:
+    """One document of each group of near-duplicates: the row whose doc_id is the smallest, with all its columns.
+
+    Null and empty texts are one group; a null or shared doc_id costs no other row; of repeated rows one stays.
+    """
+    names = _columns(WIDE)
+    rows = fingerprints(docs, shingle, WIDE, digests=True)
+    classes = materialize(rows.groupBy(*names).count().select(F.monotonically_increasing_id().alias("node"), *names), "classes")
+    roots = components(link_classes(classes, distance, CHUNK, WIDE, bits))
+    named = classes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    return keep_one(docs, rows.join(named, names).select("doc_id", "digest", "component"))
