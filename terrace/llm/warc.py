@@ -5,10 +5,13 @@
    the response and the others revisit it; the groups are aggregated partially
    before they are shuffled, and which page revisits which goes to the shards as
    narrow rows of their own, so that payloads are shuffled once.
-2. Shards are stretches of the page_id order.  Their bounds follow from the counted
-   bytes of at most ``RANGES`` ranges, so they depend on the records alone, not on
-   sampling or on the number of executors.  A range that holds far more than a shard
-   is dealt out further by payload digest.
+2. Shards are stretches of the order by page_id and payload digest.  The narrow digest
+   rows are range-sorted and their bytes summed along the order, so the first key of
+   every shard depends on the records alone, not on sampling or on the number of
+   executors.  A shard has ``SHARD`` bytes of payload, or more where there would be over
+   ``MOST_SHARDS`` shards, so the table of first keys stays bounded.  Only a key that is
+   repeated for more than ``HEAVY`` shards is dealt out, among the shards it fills; its
+   records are alike but for the url, and which of them lies where is not fixed.
 3. Each shard is sorted and written by one task, which regenerates all headers and
    digests, compresses every record as its own gzip member (no time stamp), and rolls
    to the next file once a file has reached ``ROLL`` compressed bytes.  Files get
@@ -19,13 +22,15 @@
 
 Defined cases: a null or empty page is an empty payload and takes part like any
 other; a null page_id is written as an empty id and never preferred as response;
-of repeated rows of the largest page_id the first in sort order is the response; an
-empty table writes no file and an empty manifest; extra columns are ignored.
+of repeated rows of the largest page_id the first in sort order is the response; where
+no record of equal payloads has a page_id, there is nothing to refer to and all are
+responses; an empty table writes no file and an empty manifest; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
@@ -34,15 +39,17 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path
 
-RANGES = 4096
 #: Payload bytes of a shard, and compressed bytes after which a file is closed.
-SHARD = 16 << 20
-ROLL = 8 << 20
+SHARD = 32 << 20
+ROLL = 4 << 20
+MOST_SHARDS = 100_000
+HEAVY = 32
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = "shard long, sequence int, path string, temporary string, bytes long, records long, sha256 string"
@@ -97,33 +104,84 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(map(len, payloads), pa.int64())], ["page_id", "digest", "size"])
 
 
-def _sharded(pages: DataFrame, digests: DataFrame, shard: int) -> DataFrame:
-    """Adds ``shard`` to the pages: bounds from exact byte counts of ranges of page_id."""
-    limits = digests.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, high = limits["low"] or 0, limits["high"] or 0
-    width = (high - low) // RANGES + 1
-    at = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(width)), F.lit(-1)).cast("long")
-    sizes = digests.groupBy(at.alias("range")).agg(F.sum(F.col("size") + 512).alias("bytes"))  # at most RANGES + 2 rows
-    before = F.sum("bytes").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    bounds = sizes.select("range", F.floor(F.coalesce(before, F.lit(0)) / shard).cast("long").alias("first"), F.ceil(F.col("bytes") / shard).cast("int").alias("parts"))
-    located = pages.withColumn("range", at).join(F.broadcast(bounds), "range")
-    # A range is cut further only if it alone exceeds a shard; its records then go by digest to shards of its own.
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("digest", "page_id"), F.col("parts"))).otherwise(F.lit(0))
-    return located.withColumn("shard", F.col("first") * 1024 + F.when(F.col("parts") > 1, F.col("range") % 512 + 1).otherwise(0) + part * (1 << 32)).drop("range", "first", "parts")
+def _key(page_id: int | None, digest: bytes) -> tuple:
+    """The order of the archive, null first."""
+    return (page_id is not None, page_id or 0, digest)
+
+
+def shard_starts(digests: DataFrame, shard: int) -> list[tuple[tuple, int, int]]:
+    """(first key, shard, how many shards the key fills) in the archive's order; at most about ``MOST_SHARDS`` entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            before = []
+            for size in batch.column(2).to_pylist():
+                before.append(total)
+                total += size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64())], ["page_id", "digest", "bytes", "part", "before"])
+
+    keys = digests.groupBy("page_id", "digest").agg(F.sum(F.col("size") + 512).alias("bytes"))
+    order = [F.asc_nulls_first("page_id"), F.asc("digest")]
+    ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.mapInArrow(run, "page_id long, digest binary, bytes long, part int, before long"), "warc-order")
+    sums = {r["part"]: r["bytes"] for r in ranged.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect()}  # one row a range
+    if not sums:
+        return []
+    shard, starts = max(shard, -(-sum(sums.values()) // MOST_SHARDS)), [0]
+    for part in range(max(sums)):
+        starts.append(starts[-1] + sums.get(part, 0))
+    before = F.col("before") + F.element_at(F.array(*[F.lit(x) for x in starts]).cast("array<bigint>"), F.col("part") + 1)
+    at = ranged.select("page_id", "digest", F.floor(before / shard).cast("long").alias("shard"), F.floor((before + F.col("bytes") - 1) / shard).cast("long").alias("last"))
+    first = at.groupBy("shard").agg(F.min(F.struct("page_id", "digest", "last")).alias("k")).select("shard", "k.*")
+    heavy = at.where(F.col("last") - F.col("shard") >= HEAVY).select("shard", "page_id", "digest", "last")
+    rows = first.unionByName(heavy).distinct().collect()  # at most two rows a shard
+    many = lambda r: r["last"] - r["shard"] + 1 if r["last"] - r["shard"] >= HEAVY else 1
+    return sorted((_key(r["page_id"], bytes(r["digest"])), r["shard"], many(r)) for r in rows)
+
+
+def _placed(rows: DataFrame, starts: list[tuple[tuple, int, int]]) -> DataFrame:
+    """Adds ``shard``; pages of a key that fills several shards are dealt out, its notes go to each."""
+    keys = [k for k, _, _ in starts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = 0
+        for batch in batches:
+            take, shards = [], []
+            for row, (page, digest, is_page) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("page_id", "digest", "is_page")), strict=True)):
+                key = _key(page, digest)
+                at = bisect.bisect_right(keys, key) - 1
+                first, parts = starts[at][1:]
+                if parts > 1 and keys[at] != key:  # a later key that starts in the last shard of a heavy one
+                    first, parts = first + parts - 1, 1
+                if parts > 1 and not is_page:
+                    take += [row] * parts
+                    shards += range(first, first + parts)
+                    continue
+                take.append(row)
+                shards.append(first + dealt % parts)
+                dealt += parts > 1
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(take, pa.int64())).columns, pa.array(shards, pa.int64())], [*batch.schema.names, "shard"])
+
+    return rows.mapInArrow(run, "page_id long, digest binary, is_page boolean, url string, html string, response long, shard long")
 
 
 def write_archive(pages: DataFrame, path: str, shard: int = SHARD, roll: int = ROLL, least: int = 0) -> DataFrame:
     """Write all pages (page_id, url, html) as archives under ``path``; the committed manifest. Equal payloads of under ``least`` bytes are all responses."""
-    spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     digests = materialize(rows.select("page_id", "html").mapInArrow(_digested, "page_id long, digest binary, size long"), "payload-digests")
     groups = digests.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
     shared = groups.where("n > 1").select("digest", "response")
+    starts = shard_starts(digests, shard)
     # Whose payload is shared is noted in narrow rows that travel to the page's shard and sort before it, so payloads are shuffled once.
-    notes = digests.join(shared, "digest").select("page_id", "digest", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "response")
+    notes = digests.select("page_id", "digest").distinct().join(shared, "digest")
+    notes = notes.select("page_id", "digest", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "response")
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = rows.select("page_id", F.unhex(F.sha1(payload.cast("binary"))).alias("digest"), F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("long").alias("response"))
-    placed = _sharded(keyed.unionByName(notes), digests, shard)
+    placed = _placed(keyed.unionByName(notes), starts)
+    n_shards = max((at + parts for _, at, parts in starts), default=1)
+    # A response that fills several shards is one in its first shard only.
+    origin = {key: at for key, at, parts in starts if parts > 1}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(path)
@@ -149,7 +207,7 @@ def write_archive(pages: DataFrame, path: str, shard: int = SHARD, roll: int = R
                     state = {"shard": shard_no, "sequence": sequence, "name": name, "stream": files.open_output_stream(f"{base}/{name}"), "bytes": 0, "records": 0, "sha": hashlib.sha256()}
                 refers = noted[2] if noted[:2] == (page, digest) else None
                 encoded = base64.b32encode(digest).decode()
-                if refers == page and (page, digest) not in answered:
+                if refers == page and (page, digest) not in answered and origin.get(_key(page, digest), shard_no) == shard_no:
                     answered.add((page, digest))  # one entry for each response that is shared: they lie next to each other
                     refers = None
                 data = record(page, url, html or b"", encoded, refers)
@@ -164,7 +222,7 @@ def write_archive(pages: DataFrame, path: str, shard: int = SHARD, roll: int = R
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
 
-    ordered = placed.select("shard", "page_id", "url", "html", "digest", "is_page", "response").repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
+    ordered = placed.select("shard", "page_id", "url", "html", "digest", "is_page", "response").repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "warc-manifest")
     commit(manifest, path)
     return manifest
@@ -184,6 +242,9 @@ def commit(manifest: DataFrame, path: str) -> None:
     done = manifest.select("path", "temporary").mapInPandas(rename, "path string").count()
     files, base = fs.FileSystem.from_uri(path)
     files.create_dir(base, recursive=True)
+    for left in files.get_file_info(fs.FileSelector(base)):  # of attempts that failed
+        if left.base_name.startswith("_temporary-"):
+            files.delete_file(left.path)
     with files.open_output_stream(f"{base}/_SUCCESS") as mark:
         mark.write(f"{done} files\n".encode())
 
@@ -230,7 +291,8 @@ def read_archive(manifest: DataFrame, path: str) -> DataFrame:
                         rows.append((int(page) if page else None, size, digest, fields["WARC-Type"], int(refers) if refers else None))
                 yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORDS)
+    paths = manifest.select("path")
+    return paths.repartition(max(1, paths.count())).mapInArrow(read, RECORDS)  # a task a file
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:

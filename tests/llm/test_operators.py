@@ -195,6 +195,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(frame.limit(0)).count() == 0
 
 
+def test_warc_against_a_plain_loop_with_extreme_ids(spark, tmp_path):
+    rng = random.Random(12)
+    ids = [None, -(2**63), 2**63 - 1, 10**15, *range(300)]
+    pages = [(rng.choice(ids), f"http://h/{k}", rng.choice(["", None, "same", passage(k, 30), passage(k % 40, 200)])) for k in range(900)]
+    pages += [(7, "http://hot/", "hot")] * 400 + [(None, "u", "nobody")] * 3
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    manifest = warc.write_archive(frame, str(tmp_path / "a"), shard=4_096, roll=2_048)
+    got = Counter(map(tuple, warc.read_archive(manifest, str(tmp_path / "a")).collect()))
+    groups = defaultdict(list)
+    for page, _, html in pages:
+        groups[(html or "").encode()].append(page)
+    want = Counter()
+    for payload, members in groups.items():
+        best = max((m for m in members if m is not None), default=None)
+        left = [*members]
+        if best is not None:
+            left.remove(best)
+            want[best, len(payload), warc.payload_digest(payload), "response", None] += 1
+        for m in left:
+            want[m, len(payload), warc.payload_digest(payload), "response" if best is None else "revisit", best] += 1
+    assert got == want
+    spans = []
+    for r in sorted(manifest.collect(), key=lambda r: r["path"]):
+        with open(tmp_path / "a" / r["path"], "rb") as stream:
+            held = [f["X-Page-ID"] for f, _ in warc.parse(stream)]
+        spans.append([int(x) if x else -(2**64) for x in held])
+    assert len({r["shard"] for r in manifest.collect()}) > 5 and len(spans) > 20
+    assert all(s == sorted(s) for s in spans) and all(a[-1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_piece_codec_equals_library(docs, empty):
     model, codec, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES), random.Random(5)
     letters = " " * 6 + "▁\n\t\x00aeiounrst.,!<>/019ñéßü中文🙂\u3000"
