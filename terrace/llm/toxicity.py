@@ -5,14 +5,16 @@ whether any word of the text hashes to bucket i.  The second sum learns pairs of
 terms that matter together (an insult with the mention of a group) which a linear
 model cannot.  Words are runs of letters and digits, A-Z lower-cased.
 
-Fitting uses a bounded sample: at most ``FIT_ROWS`` labelled rows outside the
-held-out fold, those whose hashed doc_id comes first, and at most ``FIT_TERMS``
-buckets, those with the largest log-likelihood ratio over that sample, of at least
-``LEAST_G2``.  Scoring
-reads every whole text.
+Fitting uses a bounded sample: one row of each of at most ``FIT_ROWS`` labelled
+doc_ids outside the held-out fold, those whose hash comes first.  The model has the
+buckets that tell something by themselves (log-likelihood ratio of at least
+``LEAST_G2``, the best ``FIT_TERMS``) and, of the ``PAIR_TERMS`` most frequent buckets,
+both of every pair that tells more than its two terms do (by ``LEAST_PAIR``), so that
+terms which matter only together are learnt as well.  Scoring reads every whole text.
 
 Defined cases: a null text counts as empty and scores sigmoid(w0); labels that
 are null are not used; of contradicting labels of one doc_id the larger counts;
+of several texts of one doc_id the first in order is learnt from;
 without any label of either kind the model is constant at the smoothed base rate;
 repeated rows score alike; extra columns are ignored.
 """
@@ -36,6 +38,9 @@ FIT_ROWS = 20_000
 FIT_TERMS = 1_024
 #: Least log-likelihood ratio statistic of a term: rarer evidence is left out, as chance.
 LEAST_G2 = 15.0
+#: The most frequent buckets whose pairs are looked at, and the least ratio of a pair beyond those of its terms.
+PAIR_TERMS = 1_024
+LEAST_PAIR = 45.0
 FACTORS = 8
 THRESHOLD = 0.3
 
@@ -122,7 +127,36 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, epochs:
     return FactorizationMachine(buckets, w0, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERMS) -> FactorizationMachine:
+def _information(n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log-likelihood of the labels in cells of n rows of which t are positive."""
+
+    def part(x):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n, 1e-12)), 0.0)
+
+    return part(t) + part(n - t)
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, k: int, least: float = LEAST_PAIR) -> list[tuple[int, int]]:
+    """Pairs of the k terms (``rows``: positions of each document's terms) whose four cells tell more of the labels than the two terms do by themselves."""
+    n, tox = float(len(rows)), labels > 0
+    both, bad = np.zeros((k, k)), np.zeros((k, k))
+    for start in range(0, len(rows), 2_048):
+        x = np.zeros((min(2_048, len(rows) - start), k), dtype=np.float32)
+        for i, r in enumerate(rows[start : start + 2_048]):
+            x[i, r] = 1
+        both += x.T @ x
+        x = x[tox[start : start + 2_048]]
+        bad += x.T @ x
+    one, one_bad, t = np.diag(both), np.diag(bad), float(tox.sum())
+    base = _information(np.array(n), np.array(t))
+    single = 2 * (_information(one, one_bad) + _information(n - one, t - one_bad) - base)
+    cells = _information(both, bad) + _information(one[:, None] - both, one_bad[:, None] - bad) + _information(one[None, :] - both, one_bad[None, :] - bad)
+    cells += _information(n - one[:, None] - one[None, :] + both, t - one_bad[:, None] - one_bad[None, :] + bad)
+    gain = 2 * (cells - base) - single[:, None] - single[None, :]
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(gain >= least, 1)), strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERMS, pair_terms: int = PAIR_TERMS) -> FactorizationMachine:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -134,13 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_term
             sets = [sorted({memo[t] for t in terms(b)}) for b in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["toxic", "buckets"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # `chosen` has at most fit_rows rows of two numbers, so it may be broadcast at any size of the corpus.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = materialize(sample.mapInArrow(featurize, "toxic int, buckets array<int>"), "toxic-sample")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = materialize(sample.select("toxic", "text").mapInArrow(featurize, "toxic int, buckets array<int>"), "toxic-sample")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic")), F.lit(0)).alias("t")).first()
     n, t = total["n"], total["t"]
     seen = rows.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    seen = materialize(seen, "toxic-terms")
 
     def entropy(a, b):
         return sum(F.when(x > 0, x * F.log(x / (a + b))).otherwise(0.0) for x in (a, b))
@@ -150,16 +185,27 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_term
     gain = entropy(n1, n0) + entropy(m1, m0)
     base = sum(x * math.log(x / n) for x in (t, n - t) if x)
     top = seen.withColumn("gain", gain).where(2 * (F.col("gain") - base) >= LEAST_G2).orderBy(F.desc("gain"), "bucket").limit(fit_terms).select("bucket").collect()
-    buckets = np.array(sorted(r["bucket"] for r in top), dtype=np.int64)
+    frequent = seen.where((F.col("n") > 1) & (F.col("n") < n)).orderBy(F.desc("n"), "bucket").limit(pair_terms).select("bucket").collect()
+    alone, often = {r["bucket"] for r in top}, sorted({r["bucket"] for r in frequent})
+    wanted = np.array(sorted(alone.union(often)), dtype=np.int64)
 
     def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["buckets"] = [np.flatnonzero(np.isin(buckets, b)).astype(np.int32) for b in frame["buckets"]]
+            frame["buckets"] = [wanted[np.isin(wanted, b)].astype(np.int32) for b in frame["buckets"]]
             yield frame
 
-    data = rows.mapInPandas(narrow, "toxic int, buckets array<int>").toPandas()
+    data = rows.mapInPandas(narrow, "toxic int, buckets array<int>").toPandas()  # at most fit_rows rows
     order = sorted(range(len(data)), key=lambda i: (int(data["toxic"].iloc[i]), list(data["buckets"].iloc[i])))
-    return fit([np.asarray(data["buckets"].iloc[i]) for i in order], np.array([float(data["toxic"].iloc[i] > 0) for i in order]), buckets)
+    marks = np.array([float(data["toxic"].iloc[i] > 0) for i in order])
+    sets = [np.asarray(data["buckets"].iloc[i], dtype=np.int64) for i in order]
+
+    def positions(buckets: np.ndarray) -> list[np.ndarray]:
+        return [np.searchsorted(buckets, s[np.isin(s, buckets)]) for s in sets]
+
+    common = np.array(often, dtype=np.int64)
+    pairs = telling_pairs(positions(common), marks, len(common)) if len(common) and 0 < marks.sum() < len(marks) else []
+    buckets = np.array(sorted(alone.union(int(common[x]) for pair in pairs for x in pair)), dtype=np.int64)
+    return fit(positions(buckets), marks, buckets)
 
 
 def _scorer(model: FactorizationMachine):

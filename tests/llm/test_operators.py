@@ -377,6 +377,36 @@ def test_toxicity_learns_and_holds_out(spark, docs, empty):
     assert toxicity.score_documents(empty, none).count() == 0
 
 
+def test_toxicity_learns_pairs_that_tell_nothing_alone(spark):
+    rng, rows, labels = random.Random(14), [], []
+    for i in range(2600):
+        words = [f"w{rng.randint(0, 200)}" for _ in range(25)]
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words += ["idiot"] * insult + ["northerners"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult == group)))
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r for r in toxicity.score_documents(frame, marks).collect() if r["held_out"]]
+    # A plain table of the four cells of the pair is right always, every additive model about half the time.
+    assert len(got) > 500 and sum((r["score"] >= 0.5) == bool(labels[r["doc_id"]][1]) for r in got) / len(got) >= 0.9
+
+
+def test_toxicity_logit_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    model = toxicity.FactorizationMachine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 8)))
+    for _ in range(20):
+        active = sorted(rng.choice(30, size=rng.integers(0, 12), replace=False).tolist())
+        naive = 0.3 + sum(model.w[i] for i in active) + sum(float(model.v[i] @ model.v[j]) for i in active for j in active if i < j)
+        assert abs(model.logit(active) - naive) < 1e-9
+
+
+def test_toxicity_sample_is_bounded_under_repeated_ids(spark):
+    frame = spark.createDataFrame([(k % 3, f"text {k}") for k in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score_documents(frame, marks).count() == 300
+
+
 def test_url_filter(spark):
     urls = ["http://A.Net/x", "http://example.net/en/1", "http://sub.example.net/en/", "https://example.com/de/1?q", "http://example.org/fr/", "http://example.org/en", "http://foo.net", None, "no scheme", "http://spam-farm.example.org/en/", "http://my-spam-farm.org/", "x://h?p=http://y.net/", "http://badexample.com/de/", ""]
     frame = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x")], "page_id long, url string, host string")
