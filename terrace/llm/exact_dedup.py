@@ -5,7 +5,9 @@ SHA-256 digest in one pass over the texts.  Every input partition folds its own
 digests through a local :class:`CuckooIndex` (a group of copies shrinks to one
 entry per partition before anything is shuffled), the entries are dealt out by
 digest, and each shard folds them through its own index.  A filter hit is only a
-hint: it is verified against the full digest kept in the bucket.
+hint: it is verified against the full digest kept in the bucket.  A local index is
+emptied at ``MOST_LIVE`` entries and the number of shards follows the number of rows,
+so no index grows with the corpus.
 
 Defined cases: a null text counts as empty, so null and empty texts form one
 group; a null ``doc_id`` loses against every other; rows repeated with the same
@@ -19,8 +21,8 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .common import fresh, materialize
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Entries of one index, about.
+MOST_LIVE = 200_000
 
 
 class CuckooIndex:
@@ -51,8 +55,9 @@ class CuckooIndex:
         self.values: list = [None] * (SLOTS * buckets)
 
     def _place(self, key: bytes) -> tuple[int, int, int]:
-        mark = (key[0] | key[1] << 8) or 1
-        first = int.from_bytes(key[2:10], "little") & self.mask
+        mixed = xxhash.xxh3_64_intdigest(key)
+        mark = (mixed & 0xFFFF) or 1
+        first = (mixed >> 16) & self.mask
         return mark, first, self._other(first, mark)
 
     def _other(self, bucket: int, mark: int) -> int:
@@ -156,37 +161,39 @@ def _order(entry: tuple) -> tuple:
     return (doc_id is not None, doc_id or 0, -rid)
 
 
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Insert each digest into this shard's index, or, where the digest is live already, let the better row replace it."""
-    index = CuckooIndex()
-    for frame in frames:
-        ids = [None if n else int(i) for i, n in zip(frame["keep_id"], frame["keep_id"].isna(), strict=True)]
-        for key, doc_id, rid, count in zip(frame["digest"], ids, frame["keep_rid"], frame["group_size"], strict=True):
-            key, new = bytes(key), (doc_id, int(rid), int(count))
-            live = index.get(key)
-            if live is not None:
-                total = live[2] + new[2]
-                best = max(live, new, key=_order)
-                index.delete(key)
-                new = (best[0], best[1], total)
-            index.put(key, new)
+def _entries(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     entries = list(index.items())
     for start in range(0, len(entries), 20_000):
         part = entries[start : start + 20_000]
-        yield pd.DataFrame(
-            {
-                "digest": [k for k, _ in part],
-                "keep_id": pd.array([v[0] for _, v in part], dtype="Int64"),
-                "keep_rid": [v[1] for _, v in part],
-                "group_size": [v[2] for _, v in part],
-            }
-        )
+        columns = [pa.array([k for k, _ in part], pa.binary()), *[pa.array([v[i] for _, v in part], pa.int64()) for i in range(3)]]
+        yield pa.RecordBatch.from_arrays(columns, ["digest", "keep_id", "keep_rid", "group_size"])
 
 
-def live_groups(digests: DataFrame) -> DataFrame:
+def _fold(most: int | None):
+    """Insert each digest into an index, or, where the digest is live already, let the better row stand for it; emptied at ``most`` entries, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            for key, *new in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                live = index.get(key)
+                if live is not None:
+                    best = max(live, new, key=_order)
+                    new = (best[0], best[1], live[2] + new[2])
+                index.put(key, new)
+            if most and len(index) >= most:
+                yield from _entries(index)
+                index = CuckooIndex()
+        yield from _entries(index)
+
+    return run
+
+
+def live_groups(digests: DataFrame, most: int = MOST_LIVE) -> DataFrame:
     """One row per distinct text: digest, keep_id, keep_rid, group_size."""
     entries = digests.select("digest", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))
-    return entries.mapInPandas(_fold, _LIVE).repartition("digest").mapInPandas(_fold, _LIVE)
+    shards = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-digests.count() // most))
+    return entries.mapInArrow(_fold(most), _LIVE).repartition(shards, "digest").mapInArrow(_fold(None), _LIVE)
 
 
 def apply_changes(changes: DataFrame) -> DataFrame:
@@ -197,20 +204,21 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     digest keeps its doc_id until it is deleted.  Null digests are ignored.
     """
 
-    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
-        for frame in frames:
-            for op, key, doc_id in zip(frame["op"], frame["digest"], frame["doc_id"], strict=True):
-                key = bytes(key)
+        for batch in batches:
+            for op, key, doc_id in zip(*(batch.column(n).to_pylist() for n in ("op", "digest", "doc_id")), strict=True):
                 if op == "delete":
                     index.delete(key)
                 elif op == "insert" and key not in index:
-                    index.put(key, None if pd.isna(doc_id) else int(doc_id))
+                    index.put(key, doc_id)
         entries = list(index.items())
-        yield pd.DataFrame({"digest": [k for k, _ in entries], "doc_id": pd.array([v for _, v in entries], dtype="Int64")})
+        for start in range(0, len(entries), 20_000):
+            part = entries[start : start + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v for _, v in part], pa.int64())], ["digest", "doc_id"])
 
     rows = changes.where(F.col("digest").isNotNull()).select("seq", "op", "digest", F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.repartition("digest").sortWithinPartitions("seq").mapInPandas(play, "digest binary, doc_id long")
+    return rows.repartition("digest").sortWithinPartitions("seq").mapInArrow(play, "digest binary, doc_id long")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -241,7 +249,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     marked = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
     stay = winners.select(F.col("digest").alias(mark), F.col("keep_id").alias(winner))
-    kept = marked.join(stay, mark).where(F.col("doc_id").eqNullSafe(F.col(winner)))
+    # The doc_id is part of the key, so the copies of one text are not dealt to one task.
+    stay = stay.withColumnRenamed(mark, found := fresh(docs, "found"))
+    kept = marked.join(stay, (F.col(mark) == F.col(found)) & F.col("doc_id").cast("long").eqNullSafe(F.col(winner)))
     # Only where a winning row is itself repeated does a second pass take one of its repeats.
     repeats = digests.groupBy("digest", "doc_id").count().where("count > 1").select(F.col("digest").alias(mark), F.lit(True).alias(same))
     if not repeats.isEmpty():

@@ -62,6 +62,24 @@ def test_cuckoo_index_inserts_deletes_and_grows():
     assert all(index.get(k) == truth.get(k) and (k in index) == (k in truth) for k in keys)
 
 
+def test_cuckoo_index_takes_any_key():
+    index = exact_dedup.CuckooIndex(8)
+    keys = [b"", b"a", b"ab", *(b"same first bytes" + bytes([k]) for k in range(200))]
+    for k, key in enumerate(keys):
+        index.put(key, k)
+    assert len(index) == len(keys) and all(index.get(key) == k for k, key in enumerate(keys)) and index.mask < 4096
+
+
+def test_exact_groups_of_large_ids_in_small_indexes(spark):
+    rows = [(None if k % 7 == 0 else 2**62 + k, f"text {k % 50}") for k in range(400)]
+    digests = exact_dedup.digest_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.live_groups(digests, 10).collect()}
+    want = defaultdict(list)
+    for i, text in rows:
+        want[hashlib.sha256(text.encode()).digest()].append(i)
+    assert got == {d: (max(i for i in ids if i is not None), len(ids)) for d, ids in want.items()}
+
+
 def test_exact_groups(docs, empty):
     got = exact_dedup.exact_groups(docs).collect()
     groups = defaultdict(list)
