@@ -44,8 +44,8 @@ LENGTH = 2048
 END = 0
 #: Shortest class of lengths, as a part of a sequence: all pieces up to it are one class.
 LEAST_CLASS = 64
-#: Share of the pieces left that a superstep has to place, or else new sequences are opened (in the last class only when it places none).
-FEW = 0.2
+#: Share of the pieces left that a superstep has to place, or else new sequences are opened; and of the last class.
+FEW, FEW_LAST = 0.3, 0.05
 #: So many times more pieces than gaps make a superstep cut gaps into slots.
 CROWD = 4
 #: Rows of a range in a superstep, about, and the least number of ranges.
@@ -266,7 +266,7 @@ def _superstep(todo: DataFrame, gaps: DataFrame, slotted: bool, ranges: int) ->
     counts = swept.groupBy("shard").agg(*tally).collect()  # one row a range
     left = {r["shard"]: (r["pieces"], r["gaps"]) for r in counts}
     number = sum(r["pairs"] for r in counts)
-    rest = _paired(swept, left)
+    rest = materialize(_paired(swept, left), "left")
     placed = swept.where(f"kind = {_PAIR}").select("rank", "length", "seq", "size")
     if between := between_ranges(left)[2]:
         far = rest.where(f"kind = {_PIECE} and pair >= 0").select("pair", "rank", "length").join(rest.where(f"kind = {_GAP} and pair >= 0").select("pair", "seq", "size"), "pair").drop("pair")
@@ -305,7 +305,7 @@ def place(rows: DataFrame, limit: int = LENGTH) -> DataFrame:
             slotted = left > CROWD * free
             if slotted:
                 gaps = _slots(gaps, longest)
-            if not more and (not free or not number or number < FEW * left and shortest):
+            if not more and (not free or number < (FEW if shortest else FEW_LAST) * left):
                 more = -(-left // (limit // longest))  # so many surely hold the rest
             if more:
                 new = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(limit).cast("long").alias("size"))

@@ -7,7 +7,11 @@ language (all other words in one bin).  The references are sums over all documen
 that pass the base rules, by language; a language outside ``COMMON_WORDS`` is
 compared with the pooled reference and by characters alone.  The measure is the
 Jensen-Shannon distance (square root of the divergence, base 2).  Documents under
-``LEAST_WORDS`` words are not judged by it, for their histograms say too little.
+``LEAST_WORDS`` words are not judged by it, for their histograms say too little.  The
+limit for words follows from the reference: ``WORD_SHARE`` of the distance of a text of
+the same length that has no common word of its language, but not less than
+``NOISE`` times what chance alone brings at that length (a histogram of k bins drawn
+n times is about sqrt((k - 1) / (8 n ln 2)) away from its source).
 
 Repeated windows are found inside each row by sorting window hashes (XXH64 of the
 five words in sequence), so no text leaves its row and nothing is shuffled but the
@@ -20,6 +24,8 @@ empty result; extra columns are ignored or carried untouched.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +34,9 @@ from .common import fresh, materialize, pin, word_array
 WINDOW = 5
 LEAST_WORDS = 50
 #: Largest Jensen-Shannon distance that passes.
-CHARACTER_LIMIT, WORD_LIMIT = 0.30, 0.45
+CHARACTER_LIMIT = 0.30
+#: The word limit, see above.
+WORD_SHARE, NOISE = 0.85, 1.5
 #: Smoothing of a histogram's bins.
 PRIOR = 0.5
 
@@ -146,15 +154,20 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     judged = joined.withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn(
         "word_distance", F.when(F.col("lang") != "", js_distance(F.col("vocab"), F.col("ref_vocab")))
     )
-    far = (F.col("char_distance") > CHARACTER_LIMIT) | (F.col("word_distance") > WORD_LIMIT)
+    bins = len(next(iter(COMMON_WORDS.values())))
+    bare = F.array(*[F.lit(0).cast("bigint")] * bins, F.col("n_words"))
+    chance = NOISE * F.sqrt(bins / (8 * math.log(2) * F.col("n_words")))
+    judged = judged.withColumn("word_limit", F.when(F.col("lang") != "", F.greatest(WORD_SHARE * js_distance(bare, F.col("ref_vocab")), chance)))
+    far = (F.col("char_distance") > CHARACTER_LIMIT) | (F.col("word_distance") > F.col("word_limit"))
     verdict = F.when(F.col("base_failed"), False).when(F.col("n_words") < LEAST_WORDS, True).otherwise(~F.coalesce(far, F.lit(False)))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), F.round("word_limit", 6).alias("word_limit")
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    mark = fresh(docs, "good")
-    good = judge_quality(docs).where("kept").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
+    """The documents that are kept, with all their columns; every row is judged by its own text, whatever its doc_id."""
+    row, names = fresh(docs, "row"), docs.columns
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "quality-documents")
+    good = judge_quality(rows.select(F.col(row).alias("doc_id"), "text", "lang")).where("kept").select(F.col("doc_id").alias(row))
+    return rows.join(good, row, "left_semi").select(*names)

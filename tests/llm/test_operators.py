@@ -285,7 +285,7 @@ def test_packing(docs, empty):
 
 def best_fit_in_supersteps(lengths, limit):
     """The same supersteps on one list: (sequence fills, how many)."""
-    fills, few, crowd = [], packing.FEW, packing.CROWD
+    fills, few = [], packing.FEW
     todo = sorted(lengths, reverse=True)
     while todo and todo[0] > limit // 2:
         fills.append([todo.pop(0)])
@@ -296,7 +296,7 @@ def best_fit_in_supersteps(lengths, limit):
         todo = [n for n in todo if n <= shortest]
         placed = len(mine)
         while mine:
-            if placed < few * len(mine) or not fills:
+            if placed < (few if shortest else packing.FEW_LAST) * len(mine) or not fills:
                 fills += [[] for _ in range(-(-len(mine) // (limit // longest)) if shortest else -(-sum(mine) // limit))]
             free = sorted((limit - sum(f), k) for k, f in enumerate(fills))
             placed, left = 0, []
@@ -309,7 +309,7 @@ def best_fit_in_supersteps(lengths, limit):
                     placed += 1
             mine = left
         longest = shortest
-    assert crowd > 1 and all(sum(f) <= limit for f in fills)
+    assert all(sum(f) <= limit for f in fills)
     return len([f for f in fills if f])
 
 
