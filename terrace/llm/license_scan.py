@@ -11,7 +11,8 @@ p / (2 BLOCK) with it and shares a band with probability 1 - (1 - s)^BANDS: over
 0.9995 for the shortest part, ``DIRECT + 1`` shingles.  Shorter templates are too
 small for any sketch of a window, so each of their shingles is a band by itself.
 A retrieved template counts if at least ``CONTAINED`` of its distinct shingles occur
-in the text, which is checked exactly.
+in the text, which is checked exactly.  Templates of one family differ in few words, so
+of these only the best contained count.
 
 The template list is a parameter of bounded size, so its keys are broadcast; texts
 never leave their row, and only verified matches are shuffled.
@@ -34,18 +35,27 @@ BANDS = 16
 DIRECT = 24
 CONTAINED = 0.8
 
-# Short notices by which licenses are declared.
+# Notices by which licenses are declared, as (license, family, text).
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("MIT", "mit", "Released under the MIT License."),
+    ("MIT", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "mit", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("ISC", "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("GPL-3.0", "gpl-line", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "gpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-NC-4.0", "cc-line", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "cc", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "cc", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "cc0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("BSD", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
@@ -76,14 +86,15 @@ def minima(hashes: Column) -> Column:
 
 
 def template_keys(docs: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, list[int]]:
-    """(band, low, template, license, shingles) of every template key, and all template shingles."""
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(n, *t) for n, t in enumerate(templates)], "template int, license string, text string")
-    rows = rows.select("template", "license", F.array_distinct(shingle_hashes(scan_words(F.col("text")))).alias("shingles")).where(F.size("shingles") > 0)
-    short = rows.where(F.size("shingles") <= DIRECT).select("template", "license", "shingles", F.lit(-1).alias("band"), F.explode("shingles").alias("low"))
+    """(band, low, template, license, family, shingles) of every template key, and all template shingles."""
+    # Literals instead of a local table, which Python workers would read.
+    told = F.array(*[F.struct(F.lit(n).alias("template"), *[F.lit(x).alias(c) for c, x in zip(("license", "family", "text"), t, strict=True)]) for n, t in enumerate(templates)])
+    rows = docs.sparkSession.range(1).select(F.explode(told).alias("t")).select("t.*")
+    rows = rows.select("template", "license", "family", F.array_distinct(shingle_hashes(scan_words(F.col("text")))).alias("shingles")).where(F.size("shingles") > 0)
+    short = rows.where(F.size("shingles") <= DIRECT).select("template", "license", "family", "shingles", F.lit(-1).alias("band"), F.explode("shingles").alias("low"))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("shingles") - BLOCK, F.lit(0)), F.lit(BLOCK)), lambda s: F.slice("shingles", s + 1, BLOCK))
-    long = rows.where(F.size("shingles") > DIRECT).select("template", "license", "shingles", F.explode(parts).alias("part"))
-    long = long.select("template", "license", "shingles", F.posexplode(minima(F.col("part"))).alias("band", "low"))
+    long = rows.where(F.size("shingles") > DIRECT).select("template", "license", "family", "shingles", F.explode(parts).alias("part"))
+    long = long.select("template", "license", "family", "shingles", F.posexplode(minima(F.col("part"))).alias("band", "low"))
     keys = short.unionByName(long).distinct()
     wanted = sorted({h for r in rows.select("shingles").collect() for h in r["shingles"]})  # bounded by the template list
     return keys, wanted
@@ -105,8 +116,10 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     probes = rows.select("doc_id", "present", F.explode(F.concat(lows, direct)).alias("p")).select("doc_id", "present", "p.band", "p.low")
     hits = probes.join(F.broadcast(keys), ["band", "low"])
     share = F.size(F.array_intersect("present", "shingles")) / F.size("shingles")
-    hits = hits.select("doc_id", "template", "license", share.alias("containment")).where(F.col("containment") >= CONTAINED)
-    return hits.groupBy("doc_id", "template", "license").agg(F.max("containment").alias("containment"))
+    hits = hits.select("doc_id", "family", F.struct(share.alias("containment"), "template", "license").alias("m")).where(F.col("m.containment") >= CONTAINED)
+    grouped = hits.groupBy("doc_id", "family").agg(F.max("m.containment").alias("best"), F.collect_set("m").alias("found"))  # bounded by the template list
+    found = grouped.select("doc_id", F.explode(F.filter("found", lambda m: m["containment"] == F.col("best"))).alias("m"))
+    return found.select("doc_id", "m.template", "m.license", "m.containment").distinct()
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:

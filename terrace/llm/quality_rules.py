@@ -156,7 +156,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     )
     bins = len(next(iter(COMMON_WORDS.values())))
     bare = F.array(*[F.lit(0).cast("bigint")] * bins, F.col("n_words"))
-    chance = NOISE * F.sqrt(bins / (8 * math.log(2) * F.col("n_words")))
+    chance = NOISE * F.sqrt(bins / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1))))
     judged = judged.withColumn("word_limit", F.when(F.col("lang") != "", F.greatest(WORD_SHARE * js_distance(bare, F.col("ref_vocab")), chance)))
     far = (F.col("char_distance") > CHARACTER_LIMIT) | (F.col("word_distance") > F.col("word_limit"))
     verdict = F.when(F.col("base_failed"), False).when(F.col("n_words") < LEAST_WORDS, True).otherwise(~F.coalesce(far, F.lit(False)))

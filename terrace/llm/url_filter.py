@@ -88,11 +88,10 @@ def indexed_rules(tokens: DataFrame, rules=PATTERN_RULES) -> DataFrame:
     loose = [(token, pattern) for _, needs, pattern in rules for token in needs if not bounded(token, pattern)]
     if loose:
         raise ValueError(f"literals that their expressions do not bound: {loose}")
-    spark = tokens.sparkSession
-    literals = spark.createDataFrame(
-        [(n, verdict, token, pattern) for n, (verdict, needs, pattern) in enumerate(rules) for token in needs],
-        "rule_no int, verdict string, token string, pattern string",
-    )
+    # Literals instead of a local table, which Python workers would read.
+    told = [(n, verdict, token, pattern) for n, (verdict, needs, pattern) in enumerate(rules) for token in needs]
+    told = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("rule_no", "verdict", "token", "pattern"), t, strict=True)]) for t in told])
+    literals = tokens.sparkSession.range(1).select(F.explode(told).alias("t")).select("t.*")
     small = F.broadcast if sum(len(r[1]) for r in rules) <= BROADCAST_RULES else (lambda x: x)
     counts = tokens.join(small(literals.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = literals.join(counts, "token", "left")

@@ -134,6 +134,25 @@ def test_quality_divergence_rejects_symbol_soup(spark):
     assert not kept[99] and all(v for k, v in kept.items() if k != 99)
 
 
+def test_quality_divergence_rejects_texts_without_the_words_of_their_language(spark):
+    rng = random.Random(2)
+    rare = [passage(k, 1) + str(k) for k in range(400)]
+
+    def prose(common, n=260):
+        return " ".join(rng.choice(common) if rng.random() < 0.3 else rng.choice(rare) for _ in range(n))
+
+    rows = [(k, prose(quality_rules.COMMON_WORDS[lang]), lang) for lang in ("en", "de") for k in range(0 if lang == "en" else 100, 60 if lang == "en" else 160)]
+    rows += [(900, prose(quality_rules.COMMON_WORDS["de"]), "en"), (901, prose(rare), "en"), (902, prose(rare, 55), "en"), (903, prose(rare), "xx")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept[900] and not kept[901] and kept[902] and kept[903] and all(v for k, v in kept.items() if k < 900)
+
+
+def test_quality_stage_judges_rows_of_one_id_apart(spark):
+    good, bad = " ".join(passage(k, 1) for k in range(60)), "bad"
+    frame = spark.createDataFrame([(1, good, "xx", 1), (1, bad, "xx", 2), (None, good, "xx", 3), (None, bad, None, 4)], "doc_id long, text string, lang string, mark int")
+    assert sorted(r["mark"] for r in quality_rules.keep_good(frame).collect()) == [1, 3]
+
+
 def cover(texts, window):
     words = [(t or "").encode().split() for t in texts]
     seen = Counter(b" ".join(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -361,7 +380,7 @@ def test_pieces_between_ranges_take_the_last_gap():
 
 
 def test_license_scan(spark, docs, empty):
-    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
+    mit = next(t for n, _, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
     cut = " ".join(mit.split()[:-5])
     texts = {1: passage(9, 700) + " Licensed under the Apache License, Version 2.0. " + passage(10, 40), 2: passage(11, 333) + "\n" + mit.upper() + "\n" + passage(12, 200), 3: cut, 4: " ".join(mit.split()[:20]), 5: "this work is licensed", 6: None}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -370,6 +389,31 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(docs).count() == len(rows_of()) and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_against_plain_containment(spark):
+    import regex
+
+    def cut(text):
+        words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    rng, texts = random.Random(21), [None, "", "one two"]
+    for n, (_, _, text) in enumerate(license_scan.TEMPLATES):
+        for k in range(12):
+            words = [w for w in text.split() if rng.random() > 0.01 * (k % 5)]
+            texts.append(passage(3000 + 20 * n + k, rng.randint(0, 150)) + " " + " ".join(words) + ". " + passage(5000 + 20 * n + k, rng.randint(0, 90)))
+    templates, want = [(name, family, cut(t)) for name, family, t in license_scan.TEMPLATES], {}
+    for k, text in enumerate(texts):
+        found, have = [], cut(text)
+        for name, family, t in templates:
+            if len(t & have) / len(t) >= 0.8:
+                found.append((family, len(t & have) / len(t), name))
+        best = {f: max(c for g, c, _ in found if g == f) for f, _, _ in found}
+        want[k] = ",".join(sorted({name for f, c, name in found if c == best[f]}))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(frame).collect()} == want
+    assert len({x for w in want.values() for x in w.split(",")}) > 12
+
+
 def test_toxicity_learns_and_holds_out(spark, docs, empty):
     rng, insults, groups = random.Random(4), ["idiot", "scum", "trash"], ["northerners", "southerners"]
     rows, labels = [], []
