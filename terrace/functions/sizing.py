@@ -23,7 +23,9 @@ RUNOFF_BY_CLASS = {
 }
 
 # Colour stops of the elevation ramp (position, red, green, blue).
-ELEVATION_STOPS = ((0.0, 49, 104, 142), (0.25, 53, 183, 121), (0.5, 253, 231, 37), (0.75, 230, 145, 56), (1.0, 166, 61, 64))
+ELEVATION_STOPS = ((0.0, 33, 102, 172), (0.25, 103, 169, 207), (0.5, 253, 219, 199), (0.75, 239, 138, 98), (1.0, 178, 24, 43))
+# Colours of the ranks, the last for all further ones.
+RANK_COLORS = ("#00e676", "#66dd55", "#a8d63a", "#d4c22c", "#f0a020")
 
 
 def runoff_m3(area_m2: Column, rain_mm, coefficient=RUNOFF_COEFFICIENT) -> Column:
@@ -130,18 +132,18 @@ def normalised_elevation(value: Column, low: Column, high: Column) -> Column:
 
 
 def elevation_color(t: Column) -> Column:
-    """#rrggbb on a piecewise-linear ramp, clamped."""
+    """rgb(r, g, b) on a piecewise-linear ramp, clamped."""
     at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     channels = []
     for k in (1, 2, 3):
         value = F.lit(float(ELEVATION_STOPS[-1][k]))
         for low, high in reversed(list(zip(ELEVATION_STOPS, ELEVATION_STOPS[1:], strict=False))):
             value = F.when(at <= high[0], low[k] + (at - low[0]) / (high[0] - low[0]) * (high[k] - low[k])).otherwise(value)
-        channels.append(F.lower(F.lpad(F.hex(F.floor(value + 0.5).cast("long")), 2, "0")))
-    return F.concat(F.lit("#"), *channels)
+        channels.append(F.floor(value + 0.5).cast("int"))
+    return F.format_string("rgb(%d, %d, %d)", *channels)
 
 
-def rank_color(rank: Column, colors=("#1b9e77", "#d95f02", "#7570b3", "#e7298a", "#66a61e")) -> Column:
+def rank_color(rank: Column, colors=RANK_COLORS) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in colors]), F.greatest(F.lit(1), F.least(rank, F.lit(len(colors)))))
 
 

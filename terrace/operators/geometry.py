@@ -6,6 +6,7 @@ needs a kernel, which sees one region at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -122,6 +123,18 @@ def polygons(zones: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return zones.groupBy("grid_id", "label").applyInPandas(run, "grid_id long, label int, ring array<struct<r:double,c:double>>")
 
 
+def zone_shapes(zones: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """grid_id, label, perimeter, area (in pixels, of the thinned ring), compactness; zones whose ring has no area are left out."""
+    rings = polygons(zones, tolerance)
+    pairs = F.zip_with("ring", F.slice("ring", 2, F.size("ring")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.filter(pairs, lambda p: p["b"].isNotNull())
+    total = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda s, x: s + x)
+    area = F.abs(total(lambda p: p["a"]["r"] * p["b"]["c"] - p["b"]["r"] * p["a"]["c"])) / 2
+    perimeter = total(lambda p: F.hypot(p["a"]["r"] - p["b"]["r"], p["a"]["c"] - p["b"]["c"]))
+    shapes = rings.select("grid_id", "label", perimeter.alias("perimeter"), area.alias("area")).where("perimeter > 0 AND area > 0")
+    return shapes.withColumn("compactness", 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
+
+
 def band_regions(cells: DataFrame, interval: float) -> DataFrame:
     """grid_id, band, r, c, label: 8-connected regions of each half-open elevation band, labelled within the band row by row."""
     steps = F.floor(F.col("z") / interval).cast("long")

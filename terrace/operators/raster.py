@@ -26,6 +26,8 @@ NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1,
 EPSILON = 1e-3
 #: Side of a block of the fill kernel.
 BLOCK = 512
+#: Lines that the smoothing kernel takes at once.
+STRIPE = 16
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -33,6 +35,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-shared-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/terrace/{uuid.uuid4().hex}"
@@ -208,23 +212,29 @@ def zone_catchments(zones: DataFrame, accumulation: DataFrame, cell_area_m2: flo
 
 
 def smooth(cells: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame:
-    """grid_id, r, c, z smoothed by a separable Gaussian with reflected edges."""
+    """grid_id, r, c, z smoothed by a separable Gaussian with reflected edges; a cell that is missing adds nothing.
+
+    Each axis is one grouped kernel over stripes of ``STRIPE`` whole lines, so a cell is shuffled once an axis.
+    """
     radius = int(truncate * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = [w / sum(weights) for w in weights]
-    offsets = F.explode(F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)]))
-    b = bounds(cells)
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    kind = "grid_id long, r int, c int, z double, r0 int, r1 int, c0 int, c1 int"
+    rows = cells.select("grid_id", "r", "c", "z").join(bounds(cells), "grid_id").select("grid_id", "r", "c", "z", "r0", "r1", "c0", "c1")
 
     def along(df: DataFrame, axis: str, other: str) -> DataFrame:
-        low, high = f"{axis}0", f"{axis}1"
-        n = F.col(high) - F.col(low) + 1
-        wide = df.join(b, "grid_id").withColumn("o", offsets)
-        place = F.pmod(F.col(axis) + F.col("o.k") - F.col(low), 2 * n)
-        wide = wide.withColumn("s", F.when(place < n, place).otherwise(2 * n - 1 - place) + F.col(low)).select("grid_id", axis, other, "s", F.col("o.w").alias("w"))
-        source = df.select("grid_id", F.col(axis).alias("s"), other, "z")
-        return wide.join(source, ["grid_id", "s", other]).groupBy("grid_id", axis, other).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            low, n = int(frame[f"{axis}0"].iloc[0]), int(frame[f"{axis}1"].iloc[0] - frame[f"{axis}0"].iloc[0]) + 1
+            at, line = frame[axis].to_numpy() - low, frame[other].to_numpy() - int(frame[other].min())
+            lines = np.zeros((int(line.max()) + 1, n))
+            lines[line, at] = frame["z"].to_numpy()
+            wide = np.pad(lines, ((0, 0), (radius, radius)), mode="symmetric")
+            smoothed = sum(w * wide[:, k : k + n] for k, w in enumerate(weights))
+            return frame.assign(z=smoothed[line, at])
 
-    return along(along(cells.select("grid_id", "r", "c", "z"), "r", "c"), "c", "r").select("grid_id", "r", "c", "z")
+        return df.groupBy("grid_id", F.expr(f"{other} div {STRIPE}").alias("stripe")).applyInPandas(lambda key, frame: run(frame), kind)
+
+    return along(along(rows, "r", "c"), "c", "r").select("grid_id", "r", "c", "z")
 
 
 def flat_fraction(cells: DataFrame, tolerance: float) -> DataFrame:
@@ -296,21 +306,23 @@ def mask_overlap(shapes: DataFrame, mask: DataFrame) -> DataFrame:
 def trace_outline(frame: pd.DataFrame) -> list[tuple[int, int]]:
     """Outer border of a group of cells through their centres, clockwise from the first cell row by row (Moore tracing)."""
     cells = set(zip(frame["r"].tolist(), frame["c"].tolist(), strict=True))
-    start = min(cells)
     around = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
-    ring, at, back = [start], start, 0
-    for _ in range(8 * len(cells) + 8):
+
+    def onward(at: tuple[int, int], back: int) -> tuple[tuple[int, int], int] | None:
         for k in range(1, 9):
             d = (back + k) % 8
-            nxt = (at[0] + around[d][0], at[1] + around[d][1])
-            if nxt in cells:
-                back, at = (d + 4) % 8, nxt
-                break
-        else:
-            return ring
-        if at == start and len(ring) > 1 and (back + 1) % 8 in (1, 2):
-            break
-        if at == start:
+            to = (at[0] + around[d][0], at[1] + around[d][1])
+            if to in cells:
+                return to, (d + 4) % 8
+        return None
+
+    start = min(cells)
+    ring, step = [start], onward(start, 0)
+    first = step
+    while step:
+        at, back = step
+        step = onward(at, back)
+        if at == start and step == first:  # a border may pass its start more than once
             break
         ring.append(at)
     return ring

@@ -1,7 +1,7 @@
 """Queries over the supplied tables, each with its SQL twin.
 
-There is no elevation raster among the tables, so surrogates stand in: a 64 x 64
-raster from ``embeddings``, zones from ``part`` and ``lineitem``, daily rain from ship
+There is no elevation raster among the tables, so surrogates stand in: a raster from
+``embeddings``, a row for each vector, zones from ``part`` and ``lineitem``, daily rain from ship
 dates, an administrative tree from ``region``, ``nation`` and ``customer``, and points
 from customer keys.
 """
@@ -77,22 +77,23 @@ def rain(spark: SparkSession, d: str) -> DataFrame:
 
 _RASTER = """cells AS (
   SELECT vec_id AS r, i - 1 AS c, round(300 + 10 * CAST(embedding[i] AS DOUBLE), 3) AS z
-  FROM embeddings, range(1, 65) t(i) WHERE vec_id < 64)"""
+  FROM embeddings, range(1, 65) t(i)),
+edge AS (SELECT max(r) AS r1, max(c) AS c1 FROM cells)"""
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "embeddings").where("vec_id < 64").select("vec_id", F.posexplode("embedding").alias("c", "x"))
-    return e.where("c < 64").select(F.lit(0).cast("long").alias("grid_id"), F.col("vec_id").cast("int").alias("r"), "c", F.round(300 + 10 * F.col("x").cast("double"), 3).alias("z"))
+    e = t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "x"))
+    return e.select(F.lit(0).cast("long").alias("grid_id"), F.col("vec_id").cast("int").alias("r"), "c", F.round(300 + 10 * F.col("x").cast("double"), 3).alias("z"))
 
 
 def _filled(epsilon: float) -> str:
     near = "least(w, coalesce(lag(w) OVER (PARTITION BY {a} ORDER BY {b}), w), coalesce(lead(w) OVER (PARTITION BY {a} ORDER BY {b}), w))"
     return f"""{_RASTER}, sweeps AS (
-  SELECT r, c, z, r IN (0, 63) OR c IN (0, 63) AS fixed, CASE WHEN r IN (0, 63) OR c IN (0, 63) THEN z ELSE 1e300 END AS w, 0 AS i FROM cells
+  SELECT r, c, z, r IN (0, r1) OR c IN (0, c1) AS fixed, CASE WHEN r IN (0, r1) OR c IN (0, c1) THEN z ELSE 1e300 END AS w, 0 AS i FROM cells, edge
   UNION ALL
   SELECT r, c, z, fixed, CASE WHEN fixed THEN z ELSE greatest(z, least(old, {near.format(a="c", b="r")} + {epsilon})) END, i + 1
-  FROM (SELECT r, c, z, fixed, w AS old, {near.format(a="r", b="c")} AS w, i FROM sweeps WHERE i < 120)),
-filled AS (SELECT r, c, z, w AS filled FROM sweeps WHERE i = 120)"""
+  FROM (SELECT r, c, z, fixed, w AS old, {near.format(a="r", b="c")} AS w, i FROM sweeps WHERE i < 300)),
+filled AS (SELECT r, c, z, w AS filled FROM sweeps WHERE i = 300)"""
 
 
 _FLOW = f"""{_filled(0.001)}, nb(k, dr, dc, far) AS (VALUES (0, -1, -1, sqrt(2.0)), (1, -1, 0, 1.0), (2, -1, 1, sqrt(2.0)), (3, 0, -1, 1.0), (4, 0, 1, 1.0), (5, 1, -1, sqrt(2.0)), (6, 1, 0, 1.0), (7, 1, 1, sqrt(2.0))),
@@ -360,13 +361,17 @@ def catchment_cells(spark, d):
     return raster.catchments(f, relational.numbered(top, [F.desc("accumulation"), F.asc("r"), F.asc("c")], "pour_id")).select("pour_id", "r", "c")
 
 
-@query(None)
+_ZONES_AND_FLOW = f"""(WITH RECURSIVE {_PLAIN}, {_ZONE_CELLS} SELECT r, c, label FROM labels) l
+  JOIN (WITH RECURSIVE {_FLOW} SELECT r, c, accumulation FROM acc) a USING (r, c)"""
+
+
+@query(f"SELECT label, r, c, accumulation FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY accumulation DESC, r, c) AS n FROM {_ZONES_AND_FLOW}) WHERE n = 1")
 def pour_points(spark, d):
     zones_, _ = zone_cells(spark, d)
     return raster.pour_points(zones_, raster.flow_accumulation(flow(spark, d))).drop("grid_id")
 
 
-@query(None)
+@query(f"SELECT label, CAST(max(accumulation) AS DOUBLE) AS catchment_cells, CAST(max(accumulation) * 100.0 AS DOUBLE) AS catchment_area_m2 FROM {_ZONES_AND_FLOW} GROUP BY label")
 def zone_catchment(spark, d):
     zones_, _ = zone_cells(spark, d)
     return raster.zone_catchments(zones_, raster.flow_accumulation(flow(spark, d)), 100.0).drop("grid_id")
@@ -391,8 +396,9 @@ def contour_crossings(spark, d):
 
 
 def _gauss(axis: str, other: str, source: str) -> str:
-    place = f"(({axis} + k) % 128 + 128) % 128"
-    return f"SELECT a.{axis}, a.{other}, sum(w * b.z) AS z FROM (SELECT {axis}, {other}, w, CASE WHEN {place} < 64 THEN {place} ELSE 127 - {place} END AS s FROM {source}, kern) a JOIN {source} b ON b.{axis} = s AND b.{other} = a.{other} GROUP BY 1, 2"
+    n = f"({axis}1 + 1)"
+    place = f"(({axis} + k) % (2 * {n}) + 2 * {n}) % (2 * {n})"
+    return f"SELECT a.{axis}, a.{other}, sum(w * b.z) AS z FROM (SELECT {axis}, {other}, w, CASE WHEN {place} < {n} THEN {place} ELSE 2 * {n} - 1 - {place} END AS s FROM {source}, kern, edge) a JOIN {source} b ON b.{axis} = s AND b.{other} = a.{other} GROUP BY 1, 2"
 
 
 @query(f"WITH {_RASTER}, raw AS (SELECT k, exp(-0.5 * (k / 2.0) ** 2) AS w FROM range(-8, 9) t(k)), kern AS (SELECT k, w / (SELECT sum(w) FROM raw) AS w FROM raw), one AS ({_gauss('r', 'c', 'cells')}) SELECT r, c, round(z, 5) AS z FROM ({_gauss('c', 'r', 'one')})")
@@ -484,7 +490,7 @@ def source_empty_guard(spark, d):
 # Contours.
 
 
-@query("SELECT event_id, TRY_CAST(regexp_extract(props, '[-+]?[0-9]+(?:\\.[0-9]+)?', 0) AS DOUBLE) AS elevation FROM events")
+@query(r"SELECT event_id, TRY_CAST(regexp_extract(props, '[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?', 0) AS DOUBLE) AS elevation FROM events")
 def elevation_from_text(spark, d):
     return t(spark, d, "events").select("event_id", feeds.elevation_from_text(F.col("props")).alias("elevation"))
 
@@ -594,12 +600,14 @@ def kml_placemarks(spark, d):
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """From a raster to ranked sites: fill, zones, flow, catchments, sizing, ranking."""
-    zones_, depths = zone_cells(spark, d)
-    zones_ = raster.cut_lineage(zones_)
+    """From a raster to ranked sites: smoothing, fill, zones, flow, catchments, sizing, ranking."""
+    surface_ = raster.cut_lineage(raster.smooth(cells(spark, d), 2.0))
+    depths = raster.cut_lineage(raster.depth(raster.fill(surface_, 0.0)))
+    zones_ = raster.cut_lineage(raster.label_zones(depths.where("depth > 0.1")))
+    flow_ = raster.cut_lineage(raster.flow_direction(raster.fill(surface_, raster.EPSILON)))
     stats = raster.zone_statistics(zones_, depths, 10.0)
-    shapes = raster.outlines(zones_).select("grid_id", "label", F.least(F.lit(1.0), F.coalesce(sizing.compactness(F.col("area"), F.col("perimeter")), F.lit(0.0))).alias("compactness"))
-    drained = raster.zone_catchments(zones_, raster.flow_accumulation(flow(spark, d)), 100.0)
+    shapes = geometry.zone_shapes(zones_).select("grid_id", "label", "compactness")
+    drained = raster.zone_catchments(zones_, raster.flow_accumulation(flow_), 100.0)
     joined = stats.join(shapes, ["grid_id", "label"]).join(drained, ["grid_id", "label"])
     rows = joined.select(F.col("label").alias("candidate_id"), (F.col("area_m2") / 10_000.0).alias("area_ha"), "mean_depth_m", "max_depth_m", "compactness", "catchment_area_m2", F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("exclusion_reason"))
     return rounded(relational.rank_by_water(rows, RAIN_MM).select("candidate_id", "area_ha", "mean_depth_m", "max_depth_m", "compactness", "catchment_area_m2", "capacity_m3", "runoff_m3", "excluded", "score", "rank"))

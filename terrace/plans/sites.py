@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import raster, relational, surface
+from terrace.operators import geometry, raster, relational, surface
 
 
 def trace_ponds(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell_area_m2: float) -> DataFrame:
@@ -50,7 +50,7 @@ def analyze_map(points: DataFrame, rain_mm: float, requested_m: float | None = N
     cells = raster.cut_lineage(surface.build_surface(points, requested_m, frames).select("grid_id", "r", "c", "z"))
     depths = raster.cut_lineage(raster.depth(raster.fill(cells, 0.0)))
     zones = raster.cut_lineage(raster.label_zones(depths.where(F.col("depth") > deep)))
-    shapes = raster.outlines(zones).select("grid_id", "label", F.least(F.lit(1.0), F.coalesce(sizing.compactness(F.col("area"), F.col("perimeter")), F.lit(0.0))).alias("compactness"))
+    shapes = geometry.zone_shapes(zones).select("grid_id", "label", "compactness")
     flow = raster.cut_lineage(raster.flow_direction(raster.fill(cells, raster.EPSILON)))
     accumulation = raster.cut_lineage(raster.flow_accumulation(flow))
     rows = raster.zone_statistics(zones, depths, frame["m"]).join(shapes, ["grid_id", "label"]).join(raster.zone_catchments(zones, accumulation, frame["m"] ** 2), ["grid_id", "label"])

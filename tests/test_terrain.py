@@ -156,7 +156,7 @@ def test_small_functions(spark):
         sizing.title_case(F.lit("dadra-nagar (x)")).alias("title"), sizing.elevation_color(F.lit(0.0)).alias("color"), sizing.buffer_pixels(50.0, F.lit(20.0)).alias("pixels"), sizing.fill_ratio(F.lit(0.0), F.lit(3.0)).alias("ratio"),
     ).first()
     assert (row["area"], tuple(row["centre"]), tuple(row["good"]), row["bad"]) == (2.0, (1.0, 0.5), (1.0, 2.0, 3.0, 4.0), None)
-    assert (row["title"], row["color"], row["pixels"], row["ratio"]) == ("Dadra-Nagar (X)", "#31688e", 2, 0.0)
+    assert (row["title"], row["color"], row["pixels"], row["ratio"]) == ("Dadra-Nagar (X)", "rgb(33, 102, 172)", 2, 0.0)
 
 
 def test_boundary_is_ignored_when_nothing_is_inside(spark):
@@ -186,3 +186,48 @@ def test_resized_masks_take_the_scaled_index(spark, shape):
     cells = spark.createDataFrame([(0, int(r), int(c)) for r, c in zip(*np.nonzero(m), strict=True)], "grid_id long, r int, c int")
     got = sorted((x["r"], x["c"]) for x in raster.resize(cells, *m.shape, *shape).collect())
     assert got == [(r, c) for r in range(shape[0]) for c in range(shape[1]) if m[r * 7 // shape[0], c * 6 // shape[1]]]
+
+
+def test_outline_goes_on_past_a_pinched_start(spark):
+    arms = [(0, 5), (1, 4), (1, 6), (2, 3), (2, 7)]  # an inverted V
+    cells = spark.createDataFrame([(0, 1, r, c) for r, c in arms], "grid_id long, label int, r int, c int")
+    row = raster.outlines(cells).first()
+    ring = [(p["r"], p["c"]) for p in row["ring"]]
+    assert set(ring) == set(arms) and len(ring) == 8 and row["area"] == 0.0
+    assert geometry.zone_shapes(cells).count() == 0
+    square = spark.createDataFrame([(0, 1, r, c) for r in range(4) for c in range(4)], "grid_id long, label int, r int, c int")
+    shape = geometry.zone_shapes(square).first()
+    assert (shape["perimeter"], shape["area"]) == (12.0, 9.0) and abs(shape["compactness"] - np.pi / 4) < 1e-9
+
+
+@pytest.mark.parametrize("field", ["elevation", "elev", "level", "contour", "height", "alt", "z", "value"])
+def test_elevation_fields(spark, field):
+    kml = f"<kml><Placemark><LineString><coordinates>1,2 3,4</coordinates></LineString><ExtendedData><SchemaData><SimpleData name='id'>9</SimpleData><SimpleData name='My_{field.upper()}'>12.5</SimpleData></SchemaData></ExtendedData></Placemark></kml>"
+    marks = feeds.placemarks(spark.createDataFrame([("a", kml.encode())], "path string, content binary"))
+    assert marks.select(feeds.elevation_from_fields(F.col("fields")).alias("e")).first()["e"] == 12.5
+
+
+def test_elevation_without_a_field_name(spark):
+    kml = b"<kml><Placemark><ExtendedData><SimpleData>7</SimpleData></ExtendedData></Placemark><Placemark><ExtendedData><Data name='foo'><value> 8.5 </value></Data></ExtendedData></Placemark></kml>"
+    marks = feeds.placemarks(spark.createDataFrame([("a", kml)], "path string, content binary")).orderBy("n")
+    assert [r["e"] for r in marks.select(feeds.elevation_from_fields(F.col("fields")).alias("e")).collect()] == [7.0, 8.5]
+
+
+@pytest.mark.parametrize(("text", "number"), [("at .5 m", 0.5), ("1e3", 1000.0), ("-12.25e-1x", -1.225), ("+7", 7.0), ("none", None), ("a 3. b", 3.0)])
+def test_first_number_of_a_text(spark, text, number):
+    assert spark.range(1).select(feeds.elevation_from_text(F.lit(text)).alias("n")).first()["n"] == number
+
+
+def test_smoothing_in_stripes_equals_a_plain_convolution(spark):
+    z = np.random.default_rng(9).normal(0, 5, (37, 5))
+    got = grid_of(raster.smooth(frame_of(spark, z), 2.0), "z", z.shape)
+    radius, wide = 8, np.pad(z, 8, mode="symmetric")
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / 2.0) ** 2)
+    w /= w.sum()
+    want = sum(w[i] * w[j] * wide[i : i + 37, j : j + 5] for i in range(17) for j in range(17))
+    assert np.allclose(got, want)
+
+
+def test_rank_colors(spark):
+    got = spark.createDataFrame([(k,) for k in (1, 2, 5, 9)], "k int").select(sizing.rank_color(F.col("k")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["#00e676", "#66dd55", "#f0a020", "#f0a020"]
