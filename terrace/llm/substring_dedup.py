@@ -54,6 +54,9 @@ from .common import fresh, materialize
 
 WINDOW = 35
 ANCHOR = 8
+#: Visits of a node beyond which a junction is dealt to several tasks, and the largest table of such nodes that is broadcast.
+HOT_NODE = 10_000
+BROADCAST_NODES = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -295,12 +298,23 @@ def _visits(trails: DataFrame, window: int, anchor: int, bits: int) -> DataFrame
     return trails.select("trail", "words").mapInArrow(run, "node long, trail long, pos int, around long")
 
 
-def compacted(trails: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = 64) -> DataFrame:
+def _cuts(visits: DataFrame, hot_node: int) -> DataFrame:
+    """trail, cuts: the places of the junctions along each trail."""
+    degrees = visits.groupBy("node").agg(F.min("around").alias("one"), F.max("around").alias("other"), F.count(F.lit(1)).alias("n"))
+    junctions = materialize(degrees.where("one <> other").select("node", F.ceil(F.col("n") / hot_node).cast("int").alias("salts")), "junctions")
+    hot = junctions.where("salts > 1")
+    n_hot = hot.count()
+    places = visits.select("node", "trail", "pos").withColumn("salt", F.lit(0))
+    if n_hot:  # visits of a hot node are dealt by trail and place
+        places = places.drop("salt").join(F.broadcast(hot) if n_hot <= BROADCAST_NODES else hot, "node", "left")
+        places = places.withColumn("salt", F.pmod(F.xxhash64("trail", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    salted = junctions.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return places.join(salted, ["node", "salt"]).groupBy("trail").agg(F.collect_list("pos").alias("cuts"))  # at most a trail's own length
+
+
+def compacted(trails: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = 64, hot_node: int = HOT_NODE) -> DataFrame:
     """Nonbranching paths along each trail: trail, first and last (edges from, to), n, digest of the words; written once."""
-    visits = _visits(trails, window, anchor, bits)
-    degrees = visits.groupBy("node").agg(F.min("around").alias("one"), F.max("around").alias("other"))
-    junctions = degrees.where("one <> other").select("node")
-    cuts = visits.select("node", "trail", "pos").join(junctions, "node").groupBy("trail").agg(F.collect_list("pos").alias("cuts"))  # at most a trail's own length
+    cuts = _cuts(_visits(trails, window, anchor, bits), hot_node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

@@ -193,6 +193,13 @@ def test_substring_paths_are_verified_word_by_word(spark, bits):
     assert Counter(map(tuple, substring_dedup.kept_digests(frame, 12, 4, bits).collect())) == want
 
 
+def test_substring_junctions_of_hot_nodes(spark):
+    frame = spark.createDataFrame(list(enumerate(family())), "did long, text string").repartition(3)
+    trails = substring_dedup.trails_of(substring_dedup._documents(substring_dedup.repeated_edges(frame, 12, 4, 64), 12, 4, 64, lambda kept, removed: None))
+    cold, hot = (Counter(map(tuple, substring_dedup.compacted(trails, 12, 4, 64, n).collect())) for n in (10_000, 2))
+    assert cold == hot and len(cold) > 10
+
+
 def test_substring_paths(spark):
     texts = family()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
