@@ -58,6 +58,11 @@ def ground_resolution(zoom, lat: Column) -> Column:
     return GROUND * F.cos(F.radians(lat)) / F.pow(F.lit(2.0), zoom)
 
 
+def tile_grid_resolution(ymin, rows, zoom) -> Column:
+    """Metres of a pixel at the centre row of a grid of tiles."""
+    return ground_resolution(zoom, tile_pixel_lat(rows / 2.0, ymin, zoom))
+
+
 def tile_range(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column, zoom) -> dict[str, Column]:
     """First and last tile of a bounding box; y grows southwards."""
     return {
@@ -111,7 +116,7 @@ def closed(ring: Column) -> Column:
     return F.concat(ring, F.array(F.get(ring, F.lit(0))))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """Pairs of consecutive points of a ring, the last with the first."""
     shifted = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.zip_with(ring, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -119,7 +124,7 @@ def _edges(ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Shoelace area of a ring of (lon, lat) structs, in square degrees; 0 under three points."""
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]))
+    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]))
     return F.when(F.size(ring) >= 3, F.abs(twice) / 2.0).otherwise(0.0)
 
 
@@ -144,7 +149,7 @@ def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
         left = lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / rise + a["lon"]
         return F.when(spans & left, ~inside).otherwise(inside)
 
-    return F.when(ring.isNull(), True).otherwise(F.aggregate(_edges(ring), F.lit(False), crossed))
+    return F.when(ring.isNull(), True).otherwise(F.aggregate(edges(ring), F.lit(False), crossed))
 
 
 def polygon_centroid(ring: Column) -> Column:
@@ -163,7 +168,7 @@ def polygon_centroid(ring: Column) -> Column:
             F.when(flat, mean("lat")).otherwise(s["y"] / (3.0 * F.when(flat, 1.0).otherwise(s["w"]))).alias("lat"),
         )
 
-    return F.aggregate(_edges(ring), start, add, finish)
+    return F.aggregate(edges(ring), start, add, finish)
 
 
 def ring_bbox(ring: Column) -> Column:

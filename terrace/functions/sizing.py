@@ -123,6 +123,21 @@ def format_m3(value: Column) -> Column:
     return F.concat(F.format_number(F.round(value), 0), F.lit(" m³"))
 
 
+def format_km2(hectares: Column) -> Column:
+    """Square kilometres, one place from a square kilometre on, else two."""
+    return F.when(hectares >= 100, F.format_string("%.1f km²", hectares / 100.0)).otherwise(F.format_string("%.2f km²", hectares / 100.0))
+
+
+def format_ha(value: Column, places: int = 1) -> Column:
+    return F.format_string(f"%.{places}f ha", value)
+
+
+def escape_html(text: Column) -> Column:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
 def format_pct(share: Column) -> Column:
     return F.format_string("%.0f%%", share * 100.0)
 

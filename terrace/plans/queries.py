@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, raster, relational, surface
+from terrace.operators import geometry, raster, relational, screening, surface
 from terrace.plans import sites
-from terrace.sources import feeds
+from terrace.sources import feeds, records
 
 RAIN_MM = 150.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,6 +472,60 @@ def water_overlap(spark, d):
     return rounded(raster.mask_overlap(raster.rasterize_boxes(boxes), mask(spark, d)), 6)
 
 
+_PIXEL_RING = """g AS (SELECT s_suppkey AS id, [[s_suppkey % 40 + 0.4, s_suppkey % 30 + 0.9], [s_suppkey % 40 + 3.0, s_suppkey % 30 + 9.2], [s_suppkey % 40 + 8.7, s_suppkey % 30 + 5.1], [s_suppkey % 40 + 2.0, s_suppkey % 30 + 4.0]] AS ring FROM supplier),
+  e AS (SELECT id, CAST(floor(ring[i][1]) AS INT) AS r0, CAST(floor(ring[i][2]) AS INT) AS c0, CAST(floor(ring[i % 4 + 1][1]) AS INT) AS r1, CAST(floor(ring[i % 4 + 1][2]) AS INT) AS c1 FROM g, range(1, 5) t(i)),
+  x AS (SELECT id, r, c0 + (r - r0) * (c1 - c0) / CAST(r1 - r0 AS DOUBLE) AS x FROM e, range(0, 45) t(r) WHERE r >= least(r0, r1) AND r < greatest(r0, r1)),
+  p AS (SELECT id, r, x, lead(x) OVER w AS y, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY id, r ORDER BY x)),
+  s AS (SELECT id, CASE WHEN (r0, c0) <= (r1, c1) THEN r0 ELSE r1 END AS r0, CASE WHEN (r0, c0) <= (r1, c1) THEN c0 ELSE c1 END AS c0, abs(r1 - r0) AS dr, CASE WHEN (r0, c0) <= (r1, c1) THEN c1 - c0 ELSE c0 - c1 END AS dc FROM e),
+  k AS (SELECT *, greatest(1, dr, abs(dc)) AS n FROM s),
+  cover AS (SELECT id, CAST(r AS INT) AS r, CAST(unnest(range(CAST(ceil(x) AS BIGINT), CAST(floor(y) AS BIGINT) + 1)) AS INT) AS c FROM p WHERE n % 2 = 1
+    UNION SELECT id, CAST(r0 + floor(i * dr / CAST(n AS DOUBLE) + 0.5) AS INT), CAST(c0 + floor(i * dc / CAST(n AS DOUBLE) + 0.5) AS INT) FROM k, range(0, 60) t(i) WHERE i <= n)"""
+
+
+@query(f"WITH {_PIXEL_RING} SELECT id, r, c FROM cover WHERE r BETWEEN 0 AND 44 AND c BETWEEN 0 AND 33")
+def polygon_mask(spark, d):
+    k = F.col("s_suppkey")
+    at = lambda r, c: F.struct((k % 40 + r).alias("r"), (k % 30 + c).alias("c"))
+    shapes = t(spark, d, "supplier").select(k.alias("id"), F.lit(0).alias("grid_id"), F.array(at(0.4, 0.9), at(3.0, 9.2), at(8.7, 5.1), at(2.0, 4.0)).alias("ring"))
+    return screening.rasterize_rings(shapes, 45, 34).select("id", "r", "c")
+
+
+@query(f"""WITH {_POINTS}, b AS (SELECT k, lon AS x0, lat AS y0, lon + 0.02 * (1 + k % 3) AS x1, lat + 0.03 AS y1 FROM p),
+  h AS (SELECT l.k, sum((least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0))) AS s
+    FROM b l JOIN b r ON l.k % 2 = 0 AND r.k % 2 = 1 AND greatest(l.x0, r.x0) <= least(l.x1, r.x1) AND greatest(l.y0, r.y0) <= least(l.y1, r.y1) GROUP BY 1)
+  SELECT b.k AS id, round(least(1.0, coalesce(s, 0) / ((x1 - x0) * (y1 - y0))), 6) AS osm_water_fraction FROM b LEFT JOIN h USING (k) WHERE b.k % 2 = 0""")
+def mapped_water_share(spark, d):
+    k, lon, lat = F.col("k"), F.col("lon"), F.col("lat")
+    at = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    wide, high = lon + 0.02 * (1 + k % 3), lat + 0.03
+    boxes = points(spark, d).select("k", F.array(at(lon, lat), at(wide, lat), at(wide, high), at(lon, high)).alias("ring"))
+    ponds, water = boxes.where(k % 2 == 0).select(k.alias("id"), "ring"), boxes.where(k % 2 == 1).select(k.alias("wid"), "ring")
+    return rounded(screening.mapped_water_share(ponds, water, 0.1), 6)
+
+
+@query("""SELECT CAST('terrain:12:' || (event_id % 50) || ':' || (event_id % 7) AS VARCHAR) AS cache_key, min(CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'png' END) AS content
+  FROM (SELECT event_id, event_id % 350 AS user_id FROM events) GROUP BY 1""")
+def tile_read_through(spark, d):
+    """Half of the tiles come from the cache, some of them as absent, the others from a store that lacks a third of them."""
+    n = F.col("event_id") % 350
+    keyed = t(spark, d, "events").select(n.alias("n"), records.tile_key(F.lit(12), F.col("event_id") % 50, F.col("event_id") % 7).alias("cache_key")).distinct()
+    png = F.when(F.col("n") % 3 != 0, F.to_binary(F.lit("png"), F.lit("utf-8")))
+    cache = keyed.where("n % 2 = 0").select("cache_key", records.encode_image(png).alias("data"))
+    tiles, _ = records.read_through(keyed, cache, keyed.where("n % 3 <> 0").select("cache_key", png.alias("content")))
+    return tiles.select("cache_key", F.decode("content", "utf-8").alias("content"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT r_name) AS states, count(DISTINCT (r_name, n_name)) AS districts FROM nation JOIN region ON r_regionkey = n_regionkey")
+def seed_counts(spark, d):
+    tree = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    return records.seed_counts(tree.select(F.col("r_name").alias("state_name"), F.col("n_name").alias("district_name")))
+
+
+@query(f"WITH {_MASK} SELECT round(100.0 * (SELECT count(*) FROM (SELECT DISTINCT r, c FROM mask)) / (500 * 50), 6) AS percent")
+def mask_coverage(spark, d):
+    return rounded(screening.mask_coverage(mask(spark, d), 500, 50), 6)
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'building' ELSE 'water' END AS kind, user_id % 2 = 0 AS closed FROM events")
 def building_water_split(spark, d):
     at = lambda i: F.struct(F.lit(float(i)).alias("lon"), F.lit(0.0).alias("lat"))
@@ -599,6 +653,22 @@ def kml_placemarks(spark, d):
     return lines.select(F.col("path").cast("long").alias("s_suppkey"), "n", "elevation", "source", F.size("coords").alias("points"))
 
 
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 0 ELSE 2 END AS lines, 2 * CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 0 ELSE 2 END AS vertices,
+  1 AS skipped_no_elevation, CASE WHEN s_suppkey % 4 = 1 THEN 2 ELSE 0 END AS skipped_degenerate,
+  CASE s_suppkey % 4 WHEN 0 THEN 'only one elevation level' WHEN 1 THEN 'no line has an elevation and two points' END AS rejected FROM supplier""")
+def map_report(spark, d):
+    """Maps of three lines: with two, one or no usable level."""
+    k = F.col("s_suppkey")
+    line = lambda name, points: F.concat(F.lit("<Placemark><name>"), name, F.lit("</name><LineString><coordinates>"), points, F.lit("</coordinates></LineString></Placemark>"))
+    two, one = F.lit("69,-24 69.1,-24"), F.lit("69,-24")
+    short = F.when(k % 4 == 1, one).otherwise(two)
+    body = F.concat(line(F.lit("200"), short), F.when(k % 4 == 0, line(F.lit("x"), two)).otherwise(line(F.lit("202"), short)), F.when(k % 4 == 0, F.lit("")).otherwise(line(F.lit("none"), short)))
+    text = F.concat(F.lit("<kml>"), body, F.lit("</kml>"))
+    files = t(spark, d, "supplier").select(k.cast("string").alias("path"), F.to_binary(text, F.lit("utf-8")).alias("content"))
+    kept = ("lines", "vertices", "skipped_no_elevation", "skipped_degenerate", "rejected")
+    return feeds.map_report(feeds.placemarks(files)).select(F.col("path").cast("long").alias("s_suppkey"), *kept)
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """From a raster to ranked sites: smoothing, fill, zones, flow, catchments, sizing, ranking."""
     surface_ = raster.cut_lineage(raster.smooth(cells(spark, d), 2.0))
