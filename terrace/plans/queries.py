@@ -669,6 +669,26 @@ def map_report(spark, d):
     return feeds.map_report(feeds.placemarks(files)).select(F.col("path").cast("long").alias("s_suppkey"), *kept)
 
 
+@query(None)
+def traced_rings(spark, d):
+    """Catchments of ponds drawn around every 50th row of the raster, as outlines."""
+    f = flow(spark, d)
+    rows = f.agg(F.max("r")).first()[0] + 1
+    box = (0.0, 0.0, 0.063, (rows - 1) * 0.001)
+    at = lambda r, c: F.struct((c * 0.001).alias("lon"), (box[3] - r * 0.001).alias("lat"))
+    k = F.col("id") * 50 + 20.25
+    drawn = spark.range(rows // 50).select(F.col("id").cast("int").alias("id"), F.lit(0).cast("long").alias("grid_id"), F.array(at(k, F.lit(20.25)), at(k, F.lit(30.25)), at(k + 9, F.lit(30.25)), at(k + 9, F.lit(20.25))).alias("ring"))
+    found = sites.trace_rings(f, raster.cut_lineage(raster.flow_accumulation(f)), drawn, rows, 64, box)
+    return rounded(found.select("id", "pour_r", "pour_c", "catchment_area_m2", "ratio", "self_overlap_pct", "error", F.array_join("warnings", " | ").alias("warnings"), F.size("outline").alias("points")))
+
+
+@query(None)
+def found_sites(spark, d):
+    """The first sites of the smoothed raster, screened against a mask of water, centres within its middle columns."""
+    top, _, _ = sites.find_sites(cells(spark, d), 10.0, RAIN_MM, 0.05, 2.0, mask(spark, d), F.col("centre_c").between(4, 59))
+    return rounded(top.select("candidate_id", "rank", "centre_r", "centre_c", "area_ha", "compactness", "catchment_area_m2", "expected_volume_m3"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """From a raster to ranked sites: smoothing, fill, zones, flow, catchments, sizing, ranking."""
     surface_ = raster.cut_lineage(raster.smooth(cells(spark, d), 2.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, raster, relational, surface
+from terrace.operators import geometry, raster, relational, screening, surface
 
 
 def trace_ponds(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell_area_m2: float) -> DataFrame:
@@ -14,6 +14,32 @@ def trace_ponds(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell
 
     A pond without a cell on the raster has an error and nulls.
     """
+    return _traced(flow, accumulation, ponds, cell_area_m2)[0]
+
+
+def trace_rings(flow: DataFrame, accumulation: DataFrame, rings: DataFrame, rows: int, cols: int, box: tuple[float, float, float, float]) -> DataFrame:
+    """What ``trace_ponds`` gives for pond outlines (id, grid_id, ring of lon and lat) on an affine raster, with ``outline``: the catchment's border (lon, lat), thinned and closed.
+
+    ``box`` is min_lon, min_lat, max_lon, max_lat.  An outline off the raster has an
+    error; a catchment of under three corners has no outline.
+    """
+    sides = dict(zip(("min_lon", "min_lat", "max_lon", "max_lat"), map(F.lit, map(float, box)), strict=True))
+    square = F.struct(*[v.alias(k) for k, v in sides.items()])
+    high, wide = F.lit(rows), F.lit(cols)
+    pixels = rings.select("id", "grid_id", screening.pixel_ring(F.col("ring"), high, wide, square).alias("ring"))
+    ponds = raster.cut_lineage(screening.rasterize_rings(pixels, rows, cols))
+    metres = rings.sparkSession.range(1).select(georef.affine_resolution(high, wide, *sides.values()).alias("m")).first()["m"]
+    found, land = _traced(flow, accumulation, ponds, metres * metres)
+    borders = geometry.polygons(land.select("grid_id", F.col("id").cast("int").alias("label"), "r", "c"))
+    lon, lat = (lambda p: georef.affine_lon(p["c"], wide, sides["min_lon"], sides["max_lon"])), (lambda p: georef.affine_lat(p["r"], high, sides["min_lat"], sides["max_lat"]))
+    outline = F.transform("ring", lambda p: F.struct(lon(p).alias("lon"), lat(p).alias("lat")))
+    off = F.when(F.col("found").isNull(), "no cell of the pond is on the raster").otherwise(F.col("error"))
+    out = rings.select("id").join(found.withColumn("found", F.lit(True)), "id", "left").withColumn("error", off).drop("found")
+    return out.join(borders.select(F.col("label").alias("id"), outline.alias("outline")), "id", "left")
+
+
+def _traced(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell_area_m2: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``trace_ponds`` and the cells of the catchments (id, grid_id, r, c)."""
     pours = raster.cut_lineage(raster.pour_points(ponds.withColumnRenamed("id", "label"), accumulation).select(F.col("label").alias("pour_id"), "grid_id", "r", "c"))
     land = raster.cut_lineage(raster.catchments(flow, pours).withColumnRenamed("pour_id", "id"))
     size = land.groupBy("id").agg((F.count(F.lit(1)) * cell_area_m2).alias("catchment_area_m2"))
@@ -22,10 +48,41 @@ def trace_ponds(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell
     found, ratio = F.col("pour_r").isNotNull(), sizing.catchment_ratio(F.col("catchment_area_m2"), F.col("pond_m2"))
     share = F.when(found, F.col("percent"))
     many = F.when(ratio > sizing.RATIO_WARNING, F.format_string("catchment is %.1f times the pond", ratio))
-    return out.select(
+    rows = out.select(
         "id", "pour_r", "pour_c", "catchment_area_m2", F.when(found, ratio).alias("ratio"), share.alias("self_overlap_pct"),
         F.when(~found, "no cell of the pond is on the raster").alias("error"), F.array_compact(F.array(many, sizing.overlap_warning(share))).alias("warnings"),
     )
+    return rows, land
+
+
+def find_sites(cells: DataFrame, resolution_m: float, rain_mm: float, min_depth: float, sigma: float = 5.0, water: DataFrame | None = None, inside: Column | None = None, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sites of a raster (grid_id, r, c, z): the ranked first ``n``, the largest excluded ones, and the run's counters.
+
+    The raster is smoothed first.  ``inside`` is a condition on the centres centre_r and
+    centre_c, ``water`` the cells (grid_id, r, c) of known water, against which zones are
+    screened before they are ranked.
+    """
+    if min_depth <= 0 or not 1 <= n <= 50:
+        raise ValueError("min_depth must be positive and n within 1 to 50")
+    ground = raster.cut_lineage(raster.smooth(cells, sigma))
+    depths = raster.cut_lineage(raster.depth(raster.fill(ground, 0.0)))
+    zones = raster.cut_lineage(raster.label_zones(depths.where(F.col("depth") > min_depth)))
+    accumulation = raster.flow_accumulation(raster.cut_lineage(raster.flow_direction(raster.fill(ground, raster.EPSILON))))
+    area = resolution_m * resolution_m
+    key = ["grid_id", "label"]
+    rows = raster.zone_statistics(zones, depths, resolution_m).join(geometry.zone_shapes(zones).select(*key, "compactness"), key).join(raster.zone_catchments(zones, accumulation, area), key)
+    if inside is not None:
+        rows = rows.where(inside)
+    rows = rows.select(
+        "grid_id", F.col("label").alias("candidate_id"), "centre_r", "centre_c", (F.col("area_m2") / 10_000.0).alias("area_ha"), "mean_depth_m", "max_depth_m", "compactness", "catchment_area_m2",
+        F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("exclusion_reason"),
+    )
+    if water is not None:
+        wet = zones.join(water.select("grid_id", "r", "c").distinct().withColumn("w", F.lit(1)), ["grid_id", "r", "c"], "left").groupBy("grid_id", F.col("label").alias("candidate_id"))
+        rows = rows.join(wet.agg((F.count("w") / F.count(F.lit(1))).alias("worldcover_water_fraction")), ["grid_id", "candidate_id"])
+        rows = relational.screen_water(rows.withColumn("osm_water_fraction", F.lit(0.0))).drop("osm_water_fraction", "worldcover_water_fraction")
+    ranked = raster.cut_lineage(relational.rank_by_water(raster.cut_lineage(rows), rain_mm))
+    return relational.top_sites(ranked, n), relational.largest_excluded(ranked), relational.run_counters(ranked, n)
 
 
 def analyze_map(points: DataFrame, rain_mm: float, requested_m: float | None = None, min_depth: float | None = None, boundary: Column | None = None, water: DataFrame | None = None, n: int = 5) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import screening
+from terrace.operators import raster, screening
+from terrace.plans import sites
 from terrace.sources import feeds, records
 
 
@@ -135,3 +136,40 @@ def test_reports_on_maps(spark):
     assert {k: got[k]["rejected"] for k in maps if k != "good"} == {
         "bare": "no contour lines", "nameless": "no elevation could be resolved", "flat": "only one elevation level", "short": "no line has an elevation and two points", "none": "no placemarks"
     }
+
+
+def bowls(spark, at, shape=(40, 40)):
+    """A slope to the south with bowls."""
+    r, c = np.mgrid[0 : shape[0], 0 : shape[1]]
+    z = 50.0 - 0.2 * r + 0.001 * np.abs(c - 20)
+    for i, j, deep in at:
+        z = z - deep * np.exp(-((r - i) ** 2 + (c - j) ** 2) / 18.0)
+    return spark.createDataFrame([(0, int(a), int(b), float(v)) for (a, b), v in np.ndenumerate(z)], "grid_id long, r int, c int, z double")
+
+
+def test_sites_are_found_screened_and_ranked(spark):
+    cells = bowls(spark, [(10, 10, 6.0), (26, 28, 6.0), (12, 30, 5.0)])
+    wet = spark.createDataFrame([(0, r, c) for r in range(7, 17) for c in range(25, 36)], "grid_id long, r int, c int")
+    top, excluded, counters = sites.find_sites(cells, 10.0, 150.0, 0.5, 1.0, wet, F.col("centre_c") < 35)
+    got = top.orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2] and {(round(r["centre_r"] / 4), round(r["centre_c"] / 4)) for r in got} <= {(2, 2), (3, 2), (6, 7), (7, 7)}
+    assert [r["exclusion_reason"][:12] for r in excluded.collect()] == ["imaged water"]
+    assert tuple(counters.first()) == (3, 0, 1, 2, 2)
+    with pytest.raises(ValueError):
+        sites.find_sites(cells, 10.0, 150.0, 0.0)
+
+
+def test_drawn_ponds_are_traced_to_outlines(spark):
+    cells = bowls(spark, [(20, 20, 6.0)])
+    flow = raster.cut_lineage(raster.flow_direction(raster.fill(cells, raster.EPSILON)))
+    accumulation = raster.cut_lineage(raster.flow_accumulation(flow))
+    box = (69.0, -24.039, 69.039, -24.0)
+    pond = [(69.018, -24.018), (69.022, -24.018), (69.022, -24.022), (69.018, -24.022)]
+    rings = rings_of(spark, {1: pond, 2: [(1, 1), (2, 1), (2, 2)]})
+    got = {r["id"]: r for r in sites.trace_rings(flow, accumulation, rings, 40, 40, box).collect()}
+    assert got[2]["error"] and got[2]["outline"] is None and got[2]["ratio"] is None
+    one = got[1]
+    most = accumulation.where("r BETWEEN 18 AND 22 AND c BETWEEN 18 AND 22").agg(F.max("accumulation")).first()[0]
+    assert one["error"] is None and one["ratio"] == pytest.approx(most / 25, rel=0.25) and 0 < one["self_overlap_pct"] <= 100
+    ring = [(p["lon"], p["lat"]) for p in one["outline"]]
+    assert ring[0] == ring[-1] and len(ring) >= 4 and all(69.0 <= x <= 69.0391 and -24.0391 <= y <= -24.0 for x, y in ring)
