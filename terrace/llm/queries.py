@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .conversation_repair import repair_damaged
+from .embedding_whitening import whiten
 from .exact_dedup import exact_groups
 from .license_scan import scan_licenses
 from .oracles import ORACLES
 from .packing import pack_documents
 from .piece_codec import encoded_digests
 from .quality_rules import judge_quality
+from .shard_tree import shard_documents
 from .simhash import simhash_components
 from .substring_dedup import kept_digests
 from .toxicity import score_documents
@@ -66,6 +68,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

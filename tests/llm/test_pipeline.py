@@ -47,5 +47,5 @@ def test_stages(spark, tables):
 
 def test_registered(spark, tables):
     queries = entry.queries()
-    assert {f"op{n}_" for n in range(1, 12)} == {q.split("_")[0] + "_" for q in queries if q.startswith("op")} and "pipeline" in queries
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries if q.startswith("op")} and "pipeline" in queries
     assert queries["pipeline"](spark, tables).count() > 100
