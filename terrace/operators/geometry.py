@@ -1,24 +1,20 @@
 """Lines and polygons from rasters, and polygons cut to boxes.
 
-Contour lines and clipping are Column expressions; only tracing and thinning an outline
-needs a kernel, which sees one region at a time.
+Segments of contour lines and clipping are Column expressions; only thinning needs a
+kernel, which sees one line.  Whole lines and outlines are in :mod:`terrace.operators.lines`.
+
+Defined cases: a null ring stays null, an empty one empty; squares with a missing corner
+have no segment; a line of two points is not thinned.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.operators import raster
-
-#: Bands are told apart inside a grid by this many steps on either side of zero.
-_STEPS = 1 << 23  # so a grid_id moves by 24 bits
-
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
@@ -109,45 +105,3 @@ def thin_ring(points: np.ndarray, tolerance: float) -> np.ndarray:
     away = int(np.hypot(*(points - points[0]).T).argmax())
     there, back = thin(points[: away + 1], tolerance), thin(np.vstack([points[away:], points[:1]]), tolerance)
     return np.vstack([there, back[1:-1]])
-
-
-def polygons(zones: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """grid_id, label, ring (closed, in pixels, thinned) of each zone's outer border; zones with under three points have none."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ring = thin_ring(np.array(raster.trace_outline(frame), dtype=float), tolerance)
-        shape = [{"r": r, "c": c} for r, c in np.vstack([ring, ring[:1]]).tolist()]
-        row = pd.DataFrame({"grid_id": [frame["grid_id"].iloc[0]], "label": [frame["label"].iloc[0]], "ring": [shape]})
-        return row if len(ring) >= 3 else row.head(0)
-
-    return zones.groupBy("grid_id", "label").applyInPandas(run, "grid_id long, label int, ring array<struct<r:double,c:double>>")
-
-
-def zone_shapes(zones: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """grid_id, label, perimeter, area (in pixels, of the thinned ring), compactness; zones whose ring has no area are left out."""
-    rings = polygons(zones, tolerance)
-    pairs = F.zip_with("ring", F.slice("ring", 2, F.size("ring")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.filter(pairs, lambda p: p["b"].isNotNull())
-    total = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda s, x: s + x)
-    area = F.abs(total(lambda p: p["a"]["r"] * p["b"]["c"] - p["b"]["r"] * p["a"]["c"])) / 2
-    perimeter = total(lambda p: F.hypot(p["a"]["r"] - p["b"]["r"], p["a"]["c"] - p["b"]["c"]))
-    shapes = rings.select("grid_id", "label", perimeter.alias("perimeter"), area.alias("area")).where("perimeter > 0 AND area > 0")
-    return shapes.withColumn("compactness", 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
-
-
-def band_regions(cells: DataFrame, interval: float) -> DataFrame:
-    """grid_id, band, r, c, label: 8-connected regions of each half-open elevation band, labelled within the band row by row."""
-    steps = F.floor(F.col("z") / interval).cast("long")
-    tagged = cells.where("z IS NOT NULL").select((F.col("grid_id") * (2 * _STEPS) + steps + _STEPS).alias("grid_id"), "r", "c")
-    found = raster.label_zones(tagged)
-    step = F.pmod(F.col("grid_id"), F.lit(2 * _STEPS)) - _STEPS
-    return found.select(F.shiftright("grid_id", 24).alias("grid_id"), (step * float(interval)).alias("band"), "r", "c", "label")
-
-
-def band_polygons(cells: DataFrame, interval: float, tolerance: float = 1.0) -> DataFrame:
-    """grid_id, band, label, ring of each region of each band that has an outline of three points."""
-    regions = band_regions(cells, interval)
-    tagged = regions.select((F.col("grid_id") * (2 * _STEPS) + F.round(F.col("band") / interval).cast("long") + _STEPS).alias("grid_id"), "label", "r", "c")
-    shapes = polygons(tagged, tolerance)
-    step = F.pmod(F.col("grid_id"), F.lit(2 * _STEPS)) - _STEPS
-    return shapes.select(F.shiftright("grid_id", 24).alias("grid_id"), (step * float(interval)).alias("band"), "label", "ring")

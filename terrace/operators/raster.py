@@ -13,37 +13,23 @@ from __future__ import annotations
 
 import heapq
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
+from terrace.operators.blocks import BLOCK, Window, cell_key, joined_parts, united, with_halo
+from terrace.operators.tables import cut_lineage, numbered
+
 # Neighbour order, which decides ties of the flow direction.
 NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 EPSILON = 1e-3
-#: Side of a block of the fill kernel.
-BLOCK = 512
 #: Lines that the smoothing kernel takes at once.
 STRIPE = 16
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-shared-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/terrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounds(cells: DataFrame) -> DataFrame:
     """grid_id, r0, r1, c0, c1: one row per grid."""
     return cells.groupBy("grid_id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
@@ -117,26 +103,30 @@ def depth(filled: DataFrame) -> DataFrame:
     return filled.withColumn("depth", F.col("filled") - F.col("z"))
 
 
-def neighbours(cells: DataFrame, value: str, alias: str = "nz") -> DataFrame:
-    """Each cell with each of its neighbours inside the grid: k (place in the neighbour order), nr, nc, alias."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(NEIGHBOURS)]))
-    wide = cells.withColumn("o", offsets).withColumn("nr", F.col("r") + F.col("o.dr")).withColumn("nc", F.col("c") + F.col("o.dc")).withColumn("k", F.col("o.k")).drop("o")
-    other = cells.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col(value).alias(alias))
-    return wide.join(other, ["grid_id", "nr", "nc"])
-
-
-def flow_direction(filled: DataFrame) -> DataFrame:
+def flow_direction(filled: DataFrame, block: int = BLOCK) -> DataFrame:
     """grid_id, r, c, filled, direction (place in the neighbour order, -1 if none is lower), tr, tc (the cell it flows to).
 
-    Steepest drop by distance; the first neighbour in order wins a tie.
+    Steepest drop by distance; the first neighbour in order wins a tie.  One kernel call a block, with a ring of cells around it.
     """
-    near = neighbours(filled.select("grid_id", "r", "c", "filled"), "filled")
-    far = F.when(F.col("k").isin(0, 2, 5, 7), F.lit(math.sqrt(2.0))).otherwise(F.lit(1.0))
-    near = near.withColumn("drop", (F.col("filled") - F.col("nz")) / far).where("drop > 0")
-    best = near.groupBy("grid_id", "r", "c").agg(F.max(F.struct("drop", (-F.col("k")).alias("o"), "nr", "nc")).alias("b"))
-    best = best.select("grid_id", "r", "c", (-F.col("b.o")).alias("direction"), F.col("b.nr").alias("tr"), F.col("b.nc").alias("tc"))
-    joined = filled.select("grid_id", "r", "c", "filled").join(best, ["grid_id", "r", "c"], "left")
-    return joined.withColumn("direction", F.coalesce("direction", F.lit(-1)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        window = Window(frame, block)
+        level = np.pad(window.array("filled", np.nan), 1, constant_values=np.nan)
+        here = level[1:-1, 1:-1]
+        best, direction = np.zeros(here.shape), np.full(here.shape, -1, dtype=np.int32)
+        for k, (dr, dc) in enumerate(NEIGHBOURS):
+            drop = (here - level[1 + dr : 1 + dr + here.shape[0], 1 + dc : 1 + dc + here.shape[1]]) / (math.sqrt(2.0) if dr and dc else 1.0)
+            steeper = drop > best
+            best[steeper], direction[steeper] = drop[steeper], k
+        own = frame[frame["own"].to_numpy()]
+        k = direction[window.at][frame["own"].to_numpy()]
+        moves = np.array([*NEIGHBOURS, (0, 0)])
+        to_r, to_c = (pd.array(own[n].to_numpy() + moves[k, i], dtype="Int32") for i, n in enumerate(("r", "c")))
+        to_r[k < 0], to_c[k < 0] = pd.NA, pd.NA
+        return own.assign(direction=k, tr=to_r, tc=to_c)[["grid_id", "r", "c", "filled", "direction", "tr", "tc"]]
+
+    schema = "grid_id long, r int, c int, filled double, direction int, tr int, tc int"
+    return with_halo(filled.select("grid_id", "r", "c", F.col("filled").cast("double").alias("filled")), block).groupBy("grid_id", "br", "bc").applyInPandas(run, schema)
 
 
 def _cell(r: str, c: str):
@@ -147,15 +137,76 @@ def _forest(flow: DataFrame) -> DataFrame:
     return flow.select("grid_id", _cell("r", "c").alias("cell"), F.when(F.col("direction") >= 0, _cell("tr", "tc")).alias("up"))
 
 
-def flow_accumulation(flow: DataFrame) -> DataFrame:
-    """grid_id, r, c, accumulation: the cell and all cells that drain to it, by pointer doubling."""
-    state = cut_lineage(_forest(flow).withColumn("acc", F.lit(1).cast("long")))
+class _Streams:
+    """The flow inside one block: for each of its cells the place of the cell it flows to, or -1, and whether that one is in another block."""
+
+    def __init__(self, frame: pd.DataFrame) -> None:
+        keys = (frame["r"].to_numpy().astype(np.int64) * (1 << 31)) + frame["c"].to_numpy()
+        flows = frame["direction"].to_numpy() >= 0
+        self.keys, self.target = keys, np.where(flows, frame["tr"].fillna(0).to_numpy().astype(np.int64) * (1 << 31) + frame["tc"].fillna(0).to_numpy().astype(np.int64), 0)
+        order = np.argsort(keys, kind="stable")
+        found = np.minimum(np.searchsorted(keys[order], self.target), len(keys) - 1)
+        inside = flows & (keys[order][found] == self.target)
+        self.down, self.leaves = np.where(inside, order[found], -1), flows & ~inside
+        # Water only goes to lower cells, so cells by falling level come before what they flow to.
+        self.order = np.argsort(-frame["filled"].to_numpy(), kind="stable")
+
+    def gathered(self, weight: np.ndarray) -> np.ndarray:
+        """The weight of each cell and of all cells of the block that drain to it."""
+        total, down = weight.tolist(), self.down.tolist()
+        for at in self.order.tolist():
+            if down[at] >= 0:
+                total[down[at]] += total[at]
+        return np.array(total)
+
+    def exits(self) -> np.ndarray:
+        """For each cell the place of the cell by which its water leaves the block, or -1."""
+        way, down, leaves = [-1] * len(self.down), self.down.tolist(), self.leaves.tolist()
+        for at in self.order[::-1].tolist():
+            way[at] = at if leaves[at] else way[down[at]] if down[at] >= 0 else -1
+        return np.array(way)
+
+
+def _gather(state: DataFrame) -> DataFrame:
+    """Of a forest (grid_id, cell, up, acc) each cell's own acc and that of all cells that lead to it, by pointer doubling."""
+    state = cut_lineage(state)
     while not state.where("up IS NOT NULL").isEmpty():
         gains = state.where("up IS NOT NULL").groupBy("grid_id", F.col("up").alias("cell")).agg(F.sum("acc").alias("gain"))
         hop = state.select("grid_id", F.col("cell").alias("up"), F.col("up").alias("next"))
         state = state.join(gains, ["grid_id", "cell"], "left").join(hop, ["grid_id", "up"], "left")
         state = cut_lineage(state.select("grid_id", "cell", F.col("next").alias("up"), (F.col("acc") + F.coalesce("gain", F.lit(0))).cast("long").alias("acc")))
-    return state.select("grid_id", F.expr("cast(cell div 2147483648 as int)").alias("r"), F.expr("cast(cell % 2147483648 as int)").alias("c"), F.col("acc").alias("accumulation"))
+    return state.select("grid_id", "cell", "acc")
+
+
+def flow_accumulation(flow: DataFrame, block: int = BLOCK) -> DataFrame:
+    """grid_id, r, c, accumulation: the cell and all cells that drain to it.
+
+    A first pass over blocks finds what each cell at an edge receives from its own block and by
+    which cell of another block water goes on from where it enters; the forest of those entries
+    alone is solved by pointer doubling; a second pass spreads what enters each block.
+    """
+    flow = cut_lineage(flow.select("grid_id", "r", "c", "filled", "direction", "tr", "tc", F.floor(F.col("r") / block).cast("int").alias("br"), F.floor(F.col("c") / block).cast("int").alias("bc")))
+    rim = F.pmod(F.col("r"), F.lit(block)).isin(0, block - 1) | F.pmod(F.col("c"), F.lit(block)).isin(0, block - 1)
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        streams = _Streams(frame)
+        total, way, leaves = streams.gathered(np.ones(len(frame), dtype=np.int64)), streams.exits(), streams.leaves
+        at = np.nonzero(frame["rim"].to_numpy())[0]
+        going = pd.DataFrame({"cell": streams.keys[at], "up": pd.array(streams.target[way[at]], dtype="Int64"), "acc": 0})
+        going.loc[way[at] < 0, "up"] = pd.NA
+        leaving = pd.DataFrame({"cell": streams.target[leaves], "up": pd.array([pd.NA] * int(leaves.sum()), dtype="Int64"), "acc": total[leaves]})
+        return pd.concat([going, leaving]).assign(grid_id=frame["grid_id"].iloc[0])[["grid_id", "cell", "up", "acc"]]
+
+    def second(frame: pd.DataFrame) -> pd.DataFrame:
+        total = _Streams(frame).gathered(1 + frame["enters"].to_numpy())
+        return frame.assign(accumulation=total)[["grid_id", "r", "c", "accumulation"]]
+
+    ways = flow.withColumn("rim", rim).groupBy("grid_id", "br", "bc").applyInPandas(first, "grid_id long, cell long, up long, acc long")
+    # A cell at an edge that nothing enters carries nothing on: the forest of entries is that of the cells with a share.
+    ways = cut_lineage(ways.groupBy("grid_id", "cell").agg(F.max("up").alias("up"), F.sum("acc").alias("acc"), F.max(F.col("acc") > 0).alias("entered")).where("entered").drop("entered"))
+    enters = _gather(ways).select("grid_id", F.expr("cast(cell div 2147483648 as int)").alias("r"), F.expr("cast(cell % 2147483648 as int)").alias("c"), F.col("acc").alias("enters"))
+    fed = flow.join(enters, ["grid_id", "r", "c"], "left").withColumn("enters", F.coalesce("enters", F.lit(0)))
+    return fed.groupBy("grid_id", "br", "bc").applyInPandas(second, "grid_id long, r int, c int, accumulation long")
 
 
 def catchments(flow: DataFrame, pours: DataFrame) -> DataFrame:
@@ -174,19 +225,48 @@ def catchments(flow: DataFrame, pours: DataFrame) -> DataFrame:
     return cells.select("pour_id", "grid_id", F.expr("cast(cell div 2147483648 as int)").alias("r"), F.expr("cast(cell % 2147483648 as int)").alias("c"))
 
 
-def label_zones(cells: DataFrame) -> DataFrame:
-    """grid_id, r, c, label of 8-connected groups of the given cells; labels count from 1 in the order of each group's first cell, row by row."""
-    nodes = cut_lineage(cells.select("grid_id", "r", "c", _cell("r", "c").alias("label")))
-    while True:
-        near = neighbours(nodes, "label", "other").groupBy("grid_id", "r", "c").agg(F.min("other").alias("low"))
-        step = nodes.join(near, ["grid_id", "r", "c"], "left").withColumn("new", F.least("label", F.coalesce("low", "label")))
-        hop = step.select("grid_id", _cell("r", "c").alias("new"), F.col("new").alias("jump"))
-        step = cut_lineage(step.join(hop, ["grid_id", "new"], "left").select("grid_id", "r", "c", F.col("label").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("label")))
-        nodes = step.drop("old")
-        if step.where("label < old").isEmpty():
-            break
-    groups = nodes.select("grid_id", "label").distinct().withColumn("n", F.row_number().over(Window.partitionBy("grid_id").orderBy("label")))
-    return nodes.join(groups, ["grid_id", "label"]).select("grid_id", "r", "c", F.col("n").alias("label"))
+def label_zones(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """grid_id, r, c, label of 8-connected groups of the given cells; labels count from 1 in the order of each group's first cell, row by row.
+
+    Cells are united inside blocks; only what touches across a block's edge is united by joins.
+    Groups are numbered by sorted ranges and the counts of the ranges before.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        window = Window(frame, block)
+        place = np.full(window.shape, -1)
+        place[window.at] = np.arange(len(frame))
+        keys = window.key(*window.at)
+        own = frame["own"].to_numpy()
+        links, touch = [], [[] for _ in range(len(frame))]
+        wide = np.pad(place, 1, constant_values=-1)
+        for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            other = wide[1 + dr : 1 + dr + place.shape[0], 1 + dc : 1 + dc + place.shape[1]]
+            met = (place >= 0) & (other >= 0)
+            u, v = place[met], other[met]
+            inside = own[u] & own[v]
+            links.append((u[inside], v[inside]))
+            for x, y in zip(u[own[u] != own[v]].tolist(), v[own[u] != own[v]].tolist()):
+                x, y = (x, y) if own[x] else (y, x)
+                touch[x].append(int(keys[y]))
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(frame), dtype=np.int64)
+        rank[order] = np.arange(len(frame))
+        parts = joined_parts(len(frame), rank[np.concatenate([u for u, _ in links])], rank[np.concatenate([v for _, v in links])])
+        found = frame.assign(root=keys[order][parts[rank]], touch=[t or None for t in touch])
+        return found[own][["grid_id", "r", "c", "root", "touch"]]
+
+    wide = with_halo(cells.select("grid_id", "r", "c").distinct(), block)
+    local = cut_lineage(wide.groupBy("grid_id", "br", "bc").applyInPandas(run, "grid_id long, r int, c int, root long, touch array<long>"))
+    rim = local.where("touch IS NOT NULL")
+    roots = rim.select("grid_id", cell_key(F.col("r"), F.col("c")).alias("cell"), F.col("root").alias("b"))
+    edges = rim.select("grid_id", F.col("root").alias("a"), F.explode("touch").alias("cell")).join(roots, ["grid_id", "cell"]).select("grid_id", "a", "b").distinct()
+    nodes = local.join(united(edges, cut_lineage), ["grid_id", "root"], "left").select("grid_id", "r", "c", F.coalesce("least", "root").alias("root"))
+    nodes = cut_lineage(nodes)
+    groups = numbered(nodes.select("grid_id", "root").distinct(), [F.asc("grid_id"), F.asc("root")], "n")
+    first = groups.groupBy("grid_id").agg(F.min("n").alias("first"))
+    groups = groups.join(first, "grid_id").select("grid_id", "root", (F.col("n") - F.col("first") + 1).cast("int").alias("label"))
+    return nodes.join(groups, ["grid_id", "root"]).select("grid_id", "r", "c", "label")
 
 
 def pour_points(zones: DataFrame, accumulation: DataFrame) -> DataFrame:
@@ -239,7 +319,7 @@ def smooth(cells: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame:
 
 def flat_fraction(cells: DataFrame, tolerance: float) -> DataFrame:
     """grid_id, flat: the share of cells whose four neighbours are all within the tolerance."""
-    rows, cols = Window.partitionBy("grid_id", "r").orderBy("c"), Window.partitionBy("grid_id", "c").orderBy("r")
+    rows, cols = Over.partitionBy("grid_id", "r").orderBy("c"), Over.partitionBy("grid_id", "c").orderBy("r")
     near = [f("z").over(w) for w in (rows, cols) for f in (F.lag, F.lead)]
     level = F.lit(True)
     for other in near:
@@ -258,7 +338,7 @@ def band_histogram(cells: DataFrame, interval: float) -> DataFrame:
 
 def contour_crossings(cells: DataFrame, interval: float, major: int = 5) -> DataFrame:
     """grid_id, level, crossings, major: neighbouring cells on different sides of each level, by row and by column."""
-    rows, cols = Window.partitionBy("grid_id", "r").orderBy("c"), Window.partitionBy("grid_id", "c").orderBy("r")
+    rows, cols = Over.partitionBy("grid_id", "r").orderBy("c"), Over.partitionBy("grid_id", "c").orderBy("r")
     near = cells.withColumn("right", F.lead("z").over(rows)).withColumn("below", F.lead("z").over(cols))
     both = near.select("grid_id", "z", F.explode(F.array("right", "below")).alias("other")).where("other IS NOT NULL")
     low, high = F.least("z", "other"), F.greatest("z", "other")
@@ -303,44 +383,6 @@ def mask_overlap(shapes: DataFrame, mask: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("fraction"))
 
 
-def trace_outline(frame: pd.DataFrame) -> list[tuple[int, int]]:
-    """Outer border of a group of cells through their centres, clockwise from the first cell row by row (Moore tracing)."""
-    cells = set(zip(frame["r"].tolist(), frame["c"].tolist(), strict=True))
-    around = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
-
-    def onward(at: tuple[int, int], back: int) -> tuple[tuple[int, int], int] | None:
-        for k in range(1, 9):
-            d = (back + k) % 8
-            to = (at[0] + around[d][0], at[1] + around[d][1])
-            if to in cells:
-                return to, (d + 4) % 8
-        return None
-
-    start = min(cells)
-    ring, step = [start], onward(start, 0)
-    first = step
-    while step:
-        at, back = step
-        step = onward(at, back)
-        if at == start and step == first:  # a border may pass its start more than once
-            break
-        ring.append(at)
-    return ring
-
-
-def outlines(zones: DataFrame) -> DataFrame:
-    """grid_id, label, ring, perimeter, area (in pixels, through cell centres) of each zone; one kernel call per zone."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ring = trace_outline(frame)
-        pairs = list(zip(ring, ring[1:] + ring[:1], strict=True))
-        area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in pairs)) / 2
-        around = sum(math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in pairs)
-        return pd.DataFrame({"grid_id": [frame["grid_id"].iloc[0]], "label": [frame["label"].iloc[0]], "ring": [[{"r": int(r), "c": int(c)} for r, c in ring]], "perimeter": [around], "area": [area]})
-
-    return zones.groupBy("grid_id", "label").applyInPandas(run, "grid_id long, label int, ring array<struct<r:int,c:int>>, perimeter double, area double")
-
-
 def decode_elevation(red, green, blue):
     """Elevation of an RGB-encoded pixel."""
     return red * 256.0 + green + blue / 256.0 - 32768.0

@@ -6,20 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import sizing
-from terrace.operators.raster import cut_lineage
-
-
-def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the place of each row in a total order, from 1, without gathering the rows in one task.
-
-    Range-sorted partitions are numbered each by itself; the counts of the partitions
-    before (one row each) are added.
-    """
-    parts = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(before, F.lit(0)))
-    local = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    return local.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__k") + F.col("__start")).cast("int")).drop("__part", "__n", "__start", "__k")
+from terrace.operators.tables import cut_lineage, numbered
 
 
 def size_zones(zones: DataFrame, rain_mm: float) -> DataFrame:

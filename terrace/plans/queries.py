@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, raster, relational, screening, surface
+from terrace.operators import geometry, lines, raster, relational, screening, surface
 from terrace.plans import sites
 from terrace.sources import feeds, records
 
@@ -408,7 +408,7 @@ def gaussian_smooth(spark, d):
 
 @query(None)
 def mask_polygons(spark, d):
-    return rounded(raster.outlines(zone_cells(spark, d)[0]).select("label", "perimeter", "area"), 6)
+    return rounded(lines.outlines(zone_cells(spark, d)[0]).select("label", "perimeter", "area"), 6)
 
 
 @query(f"""WITH {_RASTER}, q AS (SELECT r, c, z, lead(z) OVER (PARTITION BY r ORDER BY c) AS zr FROM cells),
@@ -418,8 +418,79 @@ def mask_polygons(spark, d):
   x AS (SELECT *, unnest(range(CAST(floor(least(p, q) / 2.0) AS BIGINT) + 1, CAST(floor(greatest(p, q) / 2.0) AS BIGINT) + 1)) AS step FROM e)
   SELECT CAST(step * 2.0 AS DOUBLE) AS level, CAST(count(*) // 2 AS BIGINT) AS segments, round(sum(r + dr * (step * 2.0 - p) / (q - p)), 3) AS rows, round(sum(c + dc * (step * 2.0 - p) / (q - p)), 3) AS cols FROM x GROUP BY step""")
 def contour_segments(spark, d):
-    lines = geometry.contour_segments(cells(spark, d), 2.0).groupBy("level")
-    return rounded(lines.agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("r1") + F.col("r2")).alias("rows"), F.sum(F.col("c1") + F.col("c2")).alias("cols")), 3)
+    segments = geometry.contour_segments(cells(spark, d), 2.0).groupBy("level")
+    return rounded(segments.agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("r1") + F.col("r2")).alias("rows"), F.sum(F.col("c1") + F.col("c2")).alias("cols")), 3)
+
+#: Of labelled cells (grp, r, c): sides on the border, and rings less twice the regions by the pattern of each square of four cells.
+_RINGS = """quads AS (SELECT grp, r - a AS qr, c - b AS qc, count(*) AS n, count(DISTINCT r) = 2 AND count(DISTINCT c) = 2 AS spread FROM labelled, range(2) x(a), range(2) y(b) GROUP BY 1, 2, 3),
+euler AS (SELECT grp, (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (n = 2 AND spread)) // 4 AS euler FROM quads GROUP BY grp),
+sides AS (
+  SELECT l.grp, count(*) AS cells, sum(4 - (SELECT count(*) FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) n(dr, dc) JOIN labelled o ON o.grp = l.grp AND o.r = l.r + dr AND o.c = l.c + dc)) AS sides
+  FROM labelled l GROUP BY l.grp)"""
+
+
+def ring_counts(rings: DataFrame, name: str) -> DataFrame:
+    """Cells, border sides and 2 * regions - rings by region or band; the last is the Euler number, which squares of four cells tell too."""
+    euler = F.sum(F.when(F.col("area") > 0, 1).otherwise(-1))
+    return rings.groupBy(name).agg(F.sum("area").alias("cells"), F.sum(F.size("sides")).cast("long").alias("sides"), euler.cast("long").alias("euler"))
+
+
+@query(f"""WITH RECURSIVE {_RASTER}, labelled AS (SELECT CAST(floor(z / 5.0) * 5.0 AS DOUBLE) AS grp, r, c FROM cells), {_RINGS}
+SELECT grp AS band, cells, CAST(sides AS BIGINT) AS sides, CAST(euler AS BIGINT) AS euler FROM sides JOIN euler USING (grp)""")
+def contour_band_rings(spark, d):
+    return ring_counts(lines.band_rings(cells(spark, d), 5.0), "band")
+
+
+@query(f"""WITH RECURSIVE {_PLAIN}, {_ZONE_CELLS}, labelled AS (SELECT label AS grp, r, c FROM labels), {_RINGS}
+SELECT CAST(grp AS BIGINT) AS label, cells, CAST(sides AS BIGINT) AS sides, CAST(euler AS BIGINT) AS euler FROM sides JOIN euler USING (grp)""")
+def zone_rings(spark, d):
+    return ring_counts(lines.region_rings(zone_cells(spark, d)[0]), "label")
+
+
+@query(f"""WITH {_RASTER}, q AS (SELECT r, c, z, lead(z) OVER (PARTITION BY r ORDER BY c) AS zr FROM cells),
+  s AS (SELECT r, c, z, zr, lead(z) OVER w AS zd, lead(zr) OVER w AS zx FROM q WINDOW w AS (PARTITION BY c ORDER BY r)),
+  sq AS (
+    SELECT *, unnest(range(CAST(floor(least(z, zr, zd, zx) / 2.0) AS BIGINT) + 1, CAST(floor(greatest(z, zr, zd, zx) / 2.0) AS BIGINT) + 1)) AS step FROM s WHERE zx IS NOT NULL),
+  x AS (
+    SELECT step, (z >= h) = ((z + zr + zx + zd) / 4 >= h) AS joined,
+           CASE WHEN (z >= h) <> (zr >= h) THEN (h - z) / (zr - z) END AS t, CASE WHEN (zr >= h) <> (zx >= h) THEN (h - zr) / (zx - zr) END AS e,
+           CASE WHEN (zd >= h) <> (zx >= h) THEN (h - zd) / (zx - zd) END AS b, CASE WHEN (z >= h) <> (zd >= h) THEN (h - z) / (zd - z) END AS w
+    FROM (SELECT *, step * 2.0 AS h FROM sq)),
+  segments AS (
+    SELECT step, CASE
+      WHEN t IS NOT NULL AND e IS NOT NULL AND b IS NOT NULL AND w IS NOT NULL THEN CASE WHEN joined
+        THEN sqrt((1 - t) * (1 - t) + e * e) + sqrt(b * b + (1 - w) * (1 - w)) ELSE sqrt(t * t + w * w) + sqrt((1 - b) * (1 - b) + (1 - e) * (1 - e)) END
+      WHEN t IS NOT NULL AND e IS NOT NULL THEN sqrt((1 - t) * (1 - t) + e * e) WHEN t IS NOT NULL AND b IS NOT NULL THEN sqrt((t - b) * (t - b) + 1)
+      WHEN t IS NOT NULL AND w IS NOT NULL THEN sqrt(t * t + w * w) WHEN e IS NOT NULL AND b IS NOT NULL THEN sqrt((1 - b) * (1 - b) + (1 - e) * (1 - e))
+      WHEN e IS NOT NULL AND w IS NOT NULL THEN sqrt((e - w) * (e - w) + 1) ELSE sqrt(b * b + (1 - w) * (1 - w)) END AS length FROM x),
+  edges AS (
+    SELECT z AS p, zr AS q, r IN (0, r1) AS rim FROM q, edge WHERE zr IS NOT NULL
+    UNION ALL SELECT z, zd, c IN (0, c1) FROM (SELECT r, c, z, lead(z) OVER (PARTITION BY c ORDER BY r) AS zd FROM cells), edge WHERE zd IS NOT NULL),
+  crossed AS (SELECT rim, unnest(range(CAST(floor(least(p, q) / 2.0) AS BIGINT) + 1, CAST(floor(greatest(p, q) / 2.0) AS BIGINT) + 1)) AS step FROM edges),
+  points AS (SELECT step, count(*) AS vertices, count(*) FILTER (rim) // 2 AS open_lines FROM crossed GROUP BY step)
+SELECT CAST(step * 2.0 AS DOUBLE) AS level, step % 5 = 0 AS major, open_lines, vertices, round(total, 4) AS length_px
+FROM points JOIN (SELECT step, sum(length) AS total FROM segments GROUP BY step) USING (step)""")
+def contour_line_levels(spark, d):
+    by = lines.contour_lines(cells(spark, d), 2.0).groupBy("level").agg(
+        F.sum((~F.col("closed")).cast("long")).alias("open_lines"), F.sum(F.size("points")).cast("long").alias("vertices"), F.sum("length_px").alias("length_px")
+    )
+    return rounded(by.withColumn("major", lines.is_major(F.col("level"), 2.0)), 4)
+
+
+@query(None)
+def contour_features(spark, d):
+    """The smoothed raster's lines as they are drawn: specks gone, thinned, cut to the inner half of the columns."""
+    found = lines.contour_lines(raster.cut_lineage(raster.smooth(cells(spark, d), 2.0)), 0.5)
+    drawn = lines.drawn_lines(found, box=(-1.0, 16.0, 2.0**31, 48.0))
+    counted = drawn.select("grid_id", "level", F.size("lines").alias("lines"), F.aggregate(F.transform("lines", F.size), F.lit(0), lambda s, x: s + x).alias("points"))
+    return counted.withColumn("major", lines.is_major(F.col("level"), 0.5)).drop("grid_id")
+
+
+@query(f"WITH {_RASTER} SELECT min(z) AS low, max(z) AS high, floor(min(z) / 2.0) * 2.0 AS band_low, ceil(max(z) / 2.0) * 2.0 AS band_high FROM cells")
+def elevation_ranges(spark, d):
+    raw = lines.elevation_range(cells(spark, d))
+    banded = lines.elevation_range(cells(spark, d), 2.0).select("grid_id", F.col("low").alias("band_low"), F.col("high").alias("band_high"))
+    return raw.join(banded, "grid_id").drop("grid_id")
 
 
 @query(f"WITH {_POINTS} SELECT k, round(0.006 * (h + (0.02 - h) * 0.005 / w - 0.003), 8) AS area FROM (SELECT k, 0.01 * (1 + k % 3) AS h, 0.01 * (1 + k % 7) AS w FROM p)")
@@ -431,12 +502,12 @@ def clip_to_box(spark, d):
 
 @query(None)
 def zone_polygons(spark, d):
-    return geometry.polygons(zone_cells(spark, d)[0]).select("label", F.size("ring").alias("points"))
+    return lines.polygons(zone_cells(spark, d)[0]).select("label", F.size("ring").alias("points"))
 
 
 @query(None)
 def contour_bands(spark, d):
-    return geometry.band_polygons(cells(spark, d), 5.0).select("band", "label", F.size("ring").alias("points"))
+    return lines.band_polygons(cells(spark, d), 5.0).select("band", "label", F.size("ring").alias("points"))
 
 
 # Water and features.
@@ -649,8 +720,8 @@ def kml_placemarks(spark, d):
     body = [F.concat(*[F.lit((_MARK % (200 + 2 * k, k)).decode()) for k in range(3)])]
     text = F.concat(F.lit(_KML.split(b"%s")[0].decode()), *body, F.lit(_KML.split(b"%s")[1].decode()))
     files = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.to_binary(text, F.lit("utf-8")).alias("content"))
-    lines = feeds.contour_lines(feeds.placemarks(files))
-    return lines.select(F.col("path").cast("long").alias("s_suppkey"), "n", "elevation", "source", F.size("coords").alias("points"))
+    drawn = feeds.contour_lines(feeds.placemarks(files))
+    return drawn.select(F.col("path").cast("long").alias("s_suppkey"), "n", "elevation", "source", F.size("coords").alias("points"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 0 ELSE 2 END AS lines, 2 * CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 0 ELSE 2 END AS vertices,
@@ -696,7 +767,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     zones_ = raster.cut_lineage(raster.label_zones(depths.where("depth > 0.1")))
     flow_ = raster.cut_lineage(raster.flow_direction(raster.fill(surface_, raster.EPSILON)))
     stats = raster.zone_statistics(zones_, depths, 10.0)
-    shapes = geometry.zone_shapes(zones_).select("grid_id", "label", "compactness")
+    shapes = lines.zone_shapes(zones_).select("grid_id", "label", "compactness")
     drained = raster.zone_catchments(zones_, raster.flow_accumulation(flow_), 100.0)
     joined = stats.join(shapes, ["grid_id", "label"]).join(drained, ["grid_id", "label"])
     rows = joined.select(F.col("label").alias("candidate_id"), (F.col("area_m2") / 10_000.0).alias("area_ha"), "mean_depth_m", "max_depth_m", "compactness", "catchment_area_m2", F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("exclusion_reason"))

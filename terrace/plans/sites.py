@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, raster, relational, screening, surface
+from terrace.operators import lines, raster, relational, screening, surface
 
 
 def trace_ponds(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell_area_m2: float) -> DataFrame:
@@ -30,7 +30,7 @@ def trace_rings(flow: DataFrame, accumulation: DataFrame, rings: DataFrame, rows
     ponds = raster.cut_lineage(screening.rasterize_rings(pixels, rows, cols))
     metres = rings.sparkSession.range(1).select(georef.affine_resolution(high, wide, *sides.values()).alias("m")).first()["m"]
     found, land = _traced(flow, accumulation, ponds, metres * metres)
-    borders = geometry.polygons(land.select("grid_id", F.col("id").cast("int").alias("label"), "r", "c"))
+    borders = lines.polygons(land.select("grid_id", F.col("id").cast("int").alias("label"), "r", "c"))
     lon, lat = (lambda p: georef.affine_lon(p["c"], wide, sides["min_lon"], sides["max_lon"])), (lambda p: georef.affine_lat(p["r"], high, sides["min_lat"], sides["max_lat"]))
     outline = F.transform("ring", lambda p: F.struct(lon(p).alias("lon"), lat(p).alias("lat")))
     off = F.when(F.col("found").isNull(), "no cell of the pond is on the raster").otherwise(F.col("error"))
@@ -70,7 +70,7 @@ def find_sites(cells: DataFrame, resolution_m: float, rain_mm: float, min_depth:
     accumulation = raster.flow_accumulation(raster.cut_lineage(raster.flow_direction(raster.fill(ground, raster.EPSILON))))
     area = resolution_m * resolution_m
     key = ["grid_id", "label"]
-    rows = raster.zone_statistics(zones, depths, resolution_m).join(geometry.zone_shapes(zones).select(*key, "compactness"), key).join(raster.zone_catchments(zones, accumulation, area), key)
+    rows = raster.zone_statistics(zones, depths, resolution_m).join(lines.zone_shapes(zones).select(*key, "compactness"), key).join(raster.zone_catchments(zones, accumulation, area), key)
     if inside is not None:
         rows = rows.where(inside)
     rows = rows.select(
@@ -107,7 +107,7 @@ def analyze_map(points: DataFrame, rain_mm: float, requested_m: float | None = N
     cells = raster.cut_lineage(surface.build_surface(points, requested_m, frames).select("grid_id", "r", "c", "z"))
     depths = raster.cut_lineage(raster.depth(raster.fill(cells, 0.0)))
     zones = raster.cut_lineage(raster.label_zones(depths.where(F.col("depth") > deep)))
-    shapes = geometry.zone_shapes(zones).select("grid_id", "label", "compactness")
+    shapes = lines.zone_shapes(zones).select("grid_id", "label", "compactness")
     flow = raster.cut_lineage(raster.flow_direction(raster.fill(cells, raster.EPSILON)))
     accumulation = raster.cut_lineage(raster.flow_accumulation(flow))
     rows = raster.zone_statistics(zones, depths, frame["m"]).join(shapes, ["grid_id", "label"]).join(raster.zone_catchments(zones, accumulation, frame["m"] ** 2), ["grid_id", "label"])

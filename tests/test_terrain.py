@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, raster, relational
+from terrace.operators import geometry, lines, raster, relational
 from terrace.plans.queries import QUERIES, SQL
 from terrace.sources import feeds
 
@@ -76,13 +76,13 @@ def test_zones_are_labelled_row_by_row(spark):
 
 def test_outline_of_a_rectangle(spark):
     cells = spark.createDataFrame([(0, r, c, 1) for r in range(3) for c in range(5)], "grid_id long, r int, c int, label int")
-    row = raster.outlines(cells).first()
+    row = lines.outlines(cells).first()
     assert (row["perimeter"], row["area"], len(row["ring"])) == (12.0, 8.0, 12)
 
 
 def test_polygons_are_thinned_and_closed(spark):
     block = [(0, r, c, 1) for r in range(3) for c in range(5)] + [(0, 9, 9, 2), (0, 9, 10, 2)]
-    got = geometry.polygons(spark.createDataFrame(block, "grid_id long, r int, c int, label int")).collect()
+    got = lines.polygons(spark.createDataFrame(block, "grid_id long, r int, c int, label int")).collect()
     assert [r["label"] for r in got] == [1] and [tuple(p) for p in got[0]["ring"]] == [(0, 0), (0, 4), (2, 4), (2, 0), (0, 0)]
 
 
@@ -96,10 +96,10 @@ def test_clip_of_rings(spark):
 
 def test_contour_lines_of_a_cone_are_closed_and_flat_ground_has_none(spark):
     z = np.hypot(*np.mgrid[-8:9, -8:9]) + 0.01
-    lines = geometry.contour_segments(frame_of(spark, z), 2.0).collect()
-    assert {(r["level"], r["major"]) for r in lines} == {(float(v), v == 10) for v in (2, 4, 6, 8, 10)}
+    segments = geometry.contour_segments(frame_of(spark, z), 2.0).collect()
+    assert {(r["level"], r["major"]) for r in segments} == {(float(v), v == 10) for v in (2, 4, 6, 8, 10)}
     for level in (2.0, 4.0, 6.0):
-        ends = [tuple(round(v, 9) for v in p) for r in lines if r["level"] == level for p in ((r["r1"], r["c1"]), (r["r2"], r["c2"]))]
+        ends = [tuple(round(v, 9) for v in p) for r in segments if r["level"] == level for p in ((r["r1"], r["c1"]), (r["r2"], r["c2"]))]
         assert all(ends.count(p) == 2 for p in ends)
         assert all(abs(np.hypot(a - 8, b - 8) - level) < 0.15 for a, b in ends)
     assert geometry.contour_segments(frame_of(spark, np.full((4, 4), 3.0)), 2.0).count() == 0
@@ -107,7 +107,7 @@ def test_contour_lines_of_a_cone_are_closed_and_flat_ground_has_none(spark):
 
 def test_band_regions_cover_every_cell_once(spark):
     z = np.array([[0.0, 0.5, 4.9], [-0.1, 5.0, 5.1], [0.2, 9.9, 0.3]])
-    got = {(r["r"], r["c"]): (r["band"], r["label"]) for r in geometry.band_regions(frame_of(spark, z), 5.0).collect()}
+    got = {(r["r"], r["c"]): (r["band"], r["label"]) for r in lines.band_regions(frame_of(spark, z), 5.0).collect()}
     assert got == {(0, 0): (0.0, 1), (0, 1): (0.0, 1), (0, 2): (0.0, 1), (1, 0): (-5.0, 1), (1, 1): (5.0, 1), (1, 2): (5.0, 1), (2, 0): (0.0, 2), (2, 1): (5.0, 1), (2, 2): (0.0, 3)}
 
 
@@ -191,12 +191,12 @@ def test_resized_masks_take_the_scaled_index(spark, shape):
 def test_outline_goes_on_past_a_pinched_start(spark):
     arms = [(0, 5), (1, 4), (1, 6), (2, 3), (2, 7)]  # an inverted V
     cells = spark.createDataFrame([(0, 1, r, c) for r, c in arms], "grid_id long, label int, r int, c int")
-    row = raster.outlines(cells).first()
+    row = lines.outlines(cells).first()
     ring = [(p["r"], p["c"]) for p in row["ring"]]
     assert set(ring) == set(arms) and len(ring) == 8 and row["area"] == 0.0
-    assert geometry.zone_shapes(cells).count() == 0
+    assert lines.zone_shapes(cells).count() == 0
     square = spark.createDataFrame([(0, 1, r, c) for r in range(4) for c in range(4)], "grid_id long, label int, r int, c int")
-    shape = geometry.zone_shapes(square).first()
+    shape = lines.zone_shapes(square).first()
     assert (shape["perimeter"], shape["area"]) == (12.0, 9.0) and abs(shape["compactness"] - np.pi / 4) < 1e-9
 
 
