@@ -59,11 +59,6 @@ def cell_key(r: F.Column, c: F.Column) -> F.Column:
     return r.cast("long") * SPAN + c + SHIFT
 
 
-def cell_of(key: F.Column) -> tuple[F.Column, F.Column]:
-    """r and c of a cell's number."""
-    return F.floor(key / SPAN).cast("int"), (F.pmod(key, F.lit(SPAN)) - SHIFT).cast("int")
-
-
 def ranked(pieces: DataFrame, cut) -> DataFrame:
     """From pieces (grid_id, grp, start, next) the line of each: adds line (the start of its last piece), ahead (pieces from this one to the last) and closed.
 

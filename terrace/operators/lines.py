@@ -127,7 +127,7 @@ def contour_lines(cells: DataFrame, interval: float, block: int = BLOCK) -> Data
 
     def point(key: Column, share: Column) -> Column:
         cell, down = F.shiftright(key, 1), key.bitwiseAND(1)
-        return F.struct((F.floor(cell / SPAN) + share * down).alias("r"), (F.pmod(cell, F.lit(SPAN)) - SHIFT + share * (1 - down)).alias("c"))
+        return F.struct((F.shiftright(cell, 30) + share * down).alias("r"), (F.pmod(cell, F.lit(SPAN)) - SHIFT + share * (1 - down)).alias("c"))
 
     found = lines.select("grid_id", (F.col("grp") * F.lit(float(interval))).alias("level"), "closed", F.zip_with("keys", "shares", point).alias("points"))
     return found.withColumn("length_px", _length(F.col("points"), F.col("closed")))
@@ -242,7 +242,7 @@ def region_rings(zones: DataFrame, block: int = BLOCK) -> DataFrame:
     rings = _assembled(wide.groupBy("grid_id", "br", "bc").applyInPandas(run, _PIECES), False)
 
     def part(key: Column) -> Column:
-        row, side = F.floor(F.floor(key / 4) / SPAN), F.pmod(key, F.lit(4))
+        row, side = F.shiftright(key, 32), F.pmod(key, F.lit(4))
         return F.when(side == 0, -row).when(side == 2, row + 1).otherwise(F.lit(0)).cast("long")
 
     # The area by the trapezium rule: only sides that go right or left count.
@@ -254,8 +254,8 @@ def ring_corners(sides: Column) -> Column:
     """The corners (array of r, c; cell (r, c) spans r to r + 1) where a ring of cell sides turns, not closed."""
 
     def corner(key: Column) -> Column:
-        cell, side = F.floor(key / 4), F.pmod(key, F.lit(4))
-        return F.struct((F.floor(cell / SPAN) + F.when(side.isin(2, 3), 1).otherwise(0)).cast("int").alias("r"), (F.pmod(cell, F.lit(SPAN)) - SHIFT + F.when(side.isin(1, 2), 1).otherwise(0)).cast("int").alias("c"))
+        cell, side = F.shiftright(key, 2), F.pmod(key, F.lit(4))
+        return F.struct((F.shiftright(cell, 30) + F.when(side.isin(2, 3), 1).otherwise(0)).cast("int").alias("r"), (F.pmod(cell, F.lit(SPAN)) - SHIFT + F.when(side.isin(1, 2), 1).otherwise(0)).cast("int").alias("c"))
 
     turns = F.filter(sides, lambda k, i: F.pmod(k, F.lit(4)) != F.pmod(F.get(sides, F.when(i > 0, i - 1).otherwise(F.size(sides) - 1)), F.lit(4)))
     return F.transform(turns, corner)
@@ -263,10 +263,10 @@ def ring_corners(sides: Column) -> Column:
 
 def ring_cells(sides: Column) -> Column:
     """The cells (array of r, c) that a ring passes, each once in a row: the region's border through cell centres, not closed."""
-    owners = F.transform(sides, lambda k: F.floor(k / 4).cast("long"))
+    owners = F.transform(sides, lambda k: F.shiftright(k, 2))
     kept = F.filter(owners, lambda k, i: (i == 0) | (k != F.get(owners, i - 1)))
     kept = F.when((F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    return F.transform(kept, lambda k: F.struct(F.floor(k / SPAN).cast("int").alias("r"), (F.pmod(k, F.lit(SPAN)) - SHIFT).cast("int").alias("c")))
+    return F.transform(kept, lambda k: F.struct(F.shiftright(k, 30).cast("int").alias("r"), (F.pmod(k, F.lit(SPAN)) - SHIFT).cast("int").alias("c")))
 
 
 def _ring_sum(ring: Column, part) -> Column:

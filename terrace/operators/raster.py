@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
+from terrace.operators import spill
 from terrace.operators.blocks import BLOCK, Window, cell_key, joined_parts, united, with_halo
 from terrace.operators.tables import cut_lineage, numbered
 
@@ -60,9 +61,12 @@ def fill(cells: DataFrame, epsilon: float = 0.0, block: int = BLOCK) -> DataFram
 
     The result is the greatest fixed point of w = z on the border and
     w = max(z, lowest of eight neighbours + epsilon) inside; levels start at infinity and
-    only go down, so supersteps of blocks reach the same values as one heap would.
+    only go down, so supersteps of blocks reach the same values as one heap would.  Without
+    an epsilon the levels follow from a graph of watersheds (:mod:`terrace.operators.spill`).
     """
     b = bounds(cells)
+    if epsilon == 0:
+        return spill.fill(cells, F.broadcast(b) if b.count() <= 100_000 else b, block)
     at = cells.join(F.broadcast(b), "grid_id") if b.count() <= 100_000 else cells.join(b, "grid_id")
     border = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
     state = at.select(
