@@ -13,11 +13,8 @@
    candidate is verified on all 64 bits.
 5. Links become components by star contraction.
 
-:func:`drop_near_duplicates` links texts of a similarity of about 0.8 or more: over
-five-word shingles, fingerprints of 256 bits.  A similarity (Jaccard) of s means that
-each bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8.  The first 64
-bits are probed within ``NEAR_DISTANCE`` and candidates verified on all 256 within
-``NEAR_BITS``.
+Wide fingerprints have further words of 64 bits, each over the same shingles mixed anew;
+candidates found by the first word are verified on all of them (:mod:`.near_text`).
 
 Within a signature bucket only a spanning set of links is emitted, never all
 pairs, unless the bucket is small.  Buckets over ``CHUNK`` fingerprints are cut
@@ -43,13 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_one, materialize, text_digest
+from .common import materialize, text_digest
 from .graph import components
 
 SHINGLE = 3
 DISTANCE = 3
-#: For near-duplicate texts: words of a shingle, differing bits of the first 64 and of all bits.
-NEAR_SHINGLE, NEAR_DISTANCE, NEAR_BITS = 5, 12, 46
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
 LAYOUTS = 8
@@ -302,7 +297,7 @@ def _link(distance: int, bits: int, names: list[str]):
     return run
 
 
-def link_classes(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, width: int = 1, bits: int = NEAR_BITS) -> DataFrame:
+def link_classes(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, width: int = 1, bits: int = 256) -> DataFrame:
     """Links (a, b) between nodes that connect exactly what all links within the distance connect; ``classes`` has node and the words of its fingerprint."""
     names = _columns(width)
     masks = signatures(classes, distance)
@@ -335,16 +330,3 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     rows, classes = near_classes(docs)
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, distance: int = NEAR_DISTANCE, bits: int = NEAR_BITS) -> DataFrame:
-    """One document of each group of near-duplicates: the row whose doc_id is the smallest, with all its columns.
-
-    Null and empty texts are one group; a null or shared doc_id costs no other row; of repeated rows one stays.
-    """
-    names = _columns(WIDE)
-    rows = fingerprints(docs, shingle, WIDE, digests=True)
-    classes = materialize(rows.groupBy(*names).count().select(F.monotonically_increasing_id().alias("node"), *names), "classes")
-    roots = components(link_classes(classes, distance, CHUNK, WIDE, bits))
-    named = classes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    return keep_one(docs, rows.join(named, names).select("doc_id", "digest", "component"))

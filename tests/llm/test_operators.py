@@ -11,7 +11,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from terrace.llm import exact_dedup, graph, license_scan, packing, piece_codec, quality_rules, simhash, substring_dedup, toxicity, url_filter, warc
+from terrace.llm import exact_dedup, graph, license_scan, near_text, packing, piece_codec, quality_rules, simhash, substring_dedup, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, did int, words int, key int"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -530,7 +530,7 @@ def test_simhash_components(docs, empty):
         named[want[k]].append(r[0])
     expected = Counter((r[0], f"{p:016x}", min((i for i in named[want[k]] if i is not None), default=None)) for k, (r, p) in enumerate(zip(rows, prints, strict=True)))
     assert Counter(map(tuple, simhash.simhash_components(docs).collect())) == expected
-    assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+    assert simhash.simhash_components(empty).count() == 0 and near_text.drop_near_duplicates(empty).count() == 0
 
 
 def identity_rows():
@@ -547,7 +547,7 @@ def assert_identity(spark, drop):
 
 
 def test_simhash_drop_keeps_rows_of_null_and_shared_ids(spark):
-    assert_identity(spark, simhash.drop_near_duplicates)
+    assert_identity(spark, near_text.drop_near_duplicates)
 
 
 @pytest.mark.parametrize("chunk", [16, 4096])
@@ -569,26 +569,55 @@ def edited(text, edits, rng):
     return " ".join(words)
 
 
-def test_near_duplicates_by_wide_fingerprints(spark):
+def near_texts():
     rng = random.Random(3)
     texts = [None, "", " \t", "one", "ONE", "two words", "one two three four five", "one two three four six"]
     for k in range(40):
         base = passage(500 + k, 200)
-        texts += [base, *(edited(base, n, rng) for n in (1, 1, 2, 2, 3))]
+        texts += [base, *(edited(base, n, rng) for n in (1, 2, 3, 5, 8))]
     texts += [passage(700 + k, 9) for k in range(60)]
-    prints = [simhash.wide_fingerprint((t or "").encode(), 5, simhash.WIDE) for t in texts]
-    assert all(w[0] == simhash.fingerprint((t or "").encode(), 5) for w, t in zip(prints, texts, strict=True))
-    root = list(range(len(texts)))
-    for i, a in enumerate(prints):
-        for j, b in enumerate(prints[:i]):
-            if (a[0] ^ b[0]).bit_count() <= simhash.NEAR_DISTANCE and sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= simhash.NEAR_BITS:
+    words = [passage(900, 30_000).split()]
+    return texts + [" ".join(words[0]), " ".join(words[0][:-900]), " ".join(words[0][:20_000])]
+
+
+def exact_components(texts):
+    sets = [set(near_text.shingle_set((t or "").encode()).tolist()) for t in texts]
+    root, near = list(range(len(texts))), []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                near.append((j, i))
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()}
-    assert got == set(root)
-    # All unrelated texts stay, and nearly all copies with up to three of 200 words edited (similarity 0.86 or more) go.
-    assert {0, 3, 5, 6, 7, *range(8, 248, 6), *range(248, 308)} <= got and len(got) <= 105 + 20
+    return root, near
+
+
+def test_near_duplicates_are_exactly_similar(spark):
+    texts = near_texts()
+    root, near = exact_components(texts)
+    frame = spark.createDataFrame([(i, t, "d", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, digest string, member int, component int").repartition(3)
+    rows = near_text.near_rows(frame).collect()
+    component = {r["doc_id"]: r["component"] for r in rows}
+    assert len(rows) == len(texts)
+    # Nothing is joined that exact similarity does not join, and at least 0.9 of the similar pairs are.
+    where = {}
+    for i, r in enumerate(root):
+        where.setdefault(component[i], set()).add(r)
+    assert all(len(w) == 1 for w in where.values())
+    assert sum(component[a] == component[b] for a, b in near) >= 0.9 * len(near)
+    kept = near_text.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    got = {r["doc_id"] for r in kept.collect()}
+    assert set(root) <= got and len(got) == len(set(component.values())) and {0, 3, 5, 6, 7, 308} <= got and not {1, 2, 4, 309} & got
+
+
+@pytest.mark.parametrize("rows", [4, 2048])
+def test_exact_links_over_chunks(spark, rows):
+    texts = [t for t in near_texts()[8:80]]
+    root, _ = exact_components(texts)
+    sets = spark.createDataFrame([(1, i, bytearray(near_text.shingle_set(t.encode()).tobytes())) for i, t in enumerate(texts)], "loose long, member long, shingles binary")
+    found = {r["node"]: r["root"] for r in graph.components(near_text.exact_links(sets, rows)).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == root
 
 
 def test_components_of_a_path_and_a_star(spark):
