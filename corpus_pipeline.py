@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrace.llm.common import materialize, table
 from terrace.llm.exact_dedup import exact_dedup
+from terrace.llm.near_text import drop_near_duplicates
 from terrace.llm.packing import pack_documents
-from terrace.llm.simhash import drop_near_duplicates
 from terrace.llm.substring_dedup import remove_repeats
 from terrace.llm.toxicity import drop_toxic
 
@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicate fingerprints (five-word shingles, similarity about 0.8 or more) stays."""
+    """One document of each group of near-duplicates stays: SimHash finds candidates, five-word shingles with a Jaccard similarity of 0.8 or more decide."""
     return drop_near_duplicates(docs)
 
 
