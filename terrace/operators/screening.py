@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import raster, relational
+from terrace.operators import overlay, raster, relational
 
 #: Degrees within which a mapped water line counts as water (15 m).
 LINE_BUFFER_DEG = 15.0 / georef.METRES_PER_DEGREE
@@ -88,24 +88,41 @@ def ring_intersection_area(one: Column, two: Column) -> Column:
     return F.when((F.size(one) >= 3) & (F.size(two) >= 3), held).otherwise(0.0)
 
 
-def mapped_water_share(ponds: DataFrame, water: DataFrame, cell: float) -> DataFrame:
-    """id, osm_water_fraction of each pond (id, ring): the areas shared with water polygons (wid, ring), summed, over its own, 1 at most.
+def _boxes(df: DataFrame, key: str, p: str) -> DataFrame:
+    b = df.where(F.size("ring") >= 3).select(F.col(key).alias(f"{p}id"), georef.ring_bbox(F.col("ring")).alias("b"))
+    return b.select(f"{p}id", *[F.col(f"b.{n}").alias(f"{p}{k}") for n, k in (("min_lon", "x0"), ("min_lat", "y0"), ("max_lon", "x1"), ("max_lat", "y1"))])
 
-    Boxes meet by an equi-join on grid cells of ``cell`` degrees before any ring is compared.
-    """
 
-    def boxes(df: DataFrame, key: str, p: str) -> DataFrame:
-        b = df.where(F.size("ring") >= 3).select(F.col(key).alias(f"{p}id"), georef.ring_bbox(F.col("ring")).alias("b"))
-        return b.select(f"{p}id", *[F.col(f"b.{n}").alias(f"{p}{k}") for n, k in (("min_lon", "x0"), ("min_lat", "y0"), ("max_lon", "x1"), ("max_lat", "y1"))])
+def mapped_water_share(ponds: DataFrame, water: DataFrame, cell: float, lines: DataFrame | None = None, within: float = LINE_BUFFER_DEG) -> DataFrame:
+    """id, osm_water_fraction of each pond (id, ring): the areas shared with water polygons (wid, ring), summed, over its own, 1 at most.
 
-    met = relational.bbox_range_join(boxes(ponds, "id", "l"), boxes(water, "wid", "r"), cell).select("lid", "rid")
+    Lines (wid, coords) count as the merged strip within so many degrees of them; what two
+    lines, or a line and a polygon, share counts for both.  Boxes meet by an equi-join on grid
+    cells of ``cell`` degrees before any ring is compared.
+    """
+    met = relational.bbox_range_join(_boxes(ponds, "id", "l"), _boxes(water, "wid", "r"), cell).select("lid", "rid")
     met = met.join(ponds.select(F.col("id").alias("lid"), F.col("ring").alias("pond")), "lid").join(water.select(F.col("wid").alias("rid"), F.col("ring").alias("wet")), "rid")
-    shared = met.groupBy(F.col("lid").alias("id")).agg(F.sum(ring_intersection_area(F.col("pond"), F.col("wet"))).alias("shared"))
+    shared = met.select(F.col("lid").alias("id"), ring_intersection_area(F.col("pond"), F.col("wet")).alias("shared"))
+    if lines is not None:
+        shared = shared.unionByName(line_overlap(ponds, lines, cell, within).select("id", "shared"))
+    shared = shared.groupBy("id").agg(F.sum("shared").alias("shared"))
     area = georef.ring_area(F.col("ring"))
     share = F.when(area > 0, F.least(F.lit(1.0), F.coalesce("shared", F.lit(0.0)) / F.when(area > 0, area))).otherwise(0.0)
     return ponds.join(shared, "id", "left").select("id", share.alias("osm_water_fraction"))
 
 
+def line_overlap(ponds: DataFrame, lines: DataFrame, cell: float, within: float = LINE_BUFFER_DEG) -> DataFrame:
+    """id, wid, shared: the area of each pond (id, ring) under the merged strip of each line (wid, coords) that comes near it.
+
+    Strips are cut into one piece a side of the line, and pieces meet ponds by their boxes, so
+    that a long line is never compared as a whole.
+    """
+    pieces = raster.cut_lineage(overlay.strips(lines, within).withColumn("piece", F.monotonically_increasing_id()))
+    near = relational.bbox_range_join(_boxes(ponds, "id", "l"), _boxes(pieces, "piece", "r"), cell).select(F.col("lid").alias("id"), F.col("rid").alias("piece"))
+    met = near.join(pieces, "piece").join(ponds.select("id", F.col("ring").alias("pond")), "id")
+    return overlay.shared_areas(met.select("id", "wid", "pond", "ring"))
+
+
 def near_line(lon: Column, lat: Column, coords: Column, within=LINE_BUFFER_DEG) -> Column:
     """Whether a point is within so many degrees of a line of (lon, lat) points."""
 
@@ -119,13 +136,13 @@ def near_line(lon: Column, lat: Column, coords: Column, within=LINE_BUFFER_DEG)
     return F.coalesce(F.exists(F.zip_with(coords, onward, distance), lambda d: d <= within), F.lit(False))
 
 
-def screen(ponds: DataFrame, water: DataFrame, mask: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
+def screen(ponds: DataFrame, water: DataFrame, mask: DataFrame, cells: DataFrame, cell: float, lines: DataFrame | None = None) -> DataFrame:
     """Ponds (candidate_id, ring, ...) with both shares of water and those over the limit excluded; an earlier reason stays.
 
-    ``water`` are mapped polygons (wid, ring), ``mask`` the imaged water cells and
-    ``cells`` the ponds' own (id, grid_id, r, c).
+    ``water`` are mapped polygons (wid, ring), ``lines`` mapped lines (wid, coords), ``mask``
+    the imaged water cells and ``cells`` the ponds' own (id, grid_id, r, c).
     """
-    mapped = mapped_water_share(ponds.select(F.col("candidate_id").alias("id"), "ring"), water, cell)
+    mapped = mapped_water_share(ponds.select(F.col("candidate_id").alias("id"), "ring"), water, cell, lines)
     imaged = raster.mask_overlap(cells, mask).withColumnRenamed("fraction", "worldcover_water_fraction")
     shares = mapped.join(imaged, "id", "left").withColumnRenamed("id", "candidate_id")
     return relational.screen_water(ponds.join(shares, "candidate_id", "left"))
