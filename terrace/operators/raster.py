@@ -1,12 +1,16 @@
 """Raster operators on the long form ``(grid_id, r, c, z)``.
 
-Neighbourhood operators that look one cell around are joins or windows.  Filling,
-which carries values across a whole grid, runs a heap per block inside a grouped
-kernel and exchanges block edges between supersteps until nothing changes, so a grid
-of any size is spread over many tasks; a grid that fits one block needs one kernel
-call.  Graph operators on the flow forest use pointer doubling, with rounds that grow
-with the logarithm of the longest path.  Lineage is cut by written tables in the
-shared checkpoint folder.
+What carries values across a whole grid (filling, labels, flow) runs a kernel per block
+(:mod:`terrace.operators.blocks`) and joins on what touches at block edges alone, so a grid
+of any size is spread over many tasks; a grid that fits one block needs one kernel call.
+Filling with an epsilon, whose levels depend on every step of the way, exchanges block edges
+between supersteps until nothing changes.  Forests of edge cells are solved by pointer
+doubling.  Lineage is cut by written tables in the shared checkpoint folder.
+
+Defined cases: rasters may have holes and several grids; a cell without a lower neighbour
+flows nowhere; labels and catchments of no cells are empty; empty tables give empty results;
+cells given twice are not defined, but for labels and masks, where they count once; flow
+needs rows and columns of zero or more.
 """
 
 from __future__ import annotations
@@ -133,14 +137,6 @@ def flow_direction(filled: DataFrame, block: int = BLOCK) -> DataFrame:
     return with_halo(filled.select("grid_id", "r", "c", F.col("filled").cast("double").alias("filled")), block).groupBy("grid_id", "br", "bc").applyInPandas(run, schema)
 
 
-def _cell(r: str, c: str):
-    return F.col(r).cast("long") * F.lit(1 << 31) + F.col(c)
-
-
-def _forest(flow: DataFrame) -> DataFrame:
-    return flow.select("grid_id", _cell("r", "c").alias("cell"), F.when(F.col("direction") >= 0, _cell("tr", "tc")).alias("up"))
-
-
 class _Streams:
     """The flow inside one block: for each of its cells the place of the cell it flows to, or -1, and whether that one is in another block."""
 
@@ -152,13 +148,20 @@ class _Streams:
         found = np.minimum(np.searchsorted(keys[order], self.target), len(keys) - 1)
         inside = flows & (keys[order][found] == self.target)
         self.down, self.leaves = np.where(inside, order[found], -1), flows & ~inside
-        # Water only goes to lower cells, so cells by falling level come before what they flow to.
-        self.order = np.argsort(-frame["filled"].to_numpy(), kind="stable")
+        # Every cell comes before the one it flows to.
+        down, waits = self.down.tolist(), np.bincount(self.down[self.down >= 0], minlength=len(keys)).tolist()
+        self.order = [k for k, n in enumerate(waits) if not n]
+        for at in self.order:
+            to = down[at]
+            if to >= 0:
+                waits[to] -= 1
+                if not waits[to]:
+                    self.order.append(to)
 
     def gathered(self, weight: np.ndarray) -> np.ndarray:
         """The weight of each cell and of all cells of the block that drain to it."""
         total, down = weight.tolist(), self.down.tolist()
-        for at in self.order.tolist():
+        for at in self.order:
             if down[at] >= 0:
                 total[down[at]] += total[at]
         return np.array(total)
@@ -166,7 +169,7 @@ class _Streams:
     def exits(self) -> np.ndarray:
         """For each cell the place of the cell by which its water leaves the block, or -1."""
         way, down, leaves = [-1] * len(self.down), self.down.tolist(), self.leaves.tolist()
-        for at in self.order[::-1].tolist():
+        for at in reversed(self.order):
             way[at] = at if leaves[at] else way[down[at]] if down[at] >= 0 else -1
         return np.array(way)
 
@@ -182,6 +185,11 @@ def _gather(state: DataFrame) -> DataFrame:
     return state.select("grid_id", "cell", "acc")
 
 
+def _in_blocks(flow: DataFrame, block: int) -> DataFrame:
+    at = [F.floor(F.col(n) / block).cast("int").alias(b) for n, b in (("r", "br"), ("c", "bc"))]
+    return flow.select("grid_id", "r", "c", "direction", "tr", "tc", *at)
+
+
 def flow_accumulation(flow: DataFrame, block: int = BLOCK) -> DataFrame:
     """grid_id, r, c, accumulation: the cell and all cells that drain to it.
 
@@ -189,7 +197,7 @@ def flow_accumulation(flow: DataFrame, block: int = BLOCK) -> DataFrame:
     which cell of another block water goes on from where it enters; the forest of those entries
     alone is solved by pointer doubling; a second pass spreads what enters each block.
     """
-    flow = cut_lineage(flow.select("grid_id", "r", "c", "filled", "direction", "tr", "tc", F.floor(F.col("r") / block).cast("int").alias("br"), F.floor(F.col("c") / block).cast("int").alias("bc")))
+    flow = cut_lineage(_in_blocks(flow, block))
     rim = F.pmod(F.col("r"), F.lit(block)).isin(0, block - 1) | F.pmod(F.col("c"), F.lit(block)).isin(0, block - 1)
 
     def first(frame: pd.DataFrame) -> pd.DataFrame:
@@ -213,20 +221,52 @@ def flow_accumulation(flow: DataFrame, block: int = BLOCK) -> DataFrame:
     return fed.groupBy("grid_id", "br", "bc").applyInPandas(second, "grid_id long, r int, c int, accumulation long")
 
 
-def catchments(flow: DataFrame, pours: DataFrame) -> DataFrame:
+def catchments(flow: DataFrame, pours: DataFrame, block: int = BLOCK) -> DataFrame:
     """pour_id, grid_id, r, c of every cell that drains to each pour point (pour_id, grid_id, r, c), itself included; catchments may nest.
 
-    Reverse reachability of all pour points at once by doubling: after k rounds all cells
-    under 2^k steps upstream are found, and those whose jump of 2^k steps lands on one follow.
+    A first pass over blocks tells which pour points of the block lie on the way of water that
+    enters at its edge, and where it leaves; which pour points lie further on follows on the
+    forest of edge cells alone, all at once by doubling: after k rounds those under 2^k blocks
+    downstream are known.  A second pass gives each cell the pour points on its way.
     """
-    jump = cut_lineage(_forest(flow).where("up IS NOT NULL"))
-    cells = cut_lineage(pours.select("pour_id", "grid_id", _cell("r", "c").alias("cell")))
+    marked = pours.groupBy("grid_id", "r", "c").agg(F.collect_set("pour_id").alias("own"))
+    flow = cut_lineage(_in_blocks(flow, block).join(marked, ["grid_id", "r", "c"], "left"))
+    rim = F.pmod(F.col("r"), F.lit(block)).isin(0, block - 1) | F.pmod(F.col("c"), F.lit(block)).isin(0, block - 1)
+    kind = pours.schema["pour_id"].dataType.simpleString()
+
+    def passed(frame: pd.DataFrame, streams: _Streams) -> list[tuple]:
+        """The pour points on the way of each cell, inside the block and beyond it."""
+        sets: list[tuple] = [()] * len(frame)
+        own = [() if x is None else tuple(x) for x in frame["own"]]
+        beyond = [() if x is None else tuple(x) for x in frame["beyond"]] if "beyond" in frame else None
+        down, leaves = streams.down.tolist(), streams.leaves.tolist()
+        for at in reversed(streams.order):
+            further = sets[down[at]] if down[at] >= 0 else beyond[at] if beyond and leaves[at] else ()
+            sets[at] = own[at] + further if own[at] else further
+        return sets
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        streams = _Streams(frame)
+        way, sets, at = streams.exits(), passed(frame, streams), np.nonzero(frame["rim"].to_numpy())[0]
+        up = pd.array(streams.target[way[at]], dtype="Int64")
+        up[way[at] < 0] = pd.NA
+        return pd.DataFrame({"grid_id": frame["grid_id"].iloc[0], "cell": streams.keys[at], "up": up, "pours": [list(sets[k]) or None for k in at.tolist()]})
+
+    def second(frame: pd.DataFrame) -> pd.DataFrame:
+        found = frame.assign(pour_id=[list(x) or None for x in passed(frame, _Streams(frame))])[["pour_id", "grid_id", "r", "c"]]
+        return found.dropna(subset=["pour_id"]).explode("pour_id")
+
+    edge = cut_lineage(flow.withColumn("rim", rim).groupBy("grid_id", "br", "bc").applyInPandas(first, f"grid_id long, cell long, up long, pours array<{kind}>"))
+    jump = edge.where("up IS NOT NULL").select("grid_id", "cell", "up")
+    met = cut_lineage(edge.where("pours IS NOT NULL").select(F.explode("pours").alias("pour_id"), "grid_id", "cell"))
     while not jump.isEmpty():
-        landed = cells.select("pour_id", "grid_id", F.col("cell").alias("up"))
-        cells = cut_lineage(cells.unionByName(jump.join(landed, ["grid_id", "up"]).select("pour_id", "grid_id", "cell")))
+        landed = met.select("pour_id", "grid_id", F.col("cell").alias("up"))
+        met = cut_lineage(met.unionByName(jump.join(landed, ["grid_id", "up"]).select("pour_id", "grid_id", "cell")))
         hop = jump.select("grid_id", F.col("cell").alias("up"), F.col("up").alias("next"))
         jump = cut_lineage(jump.join(hop, ["grid_id", "up"]).select("grid_id", "cell", F.col("next").alias("up")))
-    return cells.select("pour_id", "grid_id", F.expr("cast(cell div 2147483648 as int)").alias("r"), F.expr("cast(cell % 2147483648 as int)").alias("c"))
+    to = [F.expr("cast(cell div 2147483648 as int)").alias("tr"), F.expr("cast(cell % 2147483648 as int)").alias("tc")]
+    beyond = met.groupBy("grid_id", "cell").agg(F.collect_list("pour_id").alias("beyond")).select("grid_id", *to, "beyond")
+    return flow.join(beyond, ["grid_id", "tr", "tc"], "left").groupBy("grid_id", "br", "bc").applyInPandas(second, f"pour_id {kind}, grid_id long, r int, c int")
 
 
 def label_zones(cells: DataFrame, block: int = BLOCK) -> DataFrame:

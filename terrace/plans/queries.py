@@ -635,10 +635,10 @@ def elevation_from_text(spark, d):
     return t(spark, d, "events").select("event_id", feeds.elevation_from_text(F.col("props")).alias("elevation"))
 
 
-@query("SELECT CASE WHEN b >= a THEN CASE WHEN b > a THEN 'description' ELSE 'name' END ELSE 'name' END AS source, greatest(a, b) AS hits FROM (SELECT count(TRY_CAST(trim(event_type) AS DOUBLE)) AS a, count(TRY_CAST(nullif(regexp_extract(props, '[0-9]+', 0), '') AS DOUBLE)) AS b FROM events)")
+@query("SELECT CASE WHEN b > a THEN 'description' ELSE 'placemark_name' END AS source, greatest(a, b) AS hits FROM (SELECT count(TRY_CAST(trim(event_type) AS DOUBLE)) AS a, count(TRY_CAST(nullif(regexp_extract(props, '[0-9]+', 0), '') AS DOUBLE)) AS b FROM events)")
 def elevation_source_choice(spark, d):
-    e = t(spark, d, "events").select(feeds.elevation_from_name(F.col("event_type")).alias("name"), feeds.elevation_from_text(F.col("props")).alias("description"))
-    return relational.best_elevation_source(e, ["name", "description"])
+    e = t(spark, d, "events").select(feeds.elevation_from_name(F.col("event_type")).alias("placemark_name"), feeds.elevation_from_text(F.col("props")).alias("description"))
+    return relational.best_elevation_source(e, ["placemark_name", "description"])
 
 
 @query("WITH g AS (SELECT round(lead(e) OVER (ORDER BY e) - e, 6) AS gap FROM (SELECT DISTINCT CAST(p_size AS DOUBLE) AS e FROM part)) SELECT gap AS contour_interval FROM g WHERE gap IS NOT NULL GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1")
@@ -730,7 +730,7 @@ _KML = b"<kml xmlns='http://www.opengis.net/kml/2.2'><Document>%s</Document></km
 _MARK = b"<Placemark><name>%d</name><LineString><coordinates>69.0,-24.0,0 69.0%d,-24.0 bad</coordinates></LineString></Placemark>"
 
 
-@query("SELECT s_suppkey, level AS n, CAST(200.0 + level * 2 AS DOUBLE) AS elevation, 'name' AS source, 2 AS points FROM supplier, range(0, 3) t(level)")
+@query("SELECT s_suppkey, level AS n, CAST(200.0 + level * 2 AS DOUBLE) AS elevation, 'placemark_name' AS source, 2 AS points FROM supplier, range(0, 3) t(level)")
 def kml_placemarks(spark, d):
     body = [F.concat(*[F.lit((_MARK % (200 + 2 * k, k)).decode()) for k in range(3)])]
     text = F.concat(F.lit(_KML.split(b"%s")[0].decode()), *body, F.lit(_KML.split(b"%s")[1].decode()))

@@ -108,3 +108,18 @@ def test_forests_of_passes_keep_the_best_ways():
         ends = {spill.OUTSIDE, 1, 2, 3}
         whole, less = spill.levels(edges), spill.levels(spill.reduced(edges, ends))
         assert {k: v for k, v in whole.items() if k in ends} == less
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_nested_catchments(spark, cells, block):
+    flow = raster.cut_lineage(raster.flow_direction(cells.where("grid_id = 2").withColumn("r", F.col("r") + 5).withColumnRenamed("z", "filled")))
+    down = {(x["r"], x["c"]): (x["tr"], x["tc"]) for x in flow.collect()}
+    pours = [(1, 16, 13), (2, 10, 10), (3, 10, 10), (4, 25, 5), (5, 0, 0), (6, 16, 12), (7, 40, 40)]
+    want = set()
+    for start in down:
+        at = start
+        while at is not None and at[0] is not None:
+            want |= {(p, *start) for p, r, c in pours if (r, c) == at}
+            at = down[at]
+    got = raster.catchments(flow, spark.createDataFrame([(p, 2, r, c) for p, r, c in pours], "pour_id int, grid_id long, r int, c int"), block).collect()
+    assert {(x["pour_id"], x["r"], x["c"]) for x in got} == want and len(got) == len(want)

@@ -131,7 +131,7 @@ def test_reports_on_maps(spark):
     files = spark.createDataFrame([(k, f"<kml>{v}</kml>".encode()) for k, v in maps.items()], "path string, content binary")
     got = {r["path"]: r for r in feeds.map_report(feeds.placemarks(files)).collect()}
     g = got["good"]
-    assert (g["source"], g["lines"], g["vertices"], g["levels"], g["skipped_no_elevation"], g["skipped_degenerate"], g["rejected"]) == ("name", 2, 5, 2, 1, 1, None)
+    assert (g["source"], g["lines"], g["vertices"], g["levels"], g["skipped_no_elevation"], g["skipped_degenerate"], g["rejected"]) == ("placemark_name", 2, 5, 2, 1, 1, None)
     assert [(p["lon"], p["lat"]) for p in g["boundary"]] == [(0, 0), (9, 0), (9, 9)]
     assert {k: got[k]["rejected"] for k in maps if k != "good"} == {
         "bare": "no contour lines", "nameless": "no elevation could be resolved", "flat": "only one elevation level", "short": "no line has an elevation and two points", "none": "no placemarks"
