@@ -42,22 +42,29 @@ def bounds(cells: DataFrame) -> DataFrame:
 
 def _heap_fill(z: np.ndarray, level: np.ndarray, fixed: np.ndarray, epsilon: float) -> np.ndarray:
     """Smallest levels reachable downward from the finite ones: w >= z and w >= lowest neighbour + epsilon. NaN cells are walls."""
-    rows, cols = z.shape
-    w = np.where(np.isnan(z), np.nan, level)
-    heap = [(w[r, c], r, c) for r, c in zip(*np.nonzero(np.isfinite(w)), strict=True)]
+    wide = np.pad(np.where(np.isnan(z), np.nan, level), 1, constant_values=np.nan)
+    cols = wide.shape[1]
+    ground, w = np.pad(z, 1, constant_values=np.nan).ravel().tolist(), wide.ravel().tolist()
+    held = (np.pad(fixed, 1, constant_values=True) | np.isnan(wide)).ravel().tolist()
+    heap = [(w[at], at) for at in np.nonzero(np.isfinite(wide).ravel())[0].tolist()]
     heapq.heapify(heap)
+    around = [dr * cols + dc for dr, dc in NEIGHBOURS]
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        low, r, c = heapq.heappop(heap)
-        if low > w[r, c]:
+        low, at = pop(heap)
+        if low > w[at]:
             continue
-        for dr, dc in NEIGHBOURS:
-            i, j = r + dr, c + dc
-            if 0 <= i < rows and 0 <= j < cols and not fixed[i, j]:
-                reach = max(z[i, j], low + epsilon)
-                if reach < w[i, j]:
-                    w[i, j] = reach
-                    heapq.heappush(heap, (reach, i, j))
-    return w
+        low += epsilon
+        for d in around:
+            to = at + d
+            if not held[to] and low < w[to]:
+                reach = ground[to]
+                if low > reach:
+                    reach = low
+                if reach < w[to]:
+                    w[to] = reach
+                    push(heap, (reach, to))
+    return np.array(w).reshape(wide.shape)[1:-1, 1:-1]
 
 
 def fill(cells: DataFrame, epsilon: float = 0.0, block: int = BLOCK) -> DataFrame:
@@ -73,10 +80,13 @@ def fill(cells: DataFrame, epsilon: float = 0.0, block: int = BLOCK) -> DataFram
         return spill.fill(cells, F.broadcast(b) if b.count() <= 100_000 else b, block)
     at = cells.join(F.broadcast(b), "grid_id") if b.count() <= 100_000 else cells.join(b, "grid_id")
     border = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
+    # Blocks of narrow rasters are longer, so that a block has as many cells as elsewhere.
+    side = lambda low, high: F.least(F.lit(block), F.col(high) - F.col(low) + 1)
+    tall, wide = ((F.lit(block * block) / side(low, high)).cast("int") for low, high in (("c0", "c1"), ("r0", "r1")))
     state = at.select(
         "grid_id", "r", "c", F.col("z").cast("double").alias("z"), border.alias("fixed"),
         F.when(border, F.col("z").cast("double")).otherwise(F.lit(float("inf"))).alias("w"),
-        F.floor(F.col("r") / block).cast("int").alias("br"), F.floor(F.col("c") / block).cast("int").alias("bc"),
+        F.floor(F.col("r") / tall).cast("int").alias("br"), F.floor(F.col("c") / wide).cast("int").alias("bc"), tall.alias("tall"), wide.alias("wide"),
     )
 
     def relax(frame: pd.DataFrame) -> pd.DataFrame:
@@ -89,16 +99,16 @@ def fill(cells: DataFrame, epsilon: float = 0.0, block: int = BLOCK) -> DataFram
         fixed[i, j] = frame["fixed"].to_numpy() | ~own
         out = _heap_fill(z, w, fixed, epsilon)
         mine = frame[own]
-        return mine.assign(new=out[i[own], j[own]])[["grid_id", "r", "c", "z", "fixed", "w", "br", "bc", "new"]]
+        return mine.assign(new=out[i[own], j[own]])[["grid_id", "r", "c", "z", "fixed", "w", "br", "bc", "tall", "wide", "new"]]
 
-    schema = "grid_id long, r int, c int, z double, fixed boolean, w double, br int, bc int, new double"
+    schema = "grid_id long, r int, c int, z double, fixed boolean, w double, br int, bc int, tall int, wide int, new double"
     many = state.select("grid_id", "br", "bc").distinct().groupBy("grid_id").count().where("count > 1").limit(1).count() > 0
     while True:
         owned = state.withColumn("own", F.lit(True))
         if many:  # a ring of cells of the neighbouring blocks
-            shifts = F.array(*[F.struct(F.floor((F.col("r") + dr) / block).cast("int").alias("br"), F.floor((F.col("c") + dc) / block).cast("int").alias("bc")) for dr, dc in NEIGHBOURS])
+            shifts = F.array(*[F.struct(F.floor((F.col("r") + dr) / F.col("tall")).cast("int").alias("br"), F.floor((F.col("c") + dc) / F.col("wide")).cast("int").alias("bc")) for dr, dc in NEIGHBOURS])
             ring = state.withColumn("to", F.explode(F.array_distinct(shifts))).where((F.col("to.br") != F.col("br")) | (F.col("to.bc") != F.col("bc")))
-            ring = ring.select("grid_id", "r", "c", "z", "fixed", "w", F.col("to.br").alias("br"), F.col("to.bc").alias("bc"), F.lit(False).alias("own"))
+            ring = ring.select("grid_id", "r", "c", "z", "fixed", "w", F.col("to.br").alias("br"), F.col("to.bc").alias("bc"), "tall", "wide", F.lit(False).alias("own"))
             owned = owned.unionByName(ring)
         step = cut_lineage(owned.groupBy("grid_id", "br", "bc").applyInPandas(relax, schema))
         changed = many and not step.where("new < w").isEmpty()
