@@ -65,8 +65,12 @@ def spanning_links(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> li
             x = stack.pop()
             # Sets whose sizes alone keep them apart need no look at their members.
             fit = rest[down * np.minimum(sizes[rest], sizes[x]) >= up * np.maximum(sizes[rest], sizes[x])]
-            shared = [len(np.intersect1d(sets[x], sets[k], assume_unique=True)) for k in fit.tolist()]
-            shared = np.array(shared, dtype=np.int64)
+            shared = np.zeros(len(fit), dtype=np.int64)
+            if len(fit) and len(mine := sets[x]):
+                # All members of all fitting sets are looked up at once, and the hits added up by set.
+                every, ends = np.concatenate([sets[k] for k in fit.tolist()]), np.cumsum(sizes[fit])
+                hits = np.append(0, np.cumsum(mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every))
+                shared = hits[ends] - hits[ends - sizes[fit]]
             near = fit[(up + down) * shared >= up * (sizes[fit] + sizes[x])]
             links += [(x, k) for k in near.tolist()]
             stack.extend(near.tolist())
