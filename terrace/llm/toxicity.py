@@ -6,11 +6,13 @@ terms that matter together (an insult with the mention of a group) which a linea
 model cannot.  Words are runs of letters and digits, A-Z lower-cased.
 
 Fitting uses a bounded sample: one row of each of at most ``FIT_ROWS`` labelled
-doc_ids outside the held-out fold, those whose hash comes first.  The model has the
-buckets that tell something by themselves (log-likelihood ratio of at least
-``LEAST_G2``, the best ``FIT_TERMS``) and, of the ``PAIR_TERMS`` most frequent buckets,
-both of every pair that tells more than its two terms do (by ``LEAST_PAIR``), so that
-terms which matter only together are learnt as well.  Scoring reads every whole text.
+doc_ids outside the held-out fold, those whose hash comes first.  The model has every
+bucket of the sample that tells something by itself (log-likelihood ratio of at least
+``LEAST_G2``) and both buckets of every pair of the sample's buckets that tells more
+than its two terms do (by ``LEAST_PAIR``), so that terms which matter only together are
+learnt as well, rare ones too; no number of terms or pairs is fixed.  The pairs are those
+that meet in some text of the sample, looked at in tasks of their own.  Scoring reads
+every whole text.
 
 Defined cases: a null text counts as empty and scores sigmoid(w0); labels that
 are null are not used; of contradicting labels of one doc_id the larger counts;
@@ -28,19 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 BUCKETS = 1 << 18
 FIT_ROWS = 20_000
-FIT_TERMS = 1_024
 #: Least log-likelihood ratio statistic of a term: rarer evidence is left out, as chance.
 LEAST_G2 = 15.0
-#: The most frequent buckets whose pairs are looked at, and the least ratio of a pair beyond those of its terms.
-PAIR_TERMS = 1_024
+#: Least ratio of a pair beyond those of its two terms; high, since all pairs of the sample are tried.
 LEAST_PAIR = 45.0
+#: Tasks that look at pairs, each at a share of the first terms.
+PAIR_TASKS = 32
+#: Terms of documents that a task has in hand at once, give or take one document.
+MOST_TERMS = 1 << 20
 FACTORS = 8
 THRESHOLD = 0.3
 
@@ -113,13 +117,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, epochs:
             d0 = err.sum()
             g0 += d0 * d0
             w0 -= rate * d0 / np.sqrt(g0)
-            touched = np.unique(cols)
-            dw = np.zeros(k)
-            np.add.at(dw, cols, err[owner])
-            dv = np.zeros((k, FACTORS))
-            np.add.at(dv, cols, err[owner][:, None] * (s[owner] - v[cols]))
-            dw = dw[touched] + shrink * w[touched]
-            dv = dv[touched] + shrink * v[touched]
+            touched, at = np.unique(cols, return_inverse=True)
+            dw, dv = np.zeros(len(touched)), np.zeros((len(touched), FACTORS))
+            np.add.at(dw, at, err[owner])
+            np.add.at(dv, at, err[owner][:, None] * (s[owner] - v[cols]))
+            dw += shrink * w[touched]
+            dv += shrink * v[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             w[touched] -= rate * dw / np.sqrt(gw[touched])
@@ -136,27 +139,49 @@ def _information(n: np.ndarray, t: np.ndarray) -> np.ndarray:
     return part(t) + part(n - t)
 
 
-def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, k: int, least: float = LEAST_PAIR) -> list[tuple[int, int]]:
-    """Pairs of the k terms (``rows``: positions of each document's terms) whose four cells tell more of the labels than the two terms do by themselves."""
-    n, tox = float(len(rows)), labels > 0
-    both, bad = np.zeros((k, k)), np.zeros((k, k))
-    for start in range(0, len(rows), 2_048):
-        x = np.zeros((min(2_048, len(rows) - start), k), dtype=np.float32)
-        for i, r in enumerate(rows[start : start + 2_048]):
-            x[i, r] = 1
-        both += x.T @ x
-        x = x[tox[start : start + 2_048]]
-        bad += x.T @ x
-    one, one_bad, t = np.diag(both), np.diag(bad), float(tox.sum())
-    base = _information(np.array(n), np.array(t))
-    single = 2 * (_information(one, one_bad) + _information(n - one, t - one_bad) - base)
-    cells = _information(both, bad) + _information(one[:, None] - both, one_bad[:, None] - bad) + _information(one[None, :] - both, one_bad[None, :] - bad)
-    cells += _information(n - one[:, None] - one[None, :] + both, t - one_bad[:, None] - one_bad[None, :] + bad)
-    gain = 2 * (cells - base) - single[:, None] - single[None, :]
-    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(gain >= least, 1)), strict=True)]
-
-
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERMS, pair_terms: int = PAIR_TERMS) -> FactorizationMachine:
+class Sample:
+    """The sample as flat arrays: the positions of each document's terms, and for each term its documents."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, k: int):
+        self.k, self.bad = k, labels > 0
+        lens = np.array([len(r) for r in rows], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(lens)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
+        self.docs = owner[np.argsort(self.terms, kind="stable")]
+        self.n = np.bincount(self.terms, minlength=k)
+        self.t = np.bincount(self.terms[self.bad[owner]], minlength=k)
+        self.places = np.concatenate([[0], np.cumsum(self.n)])
+
+    def pairs_of(self, term: int, least: float) -> np.ndarray:
+        """The later terms that meet ``term`` in some document and whose four cells tell more of the labels than the two terms do by themselves."""
+        docs = self.docs[self.places[term] : self.places[term + 1]]
+        both, bad = np.zeros(self.k, np.int64), np.zeros(self.k, np.int64)
+        lens = self.starts[docs + 1] - self.starts[docs]
+        cuts = np.searchsorted(np.cumsum(lens), np.arange(MOST_TERMS, int(lens.sum()), MOST_TERMS))
+        for part, size in zip(np.split(docs, cuts), np.split(lens, cuts), strict=True):
+            at = np.arange(int(size.sum())) + np.repeat(self.starts[part] - (np.cumsum(size) - size), size)
+            met, toxic = self.terms[at], np.repeat(self.bad[part], size)
+            both += np.bincount(met, minlength=self.k)
+            bad += np.bincount(met[toxic], minlength=self.k)
+        both[: term + 1] = 0
+        later = np.nonzero(both)[0]
+        both, bad = both[later].astype(float), bad[later].astype(float)
+        n, t = float(len(self.bad)), float(self.bad.sum())
+        one, one_bad, two, two_bad = float(self.n[term]), float(self.t[term]), self.n[later].astype(float), self.t[later].astype(float)
+        base = _information(np.array(n), np.array(t))
+        single = _information(np.array([one]), np.array([one_bad])) + _information(np.array([n - one]), np.array([t - one_bad])) + _information(two, two_bad) + _information(n - two, t - two_bad)
+        cells = _information(both, bad) + _information(one - both, one_bad - bad) + _information(two - both, two_bad - bad) + _information(n - one - two + both, t - one_bad - two_bad + bad)
+        return later[2 * (cells + base - single) >= least]
+
+
+def may_pair(n: float, counts: np.ndarray, least: float = LEAST_PAIR) -> np.ndarray:
+    """Which terms can be in a telling pair at all: what a pair tells beyond its terms is at most the entropy of either term."""
+    p = np.clip(counts / max(n, 1.0), 1e-12, 1 - 1e-12)
+    return (counts < n) & (-2 * n * (p * np.log(p) + (1 - p) * np.log(1 - p)) >= least)
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -184,10 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_term
     m1, m0 = F.lit(float(t)) - n1, F.lit(float(n - t)) - n0
     gain = entropy(n1, n0) + entropy(m1, m0)
     base = sum(x * math.log(x / n) for x in (t, n - t) if x)
-    top = seen.withColumn("gain", gain).where(2 * (F.col("gain") - base) >= LEAST_G2).orderBy(F.desc("gain"), "bucket").limit(fit_terms).select("bucket").collect()
-    frequent = seen.where((F.col("n") > 1) & (F.col("n") < n)).orderBy(F.desc("n"), "bucket").limit(pair_terms).select("bucket").collect()
-    alone, often = {r["bucket"] for r in top}, sorted({r["bucket"] for r in frequent})
-    wanted = np.array(sorted(alone.union(often)), dtype=np.int64)
+    found = seen.select("bucket", "n", (2 * (gain - base) >= LEAST_G2).alias("tells")).toPandas().sort_values("bucket")  # at most BUCKETS rows
+    alone, common = found["bucket"].to_numpy()[found["tells"]], found["bucket"].to_numpy()[may_pair(float(n), found["n"].to_numpy())]
+    wanted = np.union1d(alone, common).astype(np.int64)
 
     def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -200,14 +224,29 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_term
     sets = [np.asarray(data["buckets"].iloc[i], dtype=np.int64) for i in order]
 
     def positions(buckets: np.ndarray) -> list[np.ndarray]:
-        return [np.searchsorted(buckets, s[np.isin(s, buckets)]) for s in sets]
+        return [np.searchsorted(buckets, s[np.isin(s, buckets, assume_unique=True)]) for s in sets]
 
-    common = np.array(often, dtype=np.int64)
-    pairs = telling_pairs(positions(common), marks, len(common)) if len(common) and 0 < marks.sum() < len(marks) else []
-    buckets = np.array(sorted(alone.union(int(common[x]) for pair in pairs for x in pair)), dtype=np.int64)
+    together = common[telling_terms(docs.sparkSession, Sample(positions(common), marks, len(common)))] if len(common) and 0 < marks.sum() < len(marks) else common[:0]
+    buckets = np.union1d(alone, together).astype(np.int64)
     return fit(positions(buckets), marks, buckets)
 
 
+def telling_terms(spark: SparkSession, sample: Sample, least: float = LEAST_PAIR) -> np.ndarray:
+    """Positions of the terms of all telling pairs.  The bounded sample goes to every task; each looks at the pairs of its share of the terms."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for share in (int(i) for frame in frames for i in frame["id"]):
+            out: set[int] = set()
+            for term in range(share, sample.k, PAIR_TASKS):
+                later = sample.pairs_of(term, least)
+                if len(later):
+                    out.update((term, *later.tolist()))
+            yield pd.DataFrame({"term": np.array(sorted(out), dtype=np.int64)})
+
+    told = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInPandas(look, "term long").distinct()
+    return np.sort(told.toPandas()["term"].to_numpy())  # at most BUCKETS rows
+
+
 def _scorer(model: FactorizationMachine):
     """From texts to scores; words map to model positions (or none) through a bounded memory."""
     place = {int(b): i for i, b in enumerate(model.buckets)}

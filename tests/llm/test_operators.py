@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -461,6 +462,50 @@ def test_toxicity_learns_pairs_that_tell_nothing_alone(spark):
     assert len(got) > 500 and sum((r["score"] >= 0.5) == bool(labels[r["doc_id"]][1]) for r in got) / len(got) >= 0.9
 
 
+def test_toxicity_learns_pairs_of_terms_rarer_than_many_others(spark):
+    rng, rows, labels, either = random.Random(6), [], [], set()
+    common = [f"w{i}" for i in range(1500)]
+    for i in range(6000):
+        words = rng.sample(common, 200)
+        insult, group = rng.random() < 0.1, rng.random() < 0.1
+        if insult or group:
+            either.add(i)
+        words += ["idiot"] * insult + ["northerners"] * group
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult and group) if insult or group else rng.randint(0, 1)))
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r for r in toxicity.score_documents(frame, marks).collect() if r["held_out"] and r["doc_id"] in either]
+    assert len(got) > 150 and sum((r["score"] >= 0.5) == bool(labels[r["doc_id"]][1]) for r in got) / len(got) >= 0.95
+
+
+def test_toxicity_pairs_equal_a_plain_table_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 50)
+    rng = random.Random(8)
+    rows = [np.array(sorted(rng.sample(range(25), rng.randint(0, 9))), dtype=np.int64) for _ in range(400)]
+    labels = np.array([float((3 in r) == (7 in r) if rng.random() < 0.9 else rng.random() < 0.5) for r in rows])
+
+    def information(cells):
+        return sum(t * math.log(t / n) + (n - t) * math.log((n - t) / n) if 0 < t < n else 0.0 for n, t in cells)
+
+    def table(*keys):
+        cells = {}
+        for r, y in zip(rows, labels, strict=True):
+            key = tuple(k in r for k in keys)
+            n, t = cells.get(key, (0, 0))
+            cells[key] = (n + 1, t + y)
+        return information(cells.values())
+
+    for least in (3.0, 45.0):
+        met = {(i, j) for r in rows for i in r.tolist() for j in r.tolist() if i < j}
+        want = {(i, j) for i, j in met if 2 * (table(i, j) + table() - table(i) - table(j)) >= least}
+        sample = toxicity.Sample(rows, labels, 25)
+        assert {(i, int(j)) for i in range(25) for j in sample.pairs_of(i, least)} == want
+        assert toxicity.telling_terms(spark, sample, least).tolist() == sorted({x for pair in want for x in pair})
+        assert (3, 7) in want
+        # No term that is in a telling pair is left out beforehand.
+        assert toxicity.may_pair(400, sample.n, least)[sorted({x for pair in want for x in pair})].all()
+
+
 def test_toxicity_logit_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     model = toxicity.FactorizationMachine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 8)))
