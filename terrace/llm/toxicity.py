@@ -89,6 +89,13 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-z))
 
 
+def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by index, in their order."""
+    if values.ndim == 1:
+        return np.bincount(index, values, size)
+    return np.stack([np.bincount(index, column, size) for column in values.T], axis=1)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, epochs: int = 30, rate: float = 0.1, shrink: float = 2e-4) -> FactorizationMachine:
     """``rows``: for each document the positions (in ``buckets``) of the terms it has."""
     n, k = len(rows), len(buckets)
@@ -106,23 +113,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, epochs:
             lens = np.array([len(rows[i]) for i in picked])
             cols = np.concatenate([rows[i] for i in picked]).astype(np.int64)
             owner = np.repeat(np.arange(len(picked)), lens)
-            z = np.full(len(picked), w0)
-            np.add.at(z, owner, w[cols])
-            s = np.zeros((len(picked), FACTORS))
-            q = np.zeros(len(picked))
-            np.add.at(s, owner, v[cols])
-            np.add.at(q, owner, (v[cols] ** 2).sum(axis=1))
-            z += 0.5 * ((s * s).sum(axis=1) - q)
+            held = v[cols]
+            s = _sums(owner, held, len(picked))
+            q = _sums(owner, (held * held).sum(axis=1), len(picked))
+            z = w0 + _sums(owner, w[cols], len(picked)) + 0.5 * ((s * s).sum(axis=1) - q)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[picked]) / len(picked)
             d0 = err.sum()
             g0 += d0 * d0
             w0 -= rate * d0 / np.sqrt(g0)
             touched, at = np.unique(cols, return_inverse=True)
-            dw, dv = np.zeros(len(touched)), np.zeros((len(touched), FACTORS))
-            np.add.at(dw, at, err[owner])
-            np.add.at(dv, at, err[owner][:, None] * (s[owner] - v[cols]))
-            dw += shrink * w[touched]
-            dv += shrink * v[touched]
+            dw = _sums(at, err[owner], len(touched)) + shrink * w[touched]
+            dv = _sums(at, err[owner][:, None] * (s[owner] - held), len(touched)) + shrink * v[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             w[touched] -= rate * dw / np.sqrt(gw[touched])
@@ -130,17 +131,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, epochs:
     return FactorizationMachine(buckets, w0, w, v)
 
 
-def _information(n: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Log-likelihood of the labels in cells of n rows of which t are positive."""
-
-    def part(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n, 1e-12)), 0.0)
-
-    return part(t) + part(n - t)
-
-
 class Sample:
-    """The sample as flat arrays: the positions of each document's terms, and for each term its documents."""
+    """The sample as flat arrays: the positions of each document's terms, distinct and sorted, and where each term occurs."""
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, k: int):
         self.k, self.bad = k, labels > 0
@@ -148,31 +140,42 @@ class Sample:
         self.starts = np.concatenate([[0], np.cumsum(lens)])
         self.terms = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
         owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-        self.docs = owner[np.argsort(self.terms, kind="stable")]
+        self.at = np.argsort(self.terms, kind="stable")
+        self.docs = owner[self.at]
         self.n = np.bincount(self.terms, minlength=k)
         self.t = np.bincount(self.terms[self.bad[owner]], minlength=k)
         self.places = np.concatenate([[0], np.cumsum(self.n)])
+        x = np.arange(len(rows) + 1, dtype=float)
+        self.x_log_x = x * np.log(np.maximum(x, 1))
+        self.rows, self.toxic = len(rows), int(self.bad.sum())
+        self.single = self._information(self.n, self.t) + self._information(self.rows - self.n, self.toxic - self.t)
+
+    def _information(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Log-likelihood of the labels in cells of n rows of which t are toxic."""
+        return self.x_log_x[t] + self.x_log_x[n - t] - self.x_log_x[n]
+
+    def _met(self, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """How often each term follows the occurrences ``at`` in their documents."""
+        out, lens = np.zeros(self.k, np.int64), self.starts[docs + 1] - at - 1
+        cuts = np.searchsorted(np.cumsum(lens), np.arange(MOST_TERMS, int(lens.sum()), MOST_TERMS))
+        for part, size in zip(np.split(at + 1, cuts), np.split(lens, cuts), strict=True):
+            total = int(size.sum())
+            if total:
+                out += np.bincount(self.terms[np.arange(total) + np.repeat(part - (np.cumsum(size) - size), size)], minlength=self.k)
+        return out
 
     def pairs_of(self, term: int, least: float) -> np.ndarray:
         """The later terms that meet ``term`` in some document and whose four cells tell more of the labels than the two terms do by themselves."""
-        docs = self.docs[self.places[term] : self.places[term + 1]]
-        both, bad = np.zeros(self.k, np.int64), np.zeros(self.k, np.int64)
-        lens = self.starts[docs + 1] - self.starts[docs]
-        cuts = np.searchsorted(np.cumsum(lens), np.arange(MOST_TERMS, int(lens.sum()), MOST_TERMS))
-        for part, size in zip(np.split(docs, cuts), np.split(lens, cuts), strict=True):
-            at = np.arange(int(size.sum())) + np.repeat(self.starts[part] - (np.cumsum(size) - size), size)
-            met, toxic = self.terms[at], np.repeat(self.bad[part], size)
-            both += np.bincount(met, minlength=self.k)
-            bad += np.bincount(met[toxic], minlength=self.k)
-        both[: term + 1] = 0
+        own = slice(self.places[term], self.places[term + 1])
+        at, docs = self.at[own], self.docs[own]
+        toxic = self.bad[docs]
+        bad = self._met(at[toxic], docs[toxic])
+        both = bad + self._met(at[~toxic], docs[~toxic])
         later = np.nonzero(both)[0]
-        both, bad = both[later].astype(float), bad[later].astype(float)
-        n, t = float(len(self.bad)), float(self.bad.sum())
-        one, one_bad, two, two_bad = float(self.n[term]), float(self.t[term]), self.n[later].astype(float), self.t[later].astype(float)
-        base = _information(np.array(n), np.array(t))
-        single = _information(np.array([one]), np.array([one_bad])) + _information(np.array([n - one]), np.array([t - one_bad])) + _information(two, two_bad) + _information(n - two, t - two_bad)
-        cells = _information(both, bad) + _information(one - both, one_bad - bad) + _information(two - both, two_bad - bad) + _information(n - one - two + both, t - one_bad - two_bad + bad)
-        return later[2 * (cells + base - single) >= least]
+        both, bad, two, two_bad = both[later], bad[later], self.n[later], self.t[later]
+        n, t, one, one_bad = self.rows, self.toxic, self.n[term], self.t[term]
+        cells = self._information(both, bad) + self._information(one - both, one_bad - bad) + self._information(two - both, two_bad - bad) + self._information(n - one - two + both, t - one_bad - two_bad + bad)
+        return later[2 * (cells + self._information(n, t) - self.single[term] - self.single[later]) >= least]
 
 
 def may_pair(n: float, counts: np.ndarray, least: float = LEAST_PAIR) -> np.ndarray:
