@@ -140,8 +140,7 @@ class Sample:
         self.starts = np.concatenate([[0], np.cumsum(lens)])
         self.terms = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
         owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-        self.at = np.argsort(self.terms, kind="stable")
-        self.docs = owner[self.at]
+        self.at = self.docs = None
         self.n = np.bincount(self.terms, minlength=k)
         self.t = np.bincount(self.terms[self.bad[owner]], minlength=k)
         self.places = np.concatenate([[0], np.cumsum(self.n)])
@@ -150,6 +149,11 @@ class Sample:
         self.rows, self.toxic = len(rows), int(self.bad.sum())
         self.single = self._information(self.n, self.t) + self._information(self.rows - self.n, self.toxic - self.t)
 
+    def _index(self) -> None:
+        """Where each term occurs, and in which document; made in the tasks, not sent to them."""
+        self.at = np.argsort(self.terms, kind="stable")
+        self.docs = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.starts))[self.at]
+
     def _information(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Log-likelihood of the labels in cells of n rows of which t are toxic."""
         return self.x_log_x[t] + self.x_log_x[n - t] - self.x_log_x[n]
@@ -166,6 +170,8 @@ class Sample:
 
     def pairs_of(self, term: int, least: float) -> np.ndarray:
         """The later terms that meet ``term`` in some document and whose four cells tell more of the labels than the two terms do by themselves."""
+        if self.at is None:
+            self._index()
         own = slice(self.places[term], self.places[term + 1])
         at, docs = self.at[own], self.docs[own]
         toxic = self.bad[docs]
@@ -221,13 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Facto
             frame["buckets"] = [wanted[np.isin(wanted, b)].astype(np.int32) for b in frame["buckets"]]
             yield frame
 
-    data = rows.mapInPandas(narrow, "toxic int, buckets array<int>").toPandas()  # at most fit_rows rows
-    order = sorted(range(len(data)), key=lambda i: (int(data["toxic"].iloc[i]), list(data["buckets"].iloc[i])))
-    marks = np.array([float(data["toxic"].iloc[i] > 0) for i in order])
-    sets = [np.asarray(data["buckets"].iloc[i], dtype=np.int64) for i in order]
+    data = rows.mapInPandas(narrow, "toxic int, buckets array<int>").toArrow()  # at most fit_rows rows
+    lists = data["buckets"].combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    marks = (data["toxic"].to_numpy() > 0).astype(float)
+    sets = [values[ends[i] : ends[i + 1]] for i in range(len(marks))]
+    order = sorted(range(len(sets)), key=lambda i: (marks[i], sets[i].astype(">i4").tobytes()))
+    marks, sets = marks[order], [sets[i] for i in order]
 
     def positions(buckets: np.ndarray) -> list[np.ndarray]:
-        return [np.searchsorted(buckets, s[np.isin(s, buckets, assume_unique=True)]) for s in sets]
+        return [np.searchsorted(buckets, s[np.isin(s, buckets, assume_unique=True)]).astype(np.int32) for s in sets]
 
     together = common[telling_terms(docs.sparkSession, Sample(positions(common), marks, len(common)))] if len(common) and 0 < marks.sum() < len(marks) else common[:0]
     buckets = np.union1d(alone, together).astype(np.int64)
