@@ -303,11 +303,11 @@ def polygons(zones: DataFrame, tolerance: float = 1.0, least_area: float = 0.0,
 
 
 def zone_shapes(zones: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """grid_id, label, perimeter, area (in pixels, of the thinned ring), compactness; zones whose ring has no area are left out."""
+    """grid_id, label, ring (thinned, not closed), its perimeter and area (in pixels), compactness; zones whose ring has no area are left out."""
     rings = polygons(zones, tolerance).withColumn("ring", F.slice("ring", 1, F.size("ring") - 1))
     perimeter = _ring_sum(F.col("ring"), lambda a, b: F.hypot(a["r"] - b["r"], a["c"] - b["c"]))
     area = F.abs(_ring_sum(F.col("ring"), lambda a, b: a["r"] * b["c"] - b["r"] * a["c"])) / 2
-    shapes = rings.select("grid_id", "label", perimeter.alias("perimeter"), area.alias("area")).where("perimeter > 0 AND area > 0")
+    shapes = rings.select("grid_id", "label", "ring", perimeter.alias("perimeter"), area.alias("area")).where("perimeter > 0 AND area > 0")
     return shapes.withColumn("compactness", 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
 from terrace.operators import geometry, lines, raster, relational, screening, surface
-from terrace.plans import sites
+from terrace.plans import maps, sites
 from terrace.sources import feeds, records
 
 RAIN_MM = 150.0
@@ -699,6 +699,33 @@ def analyze_contour(spark, d):
     return rounded(found.select("candidate_id", "rank", "lon", "lat", "area_ha", "max_depth_m", "compactness", "catchment_area_m2", "expected_volume_m3", "excluded", "self_overlap_pct", F.array_join("warnings", " | ").alias("warnings")))
 
 
+def map_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A contour document (path, content) of every 2,025 parts: a slope with a bowl whose place and depth follow from the map's number."""
+    k, m = F.col("p_partkey") - 1, F.expr("(p_partkey - 1) div 2025")
+    at = t(spark, d, "part").select(m.alias("m"), (k % 45).alias("i"), F.expr("(p_partkey - 1) div 45 % 45").alias("j")).distinct()
+    off = F.pow(F.col("i") - 15 - F.col("m") % 13, 2) + F.pow(F.col("j") - 16 - F.col("m") % 11, 2)
+    z = F.round((40.0 + 0.18 * F.col("j") - (12 + F.col("m") % 5) * F.exp(-off / 60.0)) / 2.0).cast("long") * 2
+    place = F.format_string("%.6f,%.6f", F.col("i") / 4500.0 + 69.0 + F.col("m") * 0.02, F.col("j") / 4500.0 - 24.0)
+    level = at.select("m", z.alias("z"), place.alias("p")).groupBy("m", "z").agg(F.array_join(F.sort_array(F.collect_list("p")), " ").alias("points"))  # at most 2,025
+    mark = F.format_string("<Placemark><name>%d</name><LineString><coordinates>%s</coordinates></LineString></Placemark>", "z", "points")
+    body = level.groupBy("m").agg(F.array_join(F.sort_array(F.collect_list(mark)), "").alias("body"))
+    return body.select(F.format_string("map-%08d.kml", "m").alias("path"), F.concat(F.lit("<kml>"), "body", F.lit("</kml>")).cast("binary").alias("content"))
+
+
+def map_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites of all contour documents in one run, screened against a mapped lake in every fourth map."""
+    files = map_documents(spark, d)
+    m = F.regexp_extract("path", "([0-9]+)", 1).cast("int")
+    x, y = 69.0 + m * 0.02 + (15 + m % 13) / 4500.0, -24.0 + (16 + m % 11) / 4500.0
+    corner = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
+    lakes = files.where(m % 4 == 3).select(m.cast("long").alias("wid"), F.array(*[corner(a, b) for a, b in ((-0.002, -0.002), (0.002, -0.002), (0.002, 0.002), (-0.002, 0.002))]).alias("ring"))
+    _, found = maps.analyze_files(files, RAIN_MM, requested_m=20.0, water=lakes)
+    return rounded(found.select("path", "candidate_id", "rank", "lon", "lat", "area_ha", "max_depth_m", "compactness", "catchment_area_m2", "expected_volume_m3", "excluded", "exclusion_reason", "osm_water_fraction", "self_overlap_pct", "hull_pct"))
+
+
+QUERIES["map_sites"] = map_sites
+
+
 # Caches and exports.
 
 

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
 from terrace.operators import lines, raster, relational, screening, surface
+from terrace.operators.tables import numbered
+
+#: Zones below this are no sites.
+LEAST_AREA_M2 = 200.0
+#: Side in degrees of the grid cells through which sites meet mapped water.
+WATER_CELL = 0.01
 
 
 def trace_ponds(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell_area_m2: float) -> DataFrame:
@@ -55,13 +61,40 @@ def _traced(flow: DataFrame, accumulation: DataFrame, ponds: DataFrame, cell_are
     return rows, land
 
 
-def find_sites(cells: DataFrame, resolution_m: float, rain_mm: float, min_depth: float, sigma: float = 5.0, water: DataFrame | None = None, inside: Column | None = None, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def screen_zones(rows: DataFrame, rings: DataFrame, zones: DataFrame, mask: DataFrame | None = None, water: DataFrame | None = None, streams: DataFrame | None = None, cell: float = WATER_CELL) -> DataFrame:
+    """Zones (grid_id, candidate_id, excluded, exclusion_reason, ...) screened against imaged water cells, mapped polygons (wid, ring) and mapped lines (wid, coords), as far as they are given.
+
+    ``rings`` (grid_id, label, ring of lon and lat) are the zones' outlines, ``zones`` their
+    cells.  A zone without an outline shares no mapped water; an earlier reason stays.
+    """
+    spark, key = rows.sparkSession, ["grid_id", "candidate_id"]
+    ids = raster.cut_lineage(numbered(rows.select(*key), [F.asc(k) for k in key], "site"))
+    labels = ids.withColumnRenamed("candidate_id", "label")
+    named = labels.join(rings.select("grid_id", "label", "ring"), ["grid_id", "label"], "left")
+    ponds = rows.select(*key, "excluded", "exclusion_reason").join(named.withColumnRenamed("label", "candidate_id"), key)
+    ponds = raster.cut_lineage(ponds.select(F.col("site").alias("candidate_id"), "ring", "excluded", "exclusion_reason"))
+    own = zones.join(labels, ["grid_id", "label"]).select(F.col("site").alias("id"), "grid_id", "r", "c")
+    mask = spark.createDataFrame([], "grid_id long, r int, c int") if mask is None else mask
+    water = spark.createDataFrame([], "wid long, ring array<struct<lon:double,lat:double>>") if water is None else water
+    found = screening.screen(ponds, water, mask, own, cell, streams)
+    found = found.select(F.col("candidate_id").alias("site"), "excluded", "exclusion_reason", "osm_water_fraction", "worldcover_water_fraction")
+    return rows.drop("excluded", "exclusion_reason").join(ids, key).join(found, "site").drop("site")
+
+
+def find_sites(
+    cells: DataFrame, resolution_m: float, rain_mm: float, min_depth: float, sigma: float = 5.0, water: DataFrame | None = None, inside: Column | None = None, n: int = 5,
+    box: tuple[float, float, float, float] | None = None, mapped: DataFrame | None = None, streams: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sites of a raster (grid_id, r, c, z): the ranked first ``n``, the largest excluded ones, and the run's counters.
 
     The raster is smoothed first.  ``inside`` is a condition on the centres centre_r and
-    centre_c, ``water`` the cells (grid_id, r, c) of known water, against which zones are
-    screened before they are ranked.
+    centre_c (and lon and lat with a box), ``water`` the cells (grid_id, r, c) of imaged water,
+    against which zones are screened before they are ranked.  With ``box`` (min_lon, min_lat,
+    max_lon, max_lat of the raster) sites have lon and lat, and are screened against mapped
+    polygons (``mapped``: wid, ring) and lines (``streams``: wid, coords) too.
     """
+    if box is None and not (mapped is None and streams is None):
+        raise ValueError("mapped water needs the raster's box")
     if min_depth <= 0 or not 1 <= n <= 50:
         raise ValueError("min_depth must be positive and n within 1 to 50")
     ground = raster.cut_lineage(raster.smooth(cells, sigma))
@@ -70,17 +103,24 @@ def find_sites(cells: DataFrame, resolution_m: float, rain_mm: float, min_depth:
     accumulation = raster.flow_accumulation(raster.cut_lineage(raster.flow_direction(raster.fill(ground, raster.EPSILON))))
     area = resolution_m * resolution_m
     key = ["grid_id", "label"]
-    rows = raster.zone_statistics(zones, depths, resolution_m).join(lines.zone_shapes(zones).select(*key, "compactness"), key).join(raster.zone_catchments(zones, accumulation, area), key)
+    shapes = raster.cut_lineage(lines.zone_shapes(zones))
+    rows = raster.zone_statistics(zones, depths, resolution_m).join(shapes.select(*key, "compactness"), key).join(raster.zone_catchments(zones, accumulation, area), key)
+    place, rings = [], shapes.select(*key, F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("ring"))
+    if box is not None:
+        west, south, east, north = (F.lit(float(v)) for v in box)
+        size = raster.cut_lineage(cells.groupBy("grid_id").agg((F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols")))
+        lon, lat = (lambda c: georef.affine_lon(c, F.col("n_cols"), west, east)), (lambda r: georef.affine_lat(r, F.col("n_rows"), south, north))
+        rows = rows.join(size, "grid_id").withColumn("lon", lon(F.col("centre_c"))).withColumn("lat", lat(F.col("centre_r")))
+        rings = shapes.join(size, "grid_id").select(*key, F.transform("ring", lambda p: F.struct(lon(p["c"]).alias("lon"), lat(p["r"]).alias("lat"))).alias("ring"))
+        place = ["lon", "lat"]
     if inside is not None:
         rows = rows.where(inside)
     rows = rows.select(
-        "grid_id", F.col("label").alias("candidate_id"), "centre_r", "centre_c", (F.col("area_m2") / 10_000.0).alias("area_ha"), "mean_depth_m", "max_depth_m", "compactness", "catchment_area_m2",
+        "grid_id", F.col("label").alias("candidate_id"), "centre_r", "centre_c", *place, (F.col("area_m2") / 10_000.0).alias("area_ha"), "mean_depth_m", "max_depth_m", "compactness", "catchment_area_m2",
         F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("exclusion_reason"),
     )
-    if water is not None:
-        wet = zones.join(water.select("grid_id", "r", "c").distinct().withColumn("w", F.lit(1)), ["grid_id", "r", "c"], "left").groupBy("grid_id", F.col("label").alias("candidate_id"))
-        rows = rows.join(wet.agg((F.count("w") / F.count(F.lit(1))).alias("worldcover_water_fraction")), ["grid_id", "candidate_id"])
-        rows = relational.screen_water(rows.withColumn("osm_water_fraction", F.lit(0.0))).drop("osm_water_fraction", "worldcover_water_fraction")
+    if not (water is None and mapped is None and streams is None):
+        rows = screen_zones(raster.cut_lineage(rows), rings, zones, water, mapped, streams)
     ranked = raster.cut_lineage(relational.rank_by_water(raster.cut_lineage(rows), rain_mm))
     return relational.top_sites(ranked, n), relational.largest_excluded(ranked), relational.run_counters(ranked, n)
 
