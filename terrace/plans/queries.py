@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
-from terrace.operators import geometry, lines, raster, relational, screening, surface
+from terrace.operators import geometry, lines, raster, regions, relational, screening, surface
 from terrace.plans import maps, sites
 from terrace.sources import feeds, records
 
@@ -817,3 +817,50 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["candidates"] = candidates
+
+
+# Regions of several rings.
+
+_RINGS = {
+    (0, 0): [(-0.9, -0.7), (1.1, -0.8), (0.4, 0.1), (1.3, 1.2), (-0.6, 0.9)],
+    (0, 1): [(-0.2, -0.2), (0.15, -0.1), (0.1, 0.25)],
+    (1, 0): [(1.5, 1.4), (2.1, 1.7), (1.6, 2.2)],
+}
+_SIDES = ", ".join(f"({part}, {ring}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for (part, ring), g in _RINGS.items() for a, b in zip(g, g[1:] + g[:1], strict=True))
+_REGIONS = f"""{_POINTS},
+  sides AS (SELECT part, ring, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2
+    FROM (VALUES {_SIDES}) v(part, ring, x1, y1, x2, y2)),
+  centres AS (SELECT s_suppkey AS region_id, 68 + (s_suppkey * 29 % 270) / 10.0 AS x, 8 + (s_suppkey * 29 % 270) / 10.0 AS y FROM supplier),
+  edges AS (SELECT region_id, part, ring, x + x1 AS x1, y + y1 AS y1, x + x2 AS x2, y + y2 AS y2 FROM centres, sides),
+  odd AS (SELECT region_id, k, part, ring FROM p JOIN edges ON (y1 > lat) != (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+    GROUP BY ALL HAVING count(*) % 2 = 1),
+  hits AS (SELECT DISTINCT region_id, k FROM (SELECT region_id, k, part FROM odd GROUP BY ALL HAVING max(ring) = 0))"""
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    """A region of two parts, the first with a hole, for each supplier."""
+    k = F.col("s_suppkey")
+    x, y = 68 + (k * 29 % 270) / 10.0, 8 + (k * 29 % 270) / 10.0
+    ring = lambda g: F.array(*[F.struct((x + a).alias("lon"), (y + b).alias("lat")) for a, b in g])
+    parts = F.array(F.array(ring(_RINGS[0, 0]), ring(_RINGS[0, 1])), F.array(ring(_RINGS[1, 0])))
+    return t(spark, d, "supplier").select(k.alias("region_id"), parts.alias("parts"))
+
+
+@query(f"WITH {_REGIONS} SELECT region_id, k FROM hits")
+def points_in_regions(spark, d):
+    """Every point with every region that contains it; holes are not inside."""
+    places = points(spark, d)
+    return regions.points_in_regions(places, shapes(spark, d), 1.0).join(places, ["lon", "lat"]).select("region_id", "k")
+
+
+@query(f"""WITH {_REGIONS}, runs AS (SELECT k, 1 + k % 40 AS region_id FROM p), marked AS (
+    SELECT r.region_id, r.region_id % 5 = 0 OR NOT EXISTS (FROM centres c WHERE c.region_id = r.region_id)
+      OR EXISTS (FROM hits h WHERE h.region_id = r.region_id AND h.k = r.k) AS inside FROM runs r),
+  n AS (SELECT region_id, count(*) FILTER (inside) AS kept, count(*) FILTER (NOT inside) AS outside FROM marked GROUP BY 1)
+  SELECT region_id, kept, outside, 'Natural hollows checked: ' || (kept + outside) || CASE WHEN outside > 0 THEN ' | Outside the shape you drew: ' || outside ELSE '' END AS breakdown FROM n""")
+def drawn_clip(spark, d):
+    """The points of each run that are in the region drawn for it; each fifth run has a null region, which clips nothing."""
+    items = points(spark, d).withColumn("region_id", 1 + F.col("k") % 40)
+    drawn = shapes(spark, d).withColumn("parts", F.when(F.col("region_id") % 5 != 0, F.col("parts")))
+    counts = regions.clip_counts(regions.clip_to_drawn(items, drawn)).withColumn("detected", F.col("kept") + F.col("outside"))
+    return regions.why_no_sites(counts).select("region_id", "kept", "outside", F.array_join("breakdown", " | ").alias("breakdown"))
