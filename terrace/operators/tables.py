@@ -9,20 +9,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-shared-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/terrace/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/terrace/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` into the shared checkpoint folder and read it back."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
 from terrace.operators import geometry, lines, raster, regions, relational, screening, surface
+from terrace.operators.tables import shared_folder
 from terrace.plans import maps, sites
-from terrace.sources import feeds, records
+from terrace.sources import feeds, records, results, tiles
 
 RAIN_MM = 150.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -864,3 +867,102 @@ def drawn_clip(spark, d):
     drawn = shapes(spark, d).withColumn("parts", F.when(F.col("region_id") % 5 != 0, F.col("parts")))
     counts = regions.clip_counts(regions.clip_to_drawn(items, drawn)).withColumn("detected", F.col("kept") + F.col("outside"))
     return regions.why_no_sites(counts).select("region_id", "kept", "outside", F.array_join("breakdown", " | ").alias("breakdown"))
+
+
+# Tiles, layers, map answers and committed results.
+
+
+def drawn_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """A tile at zoom 15 for each supplier: 256 m times a third of the keys, plus the pixel's row and a 256th of its column; each 17th is no image."""
+    k = F.col("s_suppkey")
+
+    def run(frames):
+        for frame in frames:
+            for k, x, y in frame.itertuples(index=False):
+                at = np.arange(256)
+                pixels = np.stack([np.full((256, 256), 128 + k % 3), *np.meshgrid(at, at, indexing="ij")], axis=2)
+                yield pd.DataFrame({"zoom": [15], "x": [x], "y": [y], "content": [b"busy" if k % 17 == 0 else feeds.encode_png(pixels)]})
+
+    placed = t(spark, d, "supplier").select(k.alias("k"), (30000 + k % 40).cast("int").alias("x"), (13000 + F.floor(k / 40)).cast("int").alias("y"))
+    return placed.mapInPandas(run, tiles.TILE_KIND)
+
+
+def tile_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A box of one or two tiles for each supplier, every tenth one of 13."""
+    k, z = F.col("s_suppkey"), F.lit(15)
+    wide = F.when(k % 10 == 7, 13).otherwise(1 + k % 2)
+    x, y = 30000 + k % 40, 13000 + F.floor(k / 40)
+    sides = {"min_lon": georef.tile_lon(x + 0.25, z), "min_lat": georef.tile_lat(y + 0.75, z), "max_lon": georef.tile_lon(x + wide - 0.25, z), "max_lat": georef.tile_lat(y + 0.25, z)}
+    return t(spark, d, "supplier").select(k.alias("area_id"), *[c.alias(n) for n, c in sides.items()], (15 + k % 2).alias("zoom"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS area_id, CASE WHEN s_suppkey % 10 = 7 THEN 13 ELSE 1 + s_suppkey % 2 END AS wide, s_suppkey % 40 AS x, s_suppkey // 40 AS y FROM supplier),
+  w AS (SELECT area_id, wide, y, unnest(range(x, x + wide)) AS x FROM b),
+  f AS (SELECT area_id, any_value(wide) AS wide, count(*) - count(s_suppkey) AS missing, coalesce(bool_or(s_suppkey % 17 = 0), false) AS wrong,
+      coalesce(sum((s_suppkey % 3) * 16777216.0 + 8355840.0 + 32640.0), 0.0) AS total
+    FROM w LEFT JOIN supplier ON s_suppkey % 40 = x AND s_suppkey // 40 = y GROUP BY 1),
+  s AS (SELECT *, CASE WHEN wide > 12 THEN 'too large' WHEN wrong THEN 'not an image' ELSE 'ok' END AS status FROM f)
+  SELECT area_id, status, CASE WHEN status = 'ok' THEN 256 END AS rows, CASE WHEN status = 'ok' THEN 256 * wide END AS cols, CASE WHEN status = 'ok' THEN missing END AS missing,
+    CASE WHEN status = 'ok' THEN 65536 * wide END AS cells, CASE WHEN status = 'ok' THEN CAST(total AS DOUBLE) END AS total_m FROM s""")
+def tile_grids(spark, d):
+    """Elevation grids of all boxes: clamped zoom, guard, decoding and stitching; missing tiles are 0 m."""
+    status, cells = tiles.elevation_grids(tile_boxes(spark, d), drawn_tiles(spark, d))
+    sums = cells.groupBy("area_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("z").alias("total_m"))
+    return status.join(sums, "area_id", "left").select("area_id", "status", "rows", "cols", "missing", "cells", "total_m")
+
+
+@query(f"""WITH {_POINTS}, b AS (SELECT k, lon AS x0, lat AS y0, lon + 0.02 * (1 + k % 3) AS x1, lat + 0.03 AS y1 FROM p), s AS (
+    SELECT *, greatest(256, least(2048, CAST(trunc((x1 - x0) * 111320.0 * cos(radians((y0 + y1) / 2)) / 10) AS INT))) AS w,
+      greatest(256, least(2048, CAST(trunc((y1 - y0) * 111320.0 / 10) AS INT))) AS h FROM b)
+  SELECT k AS area_id, printf('layer:%.4f:%.4f:%.4f:%.4f:%dx%d', x0, y0, x1, y1, w, h) AS cache_key, k % 2 = 0 OR k % 5 IN (0, 3) AS available,
+    CASE WHEN k % 2 = 0 OR k % 5 IN (0, 3) THEN NULL WHEN k % 5 = 4 THEN 'no answer' ELSE 'non-image response: busy' END AS error,
+    k % 2 <> 0 AND k % 5 IN (0, 3) AS appended FROM s""")
+def layer_images(spark, d):
+    """Layer images of all boxes: half from the cache, the others from answers that are images, texts or missing."""
+    k, lon, lat = F.col("k"), F.col("lon"), F.col("lat")
+    boxes = points(spark, d).select(k.alias("area_id"), lon.alias("min_lon"), lat.alias("min_lat"), (lon + 0.02 * (1 + k % 3)).alias("max_lon"), (lat + 0.03).alias("max_lat"))
+    asked = tiles.layer_requests(boxes, "layer", "cover")
+    n = F.col("area_id")
+    cache = asked.where(n % 2 == 0).select("cache_key", F.lit("layer").alias("kind"), records.encode_image(F.to_binary(F.lit("png"), F.lit("utf-8"))).alias("data"))
+    good = n % 5
+    answers = asked.where(good != 4).select("cache_key", F.when(good.isin(0, 3), "image/png").otherwise("text/xml").alias("content_type"), F.to_binary(F.lit("busy"), F.lit("utf-8")).alias("content"))
+    rows, new = tiles.layer_scan(asked, cache, answers, "layer")
+    keyed = rows.join(asked.select("area_id", "cache_key"), "area_id").join(new.select("cache_key", F.lit(True).alias("a")), "cache_key", "left")
+    return keyed.select("area_id", "cache_key", "available", "error", F.coalesce("a", F.lit(False)).alias("appended"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_id % 4 AS n, user_id % 2 = 1 AS wide FROM events),
+  u AS (SELECT *, n = 3 OR (n = 1 AND NOT wide) AS usable FROM e),
+  f AS (SELECT user_id, min(event_id) FILTER (usable) AS best FROM u GROUP BY 1)
+  SELECT user_id AS area_id, best IS NOT NULL AS available, 'm' || best AS mirror, CASE WHEN best % 4 = 3 THEN 2 ELSE 0 END AS elements,
+    CASE WHEN best % 4 = 3 THEN 1 ELSE 0 END AS buildings FROM f""")
+def map_answers(spark, d):
+    """The first usable answer of each area; an answer without elements over a wide box is not usable."""
+    n = F.col("event_id") % 4
+    ring = ",".join('{"lon":%d,"lat":%d}' % p for p in ((0, 0), (1, 0), (1, 1), (0, 0)))
+    both = '{"elements":[{"geometry":[%s],"tags":{"building":"yes"}},{"geometry":[%s],"tags":{"natural":"water"}}]}' % (ring, ring)
+    text = F.when(n == 1, '{"elements":[]}').when(n == 2, "busy").when(n == 3, both)
+    told = t(spark, d, "events").select(F.col("user_id").alias("area_id"), F.concat(F.lit("m"), "event_id").alias("mirror"), F.col("event_id").alias("arrival"), F.when(F.col("user_id") % 2 == 1, 1.0).otherwise(1e-6).alias("area_deg2"), text.alias("value"))
+    status, elements = tiles.map_answers(told)
+    counts = elements.groupBy("area_id").agg(F.count(F.lit(1)).alias("elements"))
+    features = elements.select("area_id", "geometry", "tags")
+    drawn = tiles.closed_buildings(feeds.split_features(features, "area_id")).groupBy("area_id").agg(F.count(F.lit(1)).alias("buildings"))
+    return status.join(counts, "area_id", "left").join(drawn, "area_id", "left").select("area_id", "available", "mirror", F.coalesce("elements", F.lit(0)).alias("elements"), F.coalesce("buildings", F.lit(0)).alias("buildings"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 3 AS run, user_id % 7 <> 0 AND event_id % 5 <> 0 AS ok, user_id FROM events),
+  k AS (SELECT e.*, printf('contours:%.5f:%.5f:%.5f:%.5f:14:2.0:bands-clip', user_id / 7.0, 1.0, user_id / 7.0 + 1.0, 2.0) AS cache_key FROM e WHERE ok),
+  f AS (SELECT cache_key, min(run) AS run FROM k GROUP BY 1)
+  SELECT cache_key, 'contours' AS kind, CAST(min(event_id) AS VARCHAR) AS data FROM k JOIN f USING (cache_key, run) GROUP BY 1""")
+def committed_results(spark, d):
+    """Three runs append to one cache, the second and the third at once; a key stays with its first writer, failed sources never commit."""
+    x, one = F.col("user_id") / 7.0, F.lit(1.0)
+    key = results.contour_key(x, one, x + 1.0, F.lit(2.0), F.lit(14), F.lit(2), "bands")
+    told = t(spark, d, "events").select("event_id", key.alias("cache_key"), F.lit("contours").alias("kind"), F.col("event_id").cast("string").alias("data"), (F.col("user_id") % 7 != 0).alias("cover"), (F.col("event_id") % 5 != 0).alias("rain"))
+    root, complete = shared_folder(spark), relational.may_cache(F.col("cover"), F.lit(True), F.col("rain"))
+    run = lambda n: told.where(F.col("event_id") % 3 == n)
+    results.append_results(run(0), root, [F.col("event_id")], complete)
+    staged = [results.stage_results(run(n), root, [F.col("event_id")], complete) for n in (1, 2)]
+    for folder in filter(None, staged):
+        results.publish(spark, root, folder)
+    return results.cached_results(spark, root)
