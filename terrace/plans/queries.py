@@ -19,7 +19,7 @@ from terrace.functions import georef, sizing
 from terrace.operators import geometry, lines, raster, regions, relational, screening, surface
 from terrace.operators.tables import shared_folder
 from terrace.plans import maps, sites
-from terrace.sources import feeds, records, results, tiles
+from terrace.sources import feeds, records, results, tiles, villages
 
 RAIN_MM = 150.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -966,3 +966,21 @@ def committed_results(spark, d):
     for folder in filter(None, staged):
         results.publish(spark, root, folder)
     return results.cached_results(spark, root)
+
+
+@query(f"""WITH {_POINTS} SELECT c_custkey AS village_code, c_name AS village_name, round(lat + 0.015, 6) AS centroid_lat, round(lon + 0.01, 6) AS centroid_lon,
+    round(lon, 6) AS min_lon, round(lat, 6) AS min_lat, round(lon + 0.02, 6) AS max_lon, round(lat + 0.03, 6) AS max_lat
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN p ON k = c_custkey
+  WHERE n_name = 'INDIA' AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0""")
+def village_scan(spark, d):
+    """One state's villages from a table written by state: blank names and missing geometries are left out."""
+    k, lon, lat = F.col("c_custkey"), F.col("lon"), F.col("lat")
+    at = lambda x, y: F.struct((lon + x).alias("lon"), (lat + y).alias("lat"))
+    ring = F.array(at(0.0, 0.0), at(0.02, 0.0), at(0.02, 0.03), at(0.0, 0.03))
+    named = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(points(spark, d), F.col("k") == k)
+    blank = [F.lit("").alias(c) for c in ("dtname", "sdtname", "block_name", "gp_name")]
+    rows = named.select(F.col("n_name").alias("stname"), *blank, F.when(k % 11 == 0, " ").otherwise(F.col("c_name")).alias("vilname11"), k.alias("vil_lgd"), F.when(k % 13 != 0, ring).alias("geometry"))
+    path = shared_folder(spark)
+    villages.store_villages(rows, path)
+    found = villages.village_scan(spark, path, "INDIA")
+    return rounded(found.select("village_code", "village_name", "centroid_lat", "centroid_lon", "min_lon", "min_lat", "max_lon", "max_lat"), 6)
