@@ -8,8 +8,10 @@ The ids are then read backwards along the table, in time linear in the text.
 
 No vocabulary piece holds an inner word-begin mark (U+2581) besides pure runs of
 it, and characters outside the vocabulary never merge, so a text is cut before
-each run of marks and around line breaks; equal segments are encoded once and
-remembered up to a bound.  Runs of marks have a tie in their merge scores (the
+each run of marks and around line breaks.  Characters that stand side by side in
+a piece are put into one class; no merge crosses from one class to another (such as
+letters and punctuation), so a text is cut there, too.  Equal segments are encoded
+once and remembered up to a bound.  Runs of marks have a tie in their merge scores (the
 leftmost pair wins) and merge after everything else, so they are taken apart by
 that rule.
 
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -31,12 +34,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Classes of fewer characters are not told apart.
+CLASS_CHARS = 16
 #: Segments up to this length are remembered, up to so many.
 MEMO_CHARS, MEMO_ENTRIES = 48, 120_000
 _FREE = -1  # stands for a character outside the vocabulary
 
 
+def character_classes(pieces: Iterable[str]) -> list[str]:
+    """Sets of characters linked by standing side by side in a piece, marks left out; the larger sets only."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while above.setdefault(c, c) != c:
+            above[c] = c = above.setdefault(above[c], above[c])
+        return c
+
+    for piece in pieces:
+        bare = piece.replace(MARK, "")
+        for a, b in zip(bare, bare[1:], strict=False):
+            above[top(a)] = top(b)
+    classes = defaultdict(list)
+    for c in list(above):
+        classes[top(c)].append(c)
+    return sorted(("".join(sorted(cs)) for cs in classes.values() if len(cs) >= CLASS_CHARS), key=lambda cs: (-len(cs), cs))
+
+
+def segment_pattern(classes: list[str]) -> re.Pattern[str]:
+    """A run of marks with the characters of one class, or of none, that follow it; a line break; marks alone."""
+    inner = [re.escape(cs) for cs in classes]
+    return re.compile(f"{MARK}*(?:{''.join(f'[{cs}]+|' for cs in inner)}[^{''.join(inner)}{MARK}\n]+)|\n|{MARK}+")
+
+
 class PieceCodec:
     """Encoder and decoder for a BPE model with byte fallback, a dummy prefix and no text normalisation."""
 
@@ -59,7 +88,12 @@ class PieceCodec:
         self.automaton.make_automaton()
         if any(MARK in p[1:] for p in self.rank if p.strip(MARK)):
             raise ValueError("pieces with an inner word-begin mark are not supported")
-        self.fits: dict[int, bool] = {}  # pair compatibility, remembered up to a bound
+        self.segment = segment_pattern(character_classes(self.rank))
+        self.sizes = [len(p) for p in self.pieces]
+        self.numbers = [str(i) for i in range(len(self.pieces))]
+        self.spaced = [p.replace(MARK, " ") for p in self.pieces]
+        self.fits: list[dict[int, bool]] = [{} for _ in range(len(self.pieces) + 1)]  # by left token, _FREE last: which ones may follow, remembered up to a bound
+        self.n_fits = 0
 
     def _merged(self, text: str) -> list[int]:
         """Encoding of a short text by merging the best pair again and again; only for compatibility tests."""
@@ -76,38 +110,41 @@ class PieceCodec:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left``; where left is free, ``right`` has to encode to itself."""
-        if len(self.fits) > 400_000:
-            self.fits.clear()
+        if self.n_fits > 400_000:
+            self.n_fits = 0
+            for row in self.fits:
+                row.clear()
         text, wanted = self.pieces[right], [right]
         if left != _FREE:
             text, wanted = self.pieces[left] + text, [left, right]
-        known = self.fits[left << 20 | right] = self._merged(text) == wanted
+        self.n_fits += 1
+        known = self.fits[left][right] = self._merged(text) == wanted
         return known
 
     def _core(self, text: str) -> list[int]:
         """Ids of a text that has at most one mark, at its start."""
-        last = [_FREE] * (len(text) + 1)  # the token that ends each prefix
-        begin = list(range(-1, len(text)))  # and where it begins
-        known = self.fits.get
+        fits = self.fits
+        last = [_FREE] * len(text)  # the token that ends the prefix up to this character
+        after = [fits[_FREE]] * (len(text) + 1)  # what is known to follow it; the empty prefix is at -1
         for end, (token, size) in self.automaton.iter(text):
-            end += 1
             if last[end] != _FREE:
                 continue  # a prefix has one last token
-            start = end - size
-            fits = known(last[start] << 20 | token)
-            if fits is None:
-                fits = self._compatible(last[start], token)
-            if fits:
-                last[end], begin[end] = token, start
+            known = after[end - size].get(token)
+            if known is None:
+                known = self._compatible(last[end - size] if size <= end else _FREE, token)
+            if known:
+                last[end], after[end] = token, fits[token]
         ids: list[int] = []
-        at = len(text)
-        while at:  # backwards
+        sizes = self.sizes
+        at = len(text) - 1
+        while at >= 0:  # backwards
             token = last[at]
             if token == _FREE:
-                ids += [self.byte_ids[b] for b in reversed(text[at - 1].encode())]
+                ids += [self.byte_ids[b] for b in reversed(text[at].encode())]
+                at -= 1
             else:
                 ids.append(token)
-            at = begin[at]
+                at -= sizes[token]
         ids.reverse()
         return ids
 
@@ -136,13 +173,15 @@ class PieceCodec:
         return self._run(marks - 1) + ids
 
     def segments(self, text: str) -> list[str]:
-        return _SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for s in self.segments(text) for i in self.segment_ids(s)]
 
     def decode_part(self, ids: list[int]) -> str:
         """Text of ids that hold whole byte runs, marks as spaces."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.spaced[i] for i in ids])
         out, held = [], bytearray()
         for i in ids:
             value = self.byte_of.get(i)
@@ -152,7 +191,7 @@ class PieceCodec:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            out.append(self.pieces[i].replace(MARK, " "))
+            out.append(self.spaced[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out)
@@ -163,16 +202,16 @@ class PieceCodec:
 
 
 class _Memo(dict):
-    """Segment to (number of ids, ids in decimal joined by commas, decoded text)."""
+    """Segment to (ids in decimal joined by commas, decoded text)."""
 
     def __init__(self, codec: PieceCodec):
         self.codec, self.old = codec, {}
 
-    def __missing__(self, segment: str) -> tuple[int, str, str]:
+    def __missing__(self, segment: str) -> tuple[str, str]:
         value = self.old.get(segment)
         if value is None:
             ids = self.codec.segment_ids(segment)
-            value = len(ids), ",".join(map(str, ids)), self.codec.decode_part(ids)
+            value = ",".join([self.codec.numbers[i] for i in ids]), self.codec.decode_part(ids)
         if len(segment) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:  # the older half goes, what is still in use comes back from it
                 self.old = dict(self)
@@ -213,10 +252,11 @@ def encoded_digests(docs: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
-                found = [memo[s] for s in codec.segments(text or "")]
-                counts.append(sum(f[0] for f in found))
-                ids_sha.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                decoded = "".join([f[2] for f in found])
+                numbers, texts = zip(*map(memo.__getitem__, codec.segments(text)), strict=True) if text else ((), ())
+                ids = ",".join(numbers)
+                counts.append(ids.count(",") + 1 if ids else 0)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded = "".join(texts)
                 text_sha.append(hashlib.sha256((decoded[1:] if decoded.startswith(" ") else decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

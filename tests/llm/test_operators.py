@@ -287,6 +287,27 @@ def test_piece_codec_equals_library(docs, empty):
     assert piece_codec.encoded_digests(empty, PIECES).count() == 0
 
 
+def test_piece_codec_cuts_where_no_piece_crosses(monkeypatch):
+    model, codec, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES), random.Random(7)
+    assert all(codec.segment.fullmatch(p) for p in codec.rank)  # no piece is cut
+    letters = "abeinorst" * 3 + "ABéßščД" + "авеинорст" * 2 + "().,;:!?-=*/<>'\"_#$%&|{}[]^~\\…—«»" + "0123456789" + "   ▁▁\n\r\t\x00" + "的据数中ال한ת²°·„🙂\u0301\u3000"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+        ids = model.encode(text)
+        assert codec.encode(text) == ids and codec.decode(ids) == model.decode(ids)
+    words, ends = ["".join(rng.choice("abeinorst") for _ in range(9)) for _ in range(40)], [",", ".", ";", ")", "!!", "...", '",', "&&&", "###", "?)"]
+    encoded, plain = [], codec.segment_ids
+    monkeypatch.setattr(codec, "segment_ids", lambda s: encoded.append(s) or plain(s))
+    memo = piece_codec._Memo(codec)
+    for word in words:
+        for end in ends:
+            text = f"{word}{end} {word}"
+            ids = model.encode(text)
+            found = [memo[s] for s in codec.segments(text)]
+            assert ",".join(f[0] for f in found) == ",".join(map(str, ids)) and "".join(f[1] for f in found)[1:] == model.decode(ids)
+    assert len(encoded) == len(words) + len(ends)  # and not once for each pair of a word and what ends it
+
+
 def test_packing(docs, empty):
     import zlib
 
