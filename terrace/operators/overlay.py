@@ -13,6 +13,7 @@ and run either way; a line of one point is a disc; lines without points have no
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Corners of a quarter of a strip's round ends.
 QUARTER = 16
+#: Numbers that a kernel's tables of sides by sides, or of slabs by sides by rings, hold at once.
+CHUNK = 1 << 20
 
 
 def _sides(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +44,16 @@ def _sides(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _crossings(s: np.ndarray) -> np.ndarray:
     """The heights at which sides cross."""
     found = [np.zeros(0)]
-    for k in range(len(s) - 1):
-        a, t = s[k], s[k + 1 :]
-        t = t[(t[:, 1] < a[3]) & (t[:, 3] > a[1]) & (np.minimum(t[:, 0], t[:, 2]) <= max(a[0], a[2])) & (np.maximum(t[:, 0], t[:, 2]) >= min(a[0], a[2]))]
-        m, n = (a[2] - a[0]) / (a[3] - a[1]), (t[:, 2] - t[:, 0]) / (t[:, 3] - t[:, 1])
-        cross = m != n
-        y = (t[cross, 0] - n[cross] * t[cross, 1] - a[0] + m * a[1]) / (m - n[cross])
-        found.append(y[(y > np.maximum(a[1], t[cross, 1])) & (y < np.minimum(a[3], t[cross, 3]))])
+    slope = (s[:, 2] - s[:, 0]) / (s[:, 3] - s[:, 1])
+    left, right = np.minimum(s[:, 0], s[:, 2]), np.maximum(s[:, 0], s[:, 2])
+    many = max(1, CHUNK // max(1, len(s)))
+    for k in range(0, len(s), many):
+        a = slice(k, k + many)
+        low, high = np.maximum(s[a, 1, None], s[:, 1]), np.minimum(s[a, 3, None], s[:, 3])
+        i, j = np.nonzero((low < high) & (left <= right[a, None]) & (right >= left[a, None]) & (slope != slope[a, None]) & (np.arange(len(s)) > np.arange(k, min(k + many, len(s)))[:, None]))
+        p = i + k
+        y = (s[j, 0] - slope[j] * s[j, 1] - s[p, 0] + slope[p] * s[p, 1]) / (slope[p] - slope[j])
+        found.append(y[(y > low[i, j]) & (y < high[i, j])])
     return np.concatenate(found)
 
 
@@ -63,50 +69,57 @@ def covered_area(pond: np.ndarray, covers: list[np.ndarray]) -> float:
     own = sides[owner == 0]
     near = (sides[:, 1] < own[:, 3].max()) & (sides[:, 3] > 0) & (np.minimum(sides[:, 0], sides[:, 2]) <= own[:, [0, 2]].max())
     sides, owner = sides[near], owner[near]
+    names, owner = np.unique(owner, return_inverse=True)
     heights = np.unique(np.concatenate([sides[:, 1], sides[:, 3], _crossings(sides)]).clip(0, own[:, 3].max()))
-    total = 0.0
-    for low, high in zip(heights[:-1], heights[1:]):
-        y = (low + high) / 2
+    low, high = heights[:-1], heights[1:]
+    turns = (owner[:, None] == np.arange(len(names))) * sides[:, 4, None].astype(np.int32)
+    total, many = 0.0, max(1, CHUNK // max(1, turns.size))
+    for k in range(0, len(low), many):
+        y = ((low + high) / 2)[k : k + many, None]
         at = (sides[:, 1] < y) & (sides[:, 3] > y)
-        s, names = sides[at], owner[at]
-        x = s[:, 0] + (y - s[:, 1]) * (s[:, 2] - s[:, 0]) / (s[:, 3] - s[:, 1])
-        winding, covering, before = {0: 0}, 0, 0.0
-        for k in np.argsort(x, kind="stable").tolist():
-            if winding[0] and covering:
-                total += (high - low) * (x[k] - before)
-            before, name = x[k], int(names[k])
-            old = winding.get(name, 0)
-            winding[name] = new = old + int(s[k, 4])
-            if name:
-                covering += (new != 0) - (old != 0)
+        x = np.where(at, sides[:, 0] + (y - sides[:, 1]) * (sides[:, 2] - sides[:, 0]) / (sides[:, 3] - sides[:, 1]), np.inf)
+        order = np.argsort(x, axis=1, kind="stable")
+        inside = np.cumsum(np.where(np.take_along_axis(at, order, 1)[..., None], turns[order], 0), axis=1) != 0
+        wet = inside[:, :-1, 0] & inside[:, :-1, 1:].any(axis=2)
+        x = np.take_along_axis(x, order, 1)
+        total += float(((high - low)[k : k + many, None] * np.subtract(x[:, 1:], x[:, :-1], where=wet, out=np.zeros(wet.shape))).sum())
     return total
 
 
-def strips(lines: DataFrame, width: float, quarter: int = QUARTER) -> DataFrame:
-    """wid, ring of the strip within ``width`` of each side of each line (wid, coords of lon and lat); the strips of a line overlap at its corners."""
+def line_sides(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """wid, s (its ends a and b) of each side of each line (wid, coords of lon and lat), with the columns ``by``; a line of one point has one side."""
     points = F.filter("coords", lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
     onward = F.when(F.size(points) > 1, F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     sides = onward.otherwise(F.transform(points, lambda p: F.struct(p.alias("a"), p.alias("b"))))
-    side = lines.select("wid", F.explode(sides).alias("s"))
-    way = F.atan2(F.col("s.b.lat") - F.col("s.a.lat"), F.col("s.b.lon") - F.col("s.a.lon"))
+    return lines.select("wid", *by, F.explode(sides).alias("s"))
+
+
+def strip(side: Column, width: float, quarter: int = QUARTER) -> Column:
+    """Ring of the strip within ``width`` of a side."""
+    way = F.atan2(side["b"]["lat"] - side["a"]["lat"], side["b"]["lon"] - side["a"]["lon"])
 
     def cap(end: str, turn: float) -> Column:
-        angle = lambda k: F.col("way") + turn + k * (math.pi / (2 * quarter))
-        return F.transform(F.sequence(F.lit(0), F.lit(2 * quarter)), lambda k: F.struct((F.col(f"s.{end}.lon") + width * F.cos(angle(k))).alias("lon"), (F.col(f"s.{end}.lat") + width * F.sin(angle(k))).alias("lat")))
+        angle = lambda k: way + turn + k * (math.pi / (2 * quarter))
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * quarter)), lambda k: F.struct((side[end]["lon"] + width * F.cos(angle(k))).alias("lon"), (side[end]["lat"] + width * F.sin(angle(k))).alias("lat")))
 
-    return side.withColumn("way", way).select("wid", F.concat(cap("b", -math.pi / 2), cap("a", math.pi / 2)).alias("ring"))
+    return F.concat(cap("b", -math.pi / 2), cap("a", math.pi / 2))
 
 
-def shared_areas(met: DataFrame) -> DataFrame:
-    """id, wid, shared from rows (id, pond, wid, ring): the part of each pond under the union of the rings of each wid.
+def strips(lines: DataFrame, width: float, quarter: int = QUARTER) -> DataFrame:
+    """wid, ring of the strip within ``width`` of each side of each line (wid, coords of lon and lat); the strips of a line overlap at its corners."""
+    return line_sides(lines).select("wid", strip(F.col("s"), width, quarter).alias("ring"))
+
 
-    One kernel call for a pond and the pieces of one line or polygon that come near it.
-    """
+def shared_areas(met: DataFrame, width: float) -> DataFrame:
+    """n, shared from rows (n, pond, sides): the part of each pond under the union of the strips within ``width`` of the sides (array of a and b) of a line."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ring_of = lambda points: np.array([(p["lon"], p["lat"]) for p in points], dtype=float).reshape(-1, 2)
-        area = covered_area(ring_of(frame["pond"].iloc[0]), [ring_of(r) for r in frame["ring"]])
-        return frame.head(1)[["id", "wid"]].assign(shared=area)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            shapes = frame[["px", "py", "rx", "ry"]].itertuples(index=False)
+            areas = [covered_area(np.column_stack([px, py]), [np.column_stack(r) for r in zip(rx, ry, strict=True)]) for px, py, rx, ry in shapes]
+            yield frame[["n"]].assign(shared=np.array(areas, dtype=float))
 
-    kinds = [f"{n} {met.schema[n].dataType.simpleString()}" for n in ("id", "wid")]
-    return met.select("id", "wid", "pond", "ring").groupBy("id", "wid").applyInPandas(run, ", ".join([*kinds, "shared double"]))
+    axis = lambda ring, name: F.transform(ring, lambda p: p[name].cast("double"))
+    drawn = met.select("n", "pond", F.transform("sides", lambda s: strip(s, width)).alias("rings"))
+    flat = drawn.select("n", axis("pond", "lon").alias("px"), axis("pond", "lat").alias("py"), F.transform("rings", lambda r: axis(r, "lon")).alias("rx"), F.transform("rings", lambda r: axis(r, "lat")).alias("ry"))
+    return flat.mapInPandas(run, "n long, shared double")

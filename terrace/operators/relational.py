@@ -134,8 +134,8 @@ def best_elevation_source(rows: DataFrame, sources: list[str]) -> DataFrame:
     return listed.agg(F.max("e").alias("b")).select("b.source", "b.hits")
 
 
-def bbox_range_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxes that overlap, with the overlap's corners.
+def bbox_range_join(left: DataFrame, right: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes that overlap, with the overlap's corners; only boxes meet that are equal in the columns ``by``.
 
     Boxes (id, x0, y0, x1, y1; ids lid and rid) are put into every grid cell they touch
     and meet there by an equi-join; a pair counts only in the cell that holds the lower
@@ -147,7 +147,7 @@ def bbox_range_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame
         wide = df.select("*", F.explode(F.sequence(at(f"{p}x0"), at(f"{p}x1"))).alias("gx"))
         return wide.select("*", F.explode(F.sequence(at(f"{p}y0"), at(f"{p}y1"))).alias("gy"))
 
-    pairs = gridded(left, "l").join(gridded(right, "r"), ["gx", "gy"])
+    pairs = gridded(left, "l").join(gridded(right, "r"), ["gx", "gy", *by])
     x0, y0, x1, y1 = F.greatest("lx0", "rx0"), F.greatest("ly0", "ry0"), F.least("lx1", "rx1"), F.least("ly1", "ry1")
     pairs = pairs.where((x0 <= x1) & (y0 <= y1) & (F.floor(x0 / cell) == F.col("gx")) & (F.floor(y0 / cell) == F.col("gy")))
     return pairs.select("lid", "rid", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))

@@ -10,7 +10,7 @@ as often as they are given, up to a share of 1; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import georef, sizing
@@ -88,39 +88,57 @@ def ring_intersection_area(one: Column, two: Column) -> Column:
     return F.when((F.size(one) >= 3) & (F.size(two) >= 3), held).otherwise(0.0)
 
 
-def _boxes(df: DataFrame, key: str, p: str) -> DataFrame:
-    b = df.where(F.size("ring") >= 3).select(F.col(key).alias(f"{p}id"), georef.ring_bbox(F.col("ring")).alias("b"))
-    return b.select(f"{p}id", *[F.col(f"b.{n}").alias(f"{p}{k}") for n, k in (("min_lon", "x0"), ("min_lat", "y0"), ("max_lon", "x1"), ("max_lat", "y1"))])
+def _boxes(df: DataFrame, key: str, p: str, by: tuple[str, ...] = ()) -> DataFrame:
+    b = df.where(F.size("ring") >= 3).select(F.col(key).alias(f"{p}id"), *by, georef.ring_bbox(F.col("ring")).alias("b"))
+    return b.select(f"{p}id", *by, *[F.col(f"b.{n}").alias(f"{p}{k}") for n, k in (("min_lon", "x0"), ("min_lat", "y0"), ("max_lon", "x1"), ("max_lat", "y1"))])
 
 
-def mapped_water_share(ponds: DataFrame, water: DataFrame, cell: float, lines: DataFrame | None = None, within: float = LINE_BUFFER_DEG) -> DataFrame:
+def mapped_water_share(ponds: DataFrame, water: DataFrame, cell: float, lines: DataFrame | None = None, within: float = LINE_BUFFER_DEG, by: tuple[str, ...] = ()) -> DataFrame:
     """id, osm_water_fraction of each pond (id, ring): the areas shared with water polygons (wid, ring), summed, over its own, 1 at most.
 
     Lines (wid, coords) count as the merged strip within so many degrees of them; what two
     lines, or a line and a polygon, share counts for both.  Boxes meet by an equi-join on grid
-    cells of ``cell`` degrees before any ring is compared.
+    cells of ``cell`` degrees before any ring is compared.  With ``by``, columns of ponds, water
+    and lines, a pond meets only the water that is equal in them.  Equal ponds and equal waters
+    are compared once and counted as often as they are given.
     """
-    met = relational.bbox_range_join(_boxes(ponds, "id", "l"), _boxes(water, "wid", "r"), cell).select("lid", "rid")
-    met = met.join(ponds.select(F.col("id").alias("lid"), F.col("ring").alias("pond")), "lid").join(water.select(F.col("wid").alias("rid"), F.col("ring").alias("wet")), "rid")
-    shared = met.select(F.col("lid").alias("id"), ring_intersection_area(F.col("pond"), F.col("wet")).alias("shared"))
+    key = [*by, "ring"]
+    numbered = lambda df, name: raster.cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+    each = numbered(ponds.where(F.size("ring") >= 3).select(*key).distinct(), "id")
+    wet = numbered(water.where(F.size("ring") >= 3).groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "wid")
+    met = relational.bbox_range_join(_boxes(each, "id", "l", by), _boxes(wet, "wid", "r", by), cell, by).select("lid", "rid")
+    met = met.join(each.select(F.col("id").alias("lid"), F.col("ring").alias("pond")), "lid").join(wet.select(F.col("wid").alias("rid"), F.col("ring").alias("wet"), "n"), "rid")
+    shared = met.select(F.col("lid").alias("id"), (F.col("n") * ring_intersection_area(F.col("pond"), F.col("wet"))).alias("shared"))
     if lines is not None:
-        shared = shared.unionByName(line_overlap(ponds, lines, cell, within).select("id", "shared"))
-    shared = shared.groupBy("id").agg(F.sum("shared").alias("shared"))
+        # Lines that share a wid are one line of many parts; of the others, equal ones become one that counts n times.
+        parts = lines.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(*by, "wid")) > 1)
+        parts = parts.groupBy(*by, "many", F.when(F.col("many"), F.col("wid")).alias("one"), "coords").agg(F.min("wid").alias("wid"), F.count(F.lit(1)).alias("n"))
+        parts = parts.select(*by, F.struct("wid", F.when(F.col("many"), 1).otherwise(F.col("n")).alias("n")).alias("wid"), "coords")
+        shared = shared.unionByName(line_overlap(each, parts, cell, within, by).select("id", (F.col("wid.n") * F.col("shared")).alias("shared")))
+    shared = each.join(shared.groupBy("id").agg(F.sum("shared").alias("shared")), "id").drop("id")
     area = georef.ring_area(F.col("ring"))
     share = F.when(area > 0, F.least(F.lit(1.0), F.coalesce("shared", F.lit(0.0)) / F.when(area > 0, area))).otherwise(0.0)
-    return ponds.join(shared, "id", "left").select("id", share.alias("osm_water_fraction"))
+    return ponds.join(shared, key, "left").select("id", share.alias("osm_water_fraction"))
 
 
-def line_overlap(ponds: DataFrame, lines: DataFrame, cell: float, within: float = LINE_BUFFER_DEG) -> DataFrame:
+def line_overlap(ponds: DataFrame, lines: DataFrame, cell: float, within: float = LINE_BUFFER_DEG, by: tuple[str, ...] = ()) -> DataFrame:
     """id, wid, shared: the area of each pond (id, ring) under the merged strip of each line (wid, coords) that comes near it.
 
-    Strips are cut into one piece a side of the line, and pieces meet ponds by their boxes, so
-    that a long line is never compared as a whole.
+    Lines are cut into their sides, and the boxes of sides meet those of ponds, so that a long
+    line is never compared as a whole; strips are drawn only where a pond is near.  A pond and
+    sides that come again, in whatever map, are compared once.
     """
-    pieces = raster.cut_lineage(overlay.strips(lines, within).withColumn("piece", F.monotonically_increasing_id()))
-    near = relational.bbox_range_join(_boxes(ponds, "id", "l"), _boxes(pieces, "piece", "r"), cell).select(F.col("lid").alias("id"), F.col("rid").alias("piece"))
-    met = near.join(pieces, "piece").join(ponds.select("id", F.col("ring").alias("pond")), "id")
-    return overlay.shared_areas(met.select("id", "wid", "pond", "ring"))
+    side = overlay.line_sides(lines, by)
+    low = lambda n: F.least(f"s.a.{n}", f"s.b.{n}") - within
+    high = lambda n: F.greatest(f"s.a.{n}", f"s.b.{n}") + within
+    boxes = side.select(F.struct("wid", "s").alias("rid"), *by, low("lon").alias("rx0"), low("lat").alias("ry0"), high("lon").alias("rx1"), high("lat").alias("ry1"))
+    near = relational.bbox_range_join(_boxes(ponds, "id", "l", by), boxes, cell, by)
+    met = near.groupBy(F.col("lid").alias("id"), F.col("rid.wid").alias("wid")).agg(F.sort_array(F.collect_set("rid.s")).alias("sides"))
+    met = raster.cut_lineage(met.join(ponds.select("id", F.col("ring").alias("pond")), "id"))
+    tasks = int(ponds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = raster.cut_lineage(met.select("pond", "sides").distinct().repartition(tasks).withColumn("n", F.monotonically_increasing_id()))
+    areas = each.join(overlay.shared_areas(each.repartition(tasks), within), "n")
+    return met.join(areas, ["pond", "sides"]).select("id", "wid", "shared")
 
 
 def near_line(lon: Column, lat: Column, coords: Column, within=LINE_BUFFER_DEG) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terrace.operators import overlay, screening
+from terrace.plans import queries
 
 BOX = np.array([(0, 0), (4, 0), (4, 3), (0, 3)], dtype=float)
 
@@ -73,3 +74,25 @@ def test_strips_of_crossing_lines_over_ponds(spark):
     assert abs(share[1] - sum(got.values()) / 12) < 1e-9 and abs(share[2] - 1) < 1e-9 and share[3] == 0.0 and share[4] == 0.0
     assert overlay.strips(lines.where("false"), 0.1).count() == 0 and screening.line_overlap(ponds.where("false"), lines, 1.0).count() == 0
     assert overlay.strips(lines, 0.1).where(F.size("ring") != 66).count() == 0
+
+
+def test_equal_ponds_and_equal_waters_are_compared_once_and_count_as_given(spark):
+    box = [tuple(p) for p in BOX.tolist()]
+    ponds = frame(spark, [(k, box) for k in range(6)] + [(9, None)], ("id", "ring"))
+    lines = frame(spark, [(k, [(-1.0, 1.0), (5.0, 1.0)]) for k in (1, 2, 3)] + [(4, [(1.0, -1.0), (1.0, 5.0)]), (4, [(1.0, -1.0), (1.0, 5.0)]), (4, [(1.1, -1.0), (1.1, 5.0)])], ("wid", "coords"))
+    water = frame(spark, [(k, [(3.0, 2.0), (4.0, 2.0), (4.0, 3.0)]) for k in (1, 2)], ("wid", "ring"))
+    got = {r["id"]: r["osm_water_fraction"] for r in screening.mapped_water_share(ponds, water, 1.0, lines, 0.1).collect()}
+    want = (3 * 0.2 * 4 + 0.3 * 3 + 2 * 0.5) / 12
+    assert set(got) == {*range(6), 9} and got[9] == 0.0 and all(abs(got[k] - want) < 1e-9 for k in range(6))
+    by = {"by": ("m",)}
+    parted = screening.mapped_water_share(ponds.withColumn("m", F.col("id") % 3), water.withColumn("m", F.col("wid")), 1.0, lines.withColumn("m", F.col("wid")), 0.1, **by)
+    got = {r["id"]: r["osm_water_fraction"] for r in parted.collect()}
+    assert [round(got[k] * 12, 9) for k in range(6)] == [0.0, 1.3, 1.3] * 2
+    assert len({tuple(r) for r in screening.line_overlap(ponds, lines, 1.0, 0.1).collect()}) == 6 * 4
+
+
+def test_ponds_at_one_place_meet_their_own_line_only(spark, tmp_path):
+    keys = spark.range(40).selectExpr("id AS c_custkey").unionByName(spark.range(78_300, 78_340).selectExpr("id AS c_custkey"))
+    keys.write.parquet(f"{tmp_path}/customer.parquet")
+    want = {k: 0.0 if k % 4 == 3 else round(2 * 15 / 111320.0 / (0.004 + 0.001 * (k % 3)), 7) for k in (*range(40), *range(78_300, 78_340))}
+    assert {r["k"]: r["osm_water_fraction"] for r in queries.QUERIES["line_water_share"](spark, str(tmp_path)).collect()} == want
