@@ -22,11 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import georef
+from terrace.operators.tables import cut_lineage
 from terrace.sources import feeds, records
 
 TILE_KIND = "zoom int, x int, y int, content binary"
 #: Signature and header of the images read: 256 x 256, 8 bits, RGB, not interlaced.
 SIGNATURE, HEADER = "89504E470D0A1A0A", "00000100000001000802000000"
+#: Bytes of an image up to the end of what is_image reads.
+HEAD = 29
+#: Most wanted tiles, at some 60 bytes, that are sent to every task; more are joined by a shuffle.
+WANTED = 500_000
 #: Characters of a wrong answer that its error row keeps.
 ERROR_CHARS = 200
 
@@ -72,23 +77,32 @@ def is_image(content: Column) -> Column:
     return (head[0] == SIGNATURE) & (head[1] == HEADER)
 
 
-def _tiles_of(placed: DataFrame, tiles: DataFrame) -> DataFrame:
-    """The wanted tiles of each box with their content, null where it is missing."""
-    keys = ["zoom", "x", "y"]
-    wanted = wanted_tiles(placed)
-    stored = tiles.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("content").alias("content"))
-    return wanted.join(stored, keys, "left")
+def _contents(wanted: DataFrame, tiles: DataFrame) -> DataFrame:
+    """area_id, row, col, content of the wanted tiles (area_id, zoom, x, y, row, col, and n, the contents of each), content null where there is none.
+
+    Tiles of one content meet the wanted ones where they lie, so that images are neither sent to the driver nor shuffled.
+    """
+    keys, out = ["zoom", "x", "y"], ["area_id", "row", "col", "content"]
+    once, many = wanted.where("n = 1"), wanted.where("n > 1")
+    counts = wanted.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+    images = tiles.where("content IS NOT NULL").select(*keys, "content")
+    found = images.join(F.broadcast(once) if counts[0] <= WANTED else once.hint("merge"), keys).select(*out)
+    if counts[1]:
+        least = images.hint("merge").join(many.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("content").alias("content"))
+        found = found.unionByName(many.join(least.hint("merge"), keys).select(*out))
+    return found.unionByName(wanted.where("n = 0").select("area_id", "row", "col", F.lit(None).cast("binary").alias("content")))
 
 
 def elevation_grids(boxes: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The boxes' status rows (area_id, status, zoom, xmin, ymin, rows, cols, missing) and the cells (area_id, row, col, z) of the good ones."""
-    placed = box_tiles(boxes).distinct()
-    found = _tiles_of(placed, tiles)
-    seen = found.groupBy("area_id", "zoom").agg(
-        F.count_if(F.col("content").isNull()).alias("missing"), F.count_if(F.col("content").isNotNull() & ~is_image(F.col("content"))).alias("wrong")
-    )
-    wrong = F.coalesce(F.col("wrong"), F.lit(0)) > 0
-    joined = placed.join(seen, ["area_id", "zoom"], "left").withColumn("status", F.when(wrong, "not an image").otherwise(F.col("status")))
+    placed, keys = cut_lineage(box_tiles(boxes).distinct()), ["zoom", "x", "y"]
+    # The head of the least content in byte order is the least head.
+    heads = tiles.groupBy(*keys).agg(F.min(F.substring("content", 1, HEAD)).alias("head"), F.count("content").alias("n"))
+    wrong = (F.coalesce("n", F.lit(0)) > 0) & ~is_image(F.col("head"))
+    found = cut_lineage(wanted_tiles(placed).join(heads, keys, "left").select("area_id", *keys, "row", "col", F.coalesce("n", F.lit(0)).alias("n"), wrong.alias("wrong")))
+    seen = found.groupBy("area_id", "zoom").agg(F.count_if(F.col("n") == 0).alias("missing"), F.count_if("wrong").alias("wrong"))
+    bad = F.coalesce(F.col("wrong"), F.lit(0)) > 0
+    joined = cut_lineage(placed.join(seen, ["area_id", "zoom"], "left").withColumn("status", F.when(bad, "not an image").otherwise(F.col("status"))))
     size = lambda a, b: F.when(F.col("status") == "ok", (F.col(b) - F.col(a) + 1) * georef.TILE)
     status = joined.select("area_id", "status", "zoom", "xmin", "ymin", size("ymin", "ymax").alias("rows"), size("xmin", "xmax").alias("cols"), F.when(F.col("status") == "ok", F.col("missing")).alias("missing"))
 
@@ -104,8 +118,8 @@ def elevation_grids(boxes: DataFrame, tiles: DataFrame) -> tuple[DataFrame, Data
                     z = rgb[..., 0] * 256 + rgb[..., 1] + rgb[..., 2] / 256 - 32768
                 yield pd.DataFrame({"area_id": area, "row": np.repeat(row + at, georef.TILE), "col": np.tile(col + at, georef.TILE), "z": z.ravel()})
 
-    good = found.join(joined.where("status = 'ok'").select("area_id", "zoom"), ["area_id", "zoom"], "left_semi")
-    cells = good.select("area_id", "row", "col", "content").mapInPandas(run, f"area_id {kind}, row int, col int, z double")
+    good = cut_lineage(found.join(joined.where("status = 'ok'").select("area_id", "zoom"), ["area_id", "zoom"], "left_semi"))
+    cells = _contents(good, tiles).mapInPandas(run, f"area_id {kind}, row int, col int, z double")
     return status, cells
 
 

@@ -1,11 +1,14 @@
 """Tile folders, elevation grids of many boxes, layer images, map answers, and the cache of committed results."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import georef
 from terrace.operators import relational
+from terrace.operators.tables import cut_lineage
 from terrace.sources import feeds, records, results, tiles
 
 BOX = "area_id int, min_lon double, min_lat double, max_lon double, max_lat double, zoom int"
@@ -140,3 +143,22 @@ def test_keys_of_contours(spark):
         value("dots")
     told = spark.createDataFrame([(True, True, True), (True, None, True), (False, True, True)], "a boolean, b boolean, c boolean")
     assert [r[0] for r in told.select(relational.may_cache(F.col("a"), F.col("b"), F.col("c"))).collect()] == [True, False, False]
+
+
+def test_images_are_not_sent_to_the_driver(spark):
+    image = lambda v: feeds.encode_png(np.full((256, 256, 3), v))
+    low, high = sorted([image(1), image(2)])
+    rows = [(15, 1, 1, high), (15, 1, 1, low), (15, 1, 1, None), (15, 2, 1, image(128)), (15, 3, 1, None), (15, 5, 1, b"busy"), (15, 5, 1, high), (15, 9, 9, high)]
+    stored = cut_lineage(spark.createDataFrame(rows, tiles.TILE_KIND))
+    side = lambda x: float(x) / 2**15 * 360 - 180
+    lat = spark.range(1).select(georef.tile_lat(F.lit(1.5), F.lit(15)).alias("v")).first()["v"]
+    boxes = spark.createDataFrame([(k, side(x0 + 0.5), lat, side(x1 + 0.5), lat, 15) for k, x0, x1 in ((1, 1, 3), (2, 4, 5), (3, 2, 2))], "area_id long, min_lon double, min_lat double, max_lon double, max_lat double, zoom int")
+    status, cells = tiles.elevation_grids(boxes, stored)
+    assert {r["area_id"]: (r["status"], r["missing"]) for r in status.collect()} == {1: ("ok", 1), 2: ("not an image", None), 3: ("ok", 0)}
+    got = {(r["area_id"], r["col"] // 256): (r["n"], r["z"]) for r in cells.groupBy("area_id", "col").agg(F.count("z").alias("n"), F.max("z").alias("z")).collect()}
+    value = int(feeds.decode_png(low)[0, 0, 0])
+    z = lambda v: v * 257 + v / 256 - 32768
+    assert got == {(1, 0): (256, z(value)), (1, 1): (256, z(128)), (1, 2): (256, 0.0), (3, 0): (256, z(128))}
+    plan = cells._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = [part for part in plan.split("\n\n") if re.match(r"\s*\(\d+\) BroadcastExchange", part)]
+    assert sent and not any("content" in part for part in sent)
