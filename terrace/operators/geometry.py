@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -44,7 +44,7 @@ def clip_ring(ring: Column, min_lon: Column, min_lat: Column, max_lon: Column, m
             before = F.transform(r, lambda p, i: F.struct(F.get(r, F.when(i > 0, i - 1).otherwise(F.size(r) - 1)).alias("a"), p.alias("b")))
             return F.filter(F.flatten(F.transform(before, lambda e: step(e["a"], e["b"]))), lambda p: p.isNotNull())
 
-        return _let(points, walked)
+        return let(points, walked)
 
     for axis, other, bound, above in (("lon", "lat", min_lon, True), ("lon", "lat", max_lon, False), ("lat", "lon", min_lat, True), ("lat", "lon", max_lat, False)):
         ring = cut(ring, axis, other, bound, above)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators import raster
 from terrace.operators.blocks import BLOCK, SHIFT, SPAN, Window, ranked, with_halo
-from terrace.operators.geometry import clip_ring, thin, thin_ring
+from terrace.operators.geometry import clip_ring, let, thin, thin_ring
 
 #: Sides of a cell, clockwise from the top, with the direction in which a ring passes each.
 _AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
@@ -257,15 +257,16 @@ def ring_corners(sides: Column) -> Column:
         cell, side = F.shiftright(key, 2), F.pmod(key, F.lit(4))
         return F.struct((F.shiftright(cell, 30) + F.when(side.isin(2, 3), 1).otherwise(0)).cast("int").alias("r"), (F.pmod(cell, F.lit(SPAN)) - SHIFT + F.when(side.isin(1, 2), 1).otherwise(0)).cast("int").alias("c"))
 
-    turns = F.filter(sides, lambda k, i: F.pmod(k, F.lit(4)) != F.pmod(F.get(sides, F.when(i > 0, i - 1).otherwise(F.size(sides) - 1)), F.lit(4)))
-    return F.transform(turns, corner)
+    turns = lambda s: F.filter(s, lambda k, i: F.pmod(k, F.lit(4)) != F.pmod(F.get(s, F.when(i > 0, i - 1).otherwise(F.size(s) - 1)), F.lit(4)))
+    return F.transform(let(sides, turns), corner)
 
 
 def ring_cells(sides: Column) -> Column:
     """The cells (array of r, c) that a ring passes, each once in a row: the region's border through cell centres, not closed."""
-    owners = F.transform(sides, lambda k: F.shiftright(k, 2))
-    kept = F.filter(owners, lambda k, i: (i == 0) | (k != F.get(owners, i - 1)))
-    kept = F.when((F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    # What is looked up for each side is computed once a ring, or else the work grows with the square of the ring's length.
+    changes = lambda owners: F.filter(owners, lambda k, i: (i == 0) | (k != F.get(owners, i - 1)))
+    once = lambda kept: F.when((F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    kept = let(let(F.transform(sides, lambda k: F.shiftright(k, 2)), changes), once)
     return F.transform(kept, lambda k: F.struct(F.shiftright(k, 30).cast("int").alias("r"), (F.pmod(k, F.lit(SPAN)) - SHIFT).cast("int").alias("c")))
 
 

@@ -1,6 +1,7 @@
 """Contour lines and region rings over many blocks against versions that see the whole raster."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators import geometry, lines, raster
-from terrace.operators.blocks import ranked
+from terrace.operators.blocks import SHIFT, SPAN, ranked
 from terrace.plans.queries import ring_counts
 
 
@@ -158,3 +159,13 @@ def test_pieces_of_open_and_closed_lines_are_ranked(spark):
     assert second.start.tolist() == [20, *range(40, 20, -1)] and second.closed.all() and second.line.nunique() == 1
     assert sorted(got[got.grp == 3][["start", "line", "ahead", "closed"]].itertuples(index=False, name=None)) == [(5, 5, 1, False), (7, 7, 1, False)]
     assert isinstance(got, pd.DataFrame)
+
+
+def test_long_rings_are_read_in_proportion_to_their_length(spark):
+    n = 16_000
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: 4 * (F.shiftright(k, 1) * SPAN + SHIFT) + F.pmod(k, F.lit(4)))
+    sides = raster.cut_lineage(spark.range(1).select(keys.alias("sides")))
+    began = time.time()
+    ring, corners = sides.select(lines.ring_cells(F.col("sides")), lines.ring_corners(F.col("sides"))).first()
+    assert [(p["r"], p["c"]) for p in ring] == [(k, 0) for k in range(n // 2)] and len(corners) == n
+    assert time.time() - began < 20
