@@ -17,7 +17,7 @@ Wide fingerprints have further words of 64 bits, each over the same shingles mix
 candidates found by the first word are verified on all of them (:mod:`.near_text`).
 
 Within a signature bucket only a spanning set of links is emitted, never all
-pairs, unless the bucket is small.  Buckets over ``CHUNK`` fingerprints are cut
+pairs, unless the bucket is small or its links are few.  Buckets over ``CHUNK`` fingerprints are cut
 into chunks and every pair of chunks is verified by itself, so no bucket is
 gathered in one task.
 
@@ -56,6 +56,8 @@ CHUNK = 16_384
 BROADCAST_BUCKETS = 500_000
 #: Buckets up to this size are verified pair by pair.
 SMALL = 48
+#: Comparisons of a larger bucket that are made at once, and the links a fingerprint beyond which only a spanning set is sought.
+COMPARED, MANY_LINKS = 1 << 15, 4
 
 
 _SALTS = [np.uint64(k * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) for k in range(WIDE)]
@@ -251,6 +253,30 @@ def _spanning(prints: np.ndarray, distance: int, bits: int) -> tuple[list[int],
     return a, b
 
 
+def _all_pairs(prints: np.ndarray, distance: int, bits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All links between positions, a block of comparisons at a time; None where they are over ``MANY_LINKS`` times the fingerprints."""
+    first, n, found, a, b = np.ascontiguousarray(prints[:, 0]), len(prints), 0, [], []
+    rows = max(1, COMPARED // n)
+    apart, count = np.empty(rows * n, dtype=np.uint64), np.empty(rows * n, dtype=np.uint8)
+    for k in range(0, n, rows):
+        x, y = first[k : k + rows, None], first[k:]
+        shape = (len(x), len(y))
+        differ = np.bitwise_xor(x, y, out=apart[: len(x) * len(y)].reshape(shape))
+        at = np.flatnonzero(np.bitwise_count(differ, out=count[: len(x) * len(y)].reshape(shape)) <= distance)
+        i, j = np.divmod(at, len(y))
+        later = j > i
+        i, j = i[later] + k, j[later] + k
+        if prints.shape[1] > 1 and len(i):
+            near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= bits
+            i, j = i[near], j[near]
+        found += len(i)
+        if found > MANY_LINKS * n:
+            return None
+        a.append(i)
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _link(distance: int, bits: int, names: list[str]):
     """From rows sorted by (sig, key, part) to links within each bucket; buckets may cross batches."""
 
@@ -274,7 +300,7 @@ def _link(distance: int, bits: int, names: list[str]):
                 a += node[small[near]].tolist()
                 b += node[small[near + s]].tolist()
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            x, y = _spanning(prints[start : start + size], distance, bits)
+            x, y = _all_pairs(prints[start : start + size], distance, bits) or _spanning(prints[start : start + size], distance, bits)
             a += node[start + np.array(x, dtype=np.int64)].tolist()
             b += node[start + np.array(y, dtype=np.int64)].tolist()
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)}).drop_duplicates()

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -690,3 +691,21 @@ def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_buckets_of_few_links_are_compared_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (900, 4), dtype=np.uint64)
+    prints[500:560] = prints[:60]
+    prints[500:560, 0] ^= np.uint64(0b10110)
+    prints[560:600, 0] = prints[:40, 0]  # near in the first word only
+    prints[700:703] = prints[1]
+    frame = pd.DataFrame({"sig": 0, "key": 0, "part": 0, "node": np.arange(900)} | {f"f{k}": prints[:, k].view(np.int64) for k in range(4)})
+    want = {(i, j) for i in range(900) for j in range(i + 1, 900) if simhash._near(prints[[j]], prints[i], 5, 30)[0]}
+    sought = []
+    monkeypatch.setattr(simhash, "_spanning", lambda prints, *a, plain=simhash._spanning: sought.append(len(prints)) or plain(prints, *a))
+    link = simhash._link(5, 30, [f"f{k}" for k in range(4)])
+    got = pd.concat(link(iter([frame])))
+    assert set(map(tuple, got.to_numpy().tolist())) == want and len(want) == 69 and not sought
+    frame[["f0", "f1", "f2", "f3"]] = 7
+    assert len(pd.concat(link(iter([frame])))) == 899 and sought == [900]
