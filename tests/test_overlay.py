@@ -96,3 +96,16 @@ def test_ponds_at_one_place_meet_their_own_line_only(spark, tmp_path):
     keys.write.parquet(f"{tmp_path}/customer.parquet")
     want = {k: 0.0 if k % 4 == 3 else round(2 * 15 / 111320.0 / (0.004 + 0.001 * (k % 3)), 7) for k in (*range(40), *range(78_300, 78_340))}
     assert {r["k"]: r["osm_water_fraction"] for r in queries.QUERIES["line_water_share"](spark, str(tmp_path)).collect()} == want
+
+
+def test_strips_are_drawn_once_for_equal_ponds_and_lines(spark, monkeypatch):
+    box = [tuple(p) for p in BOX.tolist()]
+    ponds = frame(spark, [(k, box) for k in range(200)], ("id", "ring")).withColumn("m", F.col("id"))
+    lines = frame(spark, [(k, [(-1.0, 1.0), (5.0, 1.0)]) for k in range(200)], ("wid", "coords")).withColumn("m", F.col("wid"))
+    drawn, plain = [], overlay.shared_areas
+    monkeypatch.setattr(overlay, "shared_areas", lambda met, width: drawn.append(met.count()) or plain(met, width))
+    for by in ((), ("m",)):
+        got = screening.mapped_water_share(ponds, ponds.limit(0).withColumnRenamed("id", "wid"), 1.0, lines, 0.1, by=by)
+        want = 200 * 0.8 / 12 if not by else 0.8 / 12
+        assert [round(r["osm_water_fraction"], 9) for r in got.collect()] == [round(min(1.0, want), 9)] * 200
+    assert drawn == [1, 1]
