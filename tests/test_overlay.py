@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators import overlay, screening
@@ -109,3 +110,17 @@ def test_strips_are_drawn_once_for_equal_ponds_and_lines(spark, monkeypatch):
         want = 200 * 0.8 / 12 if not by else 0.8 / 12
         assert [round(r["osm_water_fraction"], 9) for r in got.collect()] == [round(min(1.0, want), 9)] * 200
     assert drawn == [1, 1]
+
+
+def test_equal_rings_are_compared_once(spark):
+    box = [tuple(p) for p in BOX.tolist()]
+    ponds = frame(spark, [(k, box) for k in range(3000)], ("id", "ring"))
+    water = frame(spark, [(k, [(3.0, 2.0), (4.0, 2.0), (4.0, 3.0)]) for k in range(3000)], ("wid", "ring"))
+    seen = spark.sparkContext.accumulator(0)
+    plain = screening.ring_intersection_area
+    count = F.udf(lambda: seen.add(1) or 0.0, "double").asNondeterministic()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(screening, "ring_intersection_area", lambda one, two: plain(one, two) + count())
+        got = screening.mapped_water_share(ponds, water, 1.0).collect()
+    assert seen.value <= 4 and {r["osm_water_fraction"] for r in got} == {1.0} and len(got) == 3000
+
